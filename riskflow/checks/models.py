@@ -41,8 +41,8 @@ def ml_train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         F.col("Fraud_Probability").between(0.0, 1.0).alias("in_range"),
         F.lit(report.test_auc >= AUC_FLOOR).alias("auc_above_floor"),
-        F.lit(report.total_rows).alias("total_rows"),
-        F.lit(report.fraud_rows).alias("fraud_rows"),
+        F.lit(report.total_rows).cast("long").alias("total_rows"),
+        F.lit(report.fraud_rows).cast("long").alias("fraud_rows"),
     )
 
 

@@ -15,7 +15,9 @@ def _col(value: Column | str) -> Column:
 
 def fraud_probability(probability: Column | str = "probability") -> Column:
     """Probability of class 1 from a classifier's probability vector, null for null."""
-    return F.get(vector_to_array(_col(probability)), 1)
+    vector = _col(probability)
+    # vector_to_array raises on null, so it must not see one.
+    return F.when(vector.isNotNull(), F.get(vector_to_array(vector), 1))
 
 
 def risk_action(

@@ -1,0 +1,97 @@
+import pytest
+from pyspark.sql import functions as F
+
+from riskflow import fixtures, ml
+from riskflow import schema as S
+from riskflow import streaming as st
+from riskflow.operators import hash_split, with_class_weight, with_risk_action
+from riskflow.plans import run_training
+from riskflow.sources import read_history_csv
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def history(spark):
+    return fixtures.tx(spark, SMALL).cache()
+
+
+@pytest.fixture(scope="module")
+def model(history):
+    return ml.train_model(with_class_weight(history), trees=10, depth=4)
+
+
+def test_default_settings(history):
+    fitted = ml.train_model(with_class_weight(history).limit(200), trees=2)
+    forest = fitted.stages[-1]
+    assert forest.getMaxDepth() == 10 and forest.getSeed() == 42
+    assert forest.getFeatureSubsetStrategy() == "auto" and forest.getWeightCol() == "weight"
+    assert (ml.forest.TREES, ml.forest.DEPTH) == (100, 10)
+    assert fitted.stages[0].getInputCols() == [f"V{i}" for i in range(1, 29)] + ["Amount"]
+
+
+def test_same_seed_same_scores(history, model):
+    again = ml.train_model(with_class_weight(history), trees=10, depth=4)
+    rows = history.select("event_id", *S.FEATURES)
+    first = {r[0]: r[1] for r in ml.score(model, rows).select("event_id", "Fraud_Probability").collect()}
+    second = {r[0]: r[1] for r in ml.score(again, rows).select("event_id", "Fraud_Probability").collect()}
+    assert first == second
+
+
+def test_null_features_stop_the_scoring(history, model):
+    with pytest.raises(Exception, match="(?i)null"):
+        ml.score(model, history.withColumn("V1", F.lit(None).cast("double"))).collect()
+
+
+@pytest.mark.parametrize(
+    ("scores", "labels", "expected"),
+    [
+        ([0.1, 0.2, 0.8, 0.9], [0, 0, 1, 1], 1.0),
+        ([0.9, 0.8, 0.2, 0.1], [0, 0, 1, 1], 0.0),
+        ([0.5, 0.5, 0.5, 0.5], [0, 1, 0, 1], 0.5),
+        ([0.1, 0.4, 0.35, 0.8], [0, 0, 1, 1], 0.75),
+    ],
+)
+def test_auc(spark, scores, labels, expected):
+    df = spark.createDataFrame(list(zip(scores, labels)), "p double, Class int")
+    assert ml.auc(df, "p") == pytest.approx(expected)
+
+
+def test_training_job_from_csv(spark, history, folder):
+    csv = history.select(*S.TRAIN.names)
+    csv.write.option("header", True).csv(folder("csv"))
+    report = run_training(spark, folder("csv"), folder("model"), trees=10, depth=4)
+    assert (report.total_rows, report.fraud_rows) == (1000, 23)
+    assert report.weight_fraud == 1000 / 23
+    assert report.test_auc > 0.9
+    assert read_history_csv(spark, folder("csv")).count() == 1000
+    loaded = ml.load_model(folder("model"))
+    assert loaded.stages[-1].getNumTrees == 10
+
+
+def test_weights_from_the_training_part_only(spark, history, folder):
+    report = run_training(
+        spark,
+        history,
+        folder("model"),
+        key="event_id",
+        weights_from_train=True,
+        trees=2,
+        depth=2,
+    )
+    train, _ = hash_split(history, "event_id")
+    assert report.total_rows == train.count()
+
+
+def test_a_stream_is_scored_like_a_batch(spark, history, model, folder):
+    rows = history.select("event_id", *S.FEATURES)
+    rows.write.parquet(folder("in"))
+    stream = spark.readStream.schema(rows.schema).parquet(folder("in"))
+    scored = with_risk_action(ml.score(model, stream)).select(
+        "event_id", "Fraud_Probability", "Risk_Action"
+    )
+    st.write_parquet_stream(
+        scored, folder("out"), folder("check"), st.RUN_TO_COMPLETION
+    ).awaitTermination()
+    batch = with_risk_action(ml.score(model, rows)).select(*scored.columns)
+    assert sorted(spark.read.parquet(folder("out")).collect()) == sorted(batch.collect())

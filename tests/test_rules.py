@@ -1,0 +1,109 @@
+import datetime as dt
+import math
+
+import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from riskflow.functions import (
+    alert_key,
+    fraud_probability,
+    is_anomaly,
+    is_high_risk,
+    iso_event_time,
+    message_id,
+    parse_event_time,
+    risk_action,
+)
+
+
+@pytest.mark.parametrize(
+    ("p", "tier"),
+    [
+        (0.7, "BLOCK_CARD"),
+        (1.0, "BLOCK_CARD"),
+        (0.6999999, "TRIGGER_OTP"),
+        (0.4, "TRIGGER_OTP"),
+        (0.39, "ALLOW"),
+        (0.0, "ALLOW"),
+        (None, "ALLOW"),
+        (math.nan, "BLOCK_CARD"),
+    ],
+)
+def test_tier_edges(spark, p, tier):
+    df = spark.createDataFrame([(p,)], "Fraud_Probability double")
+    assert df.select(risk_action()).first()[0] == tier
+
+
+def test_tier_thresholds_are_parameters(spark):
+    df = spark.createDataFrame([(0.5,), (0.2,), (0.1,)], "p double")
+    tiers = [r[0] for r in df.select(risk_action("p", block=0.5, otp=0.2)).collect()]
+    assert tiers == ["BLOCK_CARD", "TRIGGER_OTP", "ALLOW"]
+
+
+@pytest.mark.parametrize(
+    ("n", "avg", "flag"),
+    [
+        (5, None, False),
+        (1001, None, True),
+        (1, 600.0, True),
+        (1000, 500.0, False),
+        (1000, 500.01, True),
+        (None, None, False),
+        (None, 501.0, True),
+    ],
+)
+def test_anomaly_edges(spark, n, avg, flag):
+    df = spark.createDataFrame([(n, avg)], "total_txn long, avg_amount double")
+    assert df.select(is_anomaly()).first()[0] is flag
+
+
+def test_high_risk_tiers(spark):
+    df = spark.createDataFrame([("BLOCK_CARD",), ("TRIGGER_OTP",), ("ALLOW",)], "Risk_Action string")
+    assert [r[0] for r in df.select(is_high_risk()).collect()] == [True, True, False]
+
+
+def test_probability_is_second_element_and_null_safe(spark):
+    schema = T.StructType([T.StructField("probability", VectorUDT())])
+    vectors = [Vectors.dense(0.25, 0.75), Vectors.sparse(2, {0: 1.0}), None]
+    df = spark.createDataFrame([(v,) for v in vectors], schema)
+    assert [r[0] for r in df.select(fraud_probability()).collect()] == [0.75, 0.0, None]
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("2025-01-01T00:00:00.123456Z", dt.datetime(2025, 1, 1, 0, 0, 0, 123456)),
+        ("2025-01-01T00:00:00Z", dt.datetime(2025, 1, 1)),
+        ("garbage", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_event_time(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "eventTime string")
+    parsed = df.select(parse_event_time().cast("timestamp_ntz")).first()[0]
+    assert parsed == expected
+
+
+def test_iso_text_round_trip(spark):
+    text = "2024-02-29T23:59:59.000001Z"
+    df = spark.createDataFrame([(text,)], "eventTime string")
+    assert df.select(iso_event_time(parse_event_time())).first()[0] == text
+
+
+def test_alert_key_is_deterministic_and_null_safe(spark):
+    df = spark.createDataFrame([("t1", 7), (None, 8)], "eventTime string, id long")
+    keys = [r[0] for r in df.select(alert_key(["id"])).collect()]
+    assert keys == ["t1_7", "unknown_8"]
+
+
+def test_message_id_prefers_the_topic_position(spark):
+    df = spark.createDataFrame(
+        [("pay", 3, 99, bytearray(b"x"))], "topic string, partition int, offset long, value binary"
+    )
+    assert df.select(message_id(df.columns)).first()[0] == "pay-3-99"
+    text = spark.createDataFrame([("x",)], "value string")
+    digest = text.select(message_id(text.columns)).first()[0]
+    assert digest == text.select(F.sha2("value", 256)).first()[0]

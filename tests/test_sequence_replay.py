@@ -1,0 +1,87 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskflow import fixtures
+from riskflow.operators import (
+    parse_wire,
+    replay_envelopes,
+    replay_selection,
+    replay_sequence,
+    with_sequence,
+)
+from riskflow.plans import run_replay
+
+
+def test_sequence_is_dense_and_ordered(spark):
+    shuffled = spark.range(50_000).select((F.col("id") * 7919 % 50_000).alias("k")).repartition(13)
+    rows = with_sequence(shuffled, ["k"], start=5).collect()
+    assert sorted((r["k"], r["sequence"]) for r in rows) == [(k, k + 5) for k in range(50_000)]
+
+
+def test_sequence_uses_more_than_one_task(spark):
+    # Adaptive execution would merge partitions this small.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = with_sequence(spark.range(20_000), ["id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(numbered.inputFiles()) > 1
+    assert numbered.filter("sequence <> id").count() == 0
+
+
+def test_sequence_with_a_hot_leading_key(spark):
+    hot = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("day"), "id"
+    )
+    rows = with_sequence(hot, ["day", "id"]).orderBy("day", "id").collect()
+    assert [r["sequence"] for r in rows] == list(range(9000))
+
+
+def test_sequence_of_nothing(spark):
+    assert with_sequence(spark.range(0), ["id"]).collect() == []
+
+
+def _history(spark):
+    # Label 1 on every fifth row, null on one row.
+    label = F.when(F.col("id") == 33, None).when(F.col("id") % 5 == 0, 1).otherwise(0)
+    return spark.range(100).select("id", label.cast("int").alias("Class"))
+
+
+def test_selection_has_the_first_frauds_and_all_normal_rows(spark):
+    rows = replay_selection(_history(spark).repartition(7), ["id"], n=3).collect()
+    assert sorted(r["id"] for r in rows if r["replay_group"] == 0) == [0, 5, 10]
+    normal = [i for i in range(100) if i % 5 and i != 33]
+    assert sorted(r["id"] for r in rows if r["replay_group"] == 1) == normal
+
+
+def test_frauds_are_sent_first(spark):
+    rows = replay_sequence(_history(spark), ["id"], n=3).orderBy("sequence").collect()
+    assert [r["id"] for r in rows][:5] == [0, 5, 10, 1, 2]
+    assert [r["sequence"] for r in rows] == list(range(len(rows)))
+
+
+def test_envelopes_are_spaced_in_event_time(spark):
+    tx = fixtures.tx(spark, "/root/testdata/sf0.001")
+    start = dt.datetime(2025, 1, 1, 12)
+    messages = replay_envelopes(tx, ["event_id"], start, gap_ms=10)
+    rows = parse_wire(messages, keep=["sequence"]).orderBy("sequence").collect()
+    assert rows[0]["eventTime"] == "2025-01-01T12:00:00.000000Z"
+    assert rows[1]["eventTime"] == "2025-01-01T12:00:00.010000Z"
+    assert len({r["eventTime"] for r in rows}) == len(rows)
+    assert [r["Class"] for r in rows[:10]] == [1] * 10
+
+
+def test_replay_job_writes_message_files(spark, folder):
+    tx = fixtures.tx(spark, "/root/testdata/sf0.001")
+    run_replay(spark, tx, ["event_id"], dt.datetime(2025, 1, 1), path=folder("messages"))
+    assert spark.read.text(folder("messages")).count() == 10 + 977
+
+
+@pytest.mark.parametrize(
+    "target", [{}, {"path": "x", "topic": "y", "servers": "z"}, {"topic": "y"}]
+)
+def test_replay_job_needs_one_target(spark, target):
+    with pytest.raises(ValueError):
+        run_replay(spark, spark.range(1), ["id"], dt.datetime(2025, 1, 1), **target)
