@@ -34,7 +34,11 @@ def _unscored(tx: DataFrame) -> DataFrame:
 def ml_train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training job, then its model on the test part."""
     tx = fixtures.tx(spark, sf_dir)
-    report = plans.run_training(spark, tx, scratch_dir(spark, "model"), key="event_id")
+    # The table may be one file; give every core a share of the training rows.
+    partitions = max(spark.sparkContext.defaultParallelism, tx.rdd.getNumPartitions())
+    report = plans.run_training(
+        spark, tx, scratch_dir(spark, "model"), key="event_id", partitions=partitions
+    )
     _, test = ops.hash_split(_unscored(tx), "event_id")
     scored = ml.score(ml.load_model(report.model_path), test)
     return scored.select(

@@ -159,7 +159,8 @@ def stream_followers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, with alerts and windows on top of the stored scored rows."""
     paths = st.StreamPaths(scratch_dir(spark, "stream"))
     messages = _dirty_messages(spark, sf_dir)
-    _finish(*start_scoring(messages, stand_in_scorer, paths, st.RUN_TO_COMPLETION).values())
+    scoring = start_scoring(messages, stand_in_scorer, paths, st.RUN_TO_COMPLETION, keep_id=True)
+    _finish(*scoring.values())
     _finish(*start_followers(spark, paths, st.RUN_TO_COMPLETION).values())
     return _rows_per_output(spark, paths)
 

@@ -26,7 +26,6 @@ from riskflow.operators.wire import (
     stamp_event_time,
     to_envelope,
     with_event_ts,
-    with_reject_reason,
 )
 
 __all__ = [
@@ -54,7 +53,6 @@ __all__ = [
     "with_anomaly_flag",
     "with_class_weight",
     "with_event_ts",
-    "with_reject_reason",
     "with_risk_action",
     "with_sequence",
 ]

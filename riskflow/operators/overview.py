@@ -38,6 +38,7 @@ def overview(
 
 def _salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int) -> DataFrame:
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = copies.hint("shuffle_hash")  # no sort of the transactions
     salted = left.withColumn("_salt", _row_salt(left.columns, salts))
     return salted.join(copies, [key, "_salt"], "left")
 

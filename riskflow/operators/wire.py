@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,34 +53,32 @@ def drop_missing_event_ts(df: DataFrame) -> DataFrame:
     return df.filter(F.col("event_ts").isNotNull())
 
 
-def with_reject_reason(df: DataFrame) -> DataFrame:
-    """Label each parsed row with the first thing wrong with it, or null.
-
-    Needs the columns of :func:`parse_wire` with ``corrupt=CORRUPT`` and
-    ``event_ts``. A null label (``Class``) is not an error; scoring ignores it.
-    """
-    unusable = reduce(
+def _not_scorable() -> Column:
+    """Some feature is null or NaN."""
+    return reduce(
         lambda left, right: left | right,
         [F.col(name).isNull() | F.isnan(name) for name in S.FEATURES],
     )
-    return df.withColumn(
-        REASON,
-        F.when(F.col(CORRUPT).isNotNull(), BAD_JSON)
-        .when(unusable, BAD_FEATURE)
-        .when(F.col("event_ts").isNull(), BAD_EVENT_TIME),
-    )
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that can be scored, and rejected rows; together they are the input.
 
-    A row without a usable event time is labelled but still valid: the daily
-    totals leave such rows out themselves.
+    Needs the columns of :func:`parse_wire` with ``corrupt=CORRUPT`` and
+    ``event_ts``. Both parts get the first thing wrong with a row in
+    ``reject_reason``, or null: a message that does not parse, then a feature
+    that is null or NaN, then a missing event time. The last is only labelled
+    and stays valid, as the daily totals leave such rows out themselves. A
+    null label (``Class``) is not an error; scoring ignores it.
     """
-    labelled = with_reject_reason(df)
-    # coalesce keeps the predicate two-valued; a bare isin() is null for good rows
-    rejected = F.coalesce(F.col(REASON).isin(BAD_JSON, BAD_FEATURE), F.lit(False))
-    return labelled.filter(~rejected), labelled.filter(rejected)
+    corrupt = F.col(CORRUPT).isNotNull()
+    rejected = corrupt | _not_scorable()
+    no_time = F.when(F.col("event_ts").isNull(), BAD_EVENT_TIME)
+    fault = F.when(corrupt, BAD_JSON).otherwise(BAD_FEATURE)
+    return (
+        df.filter(~rejected).withColumn(REASON, no_time),
+        df.filter(rejected).withColumn(REASON, fault),
+    )
 
 
 def stamp_event_time(df: DataFrame, ts: str) -> DataFrame:

@@ -37,7 +37,7 @@ def run_stream(
     scorer = partial(score, model)
     if not follow:
         return start_all(messages, scorer, paths, trigger, **window_options)
-    started = start_scoring(messages, scorer, paths, trigger)
+    started = start_scoring(messages, scorer, paths, trigger, keep_id=True)
     if trigger and trigger.get("availableNow"):
         await_each(started.values())
     return started | start_followers(spark, paths, trigger, **window_options)

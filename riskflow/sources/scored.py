@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from riskflow import schema as S
 
@@ -16,9 +19,13 @@ def read_scored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.SCORED).parquet(path)
 
 
-def read_scored_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The output of the scored sink as a stream, for jobs that follow it."""
-    return spark.readStream.schema(S.SCORED).parquet(path)
+def read_scored_stream(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The output of the scored sink as a stream, for jobs that follow it.
+
+    ``keep`` names text columns stored beside those of the table.
+    """
+    extra = [T.StructField(name, T.StringType()) for name in keep]
+    return spark.readStream.schema(T.StructType([*extra, *S.SCORED.fields])).parquet(path)
 
 
 def read_daily(spark: SparkSession, path: str) -> DataFrame:

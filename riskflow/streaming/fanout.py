@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from riskflow import schema as S
 from riskflow.functions import message_id
 from riskflow.operators.aggregate import window_anomalies
 from riskflow.operators.scored import alerts, with_alert_key, with_risk_action
@@ -79,30 +78,31 @@ def start_all(
     """
     valid, _ = decode_messages(messages)
     scored = with_risk_action(scorer(valid))
-    started = start_scoring(messages, scorer, paths, trigger)
-    started["alerts"] = write_alerts_stream(
-        with_alert_key(alerts(scored, keep=["message_id"]), ["message_id"]),
-        paths.alerts,
-        paths.checkpoint("alerts"),
-        trigger,
+    return start_scoring(messages, scorer, paths, trigger) | _start_alerts_and_windows(
+        scored, valid, paths, trigger, **window_options
     )
-    started["windows"] = write_windows_stream(
-        window_anomalies(valid, **window_options),
-        paths.windows,
-        paths.checkpoint("windows"),
-        trigger,
-    )
-    return started
 
 
 def start_scoring(
-    messages: DataFrame, scorer: Scorer, paths: StreamPaths, trigger: dict | None = None
+    messages: DataFrame,
+    scorer: Scorer,
+    paths: StreamPaths,
+    trigger: dict | None = None,
+    keep_id: bool = False,
 ) -> dict[str, StreamingQuery]:
-    """Start the scored sink and the sink for rejected messages."""
+    """Start the scored sink and the sink for rejected messages.
+
+    ``keep_id`` stores ``message_id`` beside the table's columns, for
+    followers. Readers of the table do not name it and so never read it.
+    """
     valid, rejected = decode_messages(messages)
     return {
         "scored": write_scored_stream(
-            with_risk_action(scorer(valid)), paths.scored, paths.checkpoint("scored"), trigger
+            with_risk_action(scorer(valid)),
+            paths.scored,
+            paths.checkpoint("scored"),
+            trigger,
+            keep=["message_id"] if keep_id else (),
         ),
         "rejects": write_parquet_stream(
             rejected, paths.rejects, paths.checkpoint("rejects"), trigger
@@ -113,24 +113,34 @@ def start_scoring(
 def start_followers(
     spark: SparkSession, paths: StreamPaths, trigger: dict | None = None, **window_options
 ) -> dict[str, StreamingQuery]:
-    """Start alerts and windows on top of the stored scored rows.
+    """Start alerts and windows on top of scored rows stored with their ids.
 
     They read the scored sink's commit log as a stream: messages are read,
     parsed and scored once, alerts open only the folders of the high tiers,
-    and windows read three columns. Results arrive one trigger later. With a
-    run-to-completion trigger, wait for the scored query first.
+    and windows read three columns. The outputs are those of ``start_all``,
+    one trigger later. With a run-to-completion trigger, wait for the scored
+    query first.
     """
-    stored = read_scored_stream(spark, paths.scored)
-    high_risk = alerts(stored.withColumn("row_id", _row_digest(S.WIRE.names)), keep=["row_id"])
+    stored = read_scored_stream(spark, paths.scored, keep=["message_id"])
+    return _start_alerts_and_windows(stored, stored, paths, trigger, **window_options)
+
+
+def _start_alerts_and_windows(
+    scored: DataFrame,
+    tx: DataFrame,
+    paths: StreamPaths,
+    trigger: dict | None,
+    **window_options,
+) -> dict[str, StreamingQuery]:
     return {
         "alerts": write_alerts_stream(
-            with_alert_key(high_risk, ["row_id"]),
+            with_alert_key(alerts(scored, keep=["message_id"]), ["message_id"]),
             paths.alerts,
             paths.checkpoint("alerts"),
             trigger,
         ),
         "windows": write_windows_stream(
-            window_anomalies(stored, **window_options),
+            window_anomalies(tx, **window_options),
             paths.windows,
             paths.checkpoint("windows"),
             trigger,
@@ -138,10 +148,6 @@ def start_followers(
     }
 
 
-def _row_digest(columns: Sequence[str]):
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
-
-
 def await_each(queries: Iterable[StreamingQuery]) -> None:
     """Wait until every query has ended; raises if one of them failed."""
     for query in queries:

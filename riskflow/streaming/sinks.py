@@ -6,6 +6,8 @@ arguments of ``DataStreamWriter.trigger``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -40,10 +42,14 @@ def write_parquet_stream(
 
 
 def write_scored_stream(
-    scored: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    scored: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    keep: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Scored transactions, one folder per tier."""
-    rows = scored.select(*scored_columns())
+    """Scored transactions, one folder per tier; ``keep`` names further columns."""
+    rows = scored.select(*scored_columns(), *keep)
     writer = rows.writeStream.partitionBy("Risk_Action")
     return _append_files(rows, writer, path, checkpoint, trigger)
 

@@ -215,7 +215,9 @@ def _messages_with_faults(spark, folder):
 def test_one_stream_feeds_every_output(spark, folder, follow):
     messages, paths = _messages_with_faults(spark, folder), st.StreamPaths(folder("job"))
     if follow:
-        st.await_each(start_scoring(messages, _score, paths, st.RUN_TO_COMPLETION).values())
+        st.await_each(
+            start_scoring(messages, _score, paths, st.RUN_TO_COMPLETION, keep_id=True).values()
+        )
         st.await_each(
             start_followers(spark, paths, st.RUN_TO_COMPLETION, watermark="0 minutes").values()
         )
@@ -226,7 +228,12 @@ def test_one_stream_feeds_every_output(spark, folder, follow):
             ).values()
         )
     assert read_scored(spark, paths.scored).count() == 30
-    assert spark.read.parquet(paths.alerts).count() == 18
+    found = {r["alert_key"] for r in spark.read.parquet(paths.alerts).collect()}
+    assert len(found) == 18
+    # Both ways give an alert the key that its message has.
+    text = spark.read.text(folder("messages"))
+    ids = {r[0] for r in text.select(F.sha2("value", 256)).collect()}
+    assert {key.rsplit("_", 1)[1] for key in found} <= ids
     # One row a minute until 00:29: the windows that end by then are closed.
     closed = spark.read.parquet(paths.windows).select("total_txn").collect()
     assert sorted(r["total_txn"] for r in closed) == [5, 10, 10, 10, 10]
@@ -242,7 +249,11 @@ def test_followers_skip_the_allow_folder(spark, folder):
     paths = st.StreamPaths(folder("job"))
     st.await_each(
         start_scoring(
-            _messages_with_faults(spark, folder), _score, paths, st.RUN_TO_COMPLETION
+            _messages_with_faults(spark, folder),
+            _score,
+            paths,
+            st.RUN_TO_COMPLETION,
+            keep_id=True,
         ).values()
     )
     started = start_followers(spark, paths, st.RUN_TO_COMPLETION)
