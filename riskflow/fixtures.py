@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow import schema as S
-from riskflow.functions import iso_event_time, parse_event_time, risk_action
+from riskflow.functions import iso_event_time, risk_action
 from riskflow.operators.wire import to_envelope
 
 EPOCH_2024 = 1704067200
@@ -66,10 +66,11 @@ def tx_from_events(source: DataFrame, dirty: bool = False) -> DataFrame:
             unless(2, F.col("value")).alias("Amount"),
             unless(3, label).alias("Class"),
             unless(1, iso_event_time("ts"), "garbage").alias("eventTime"),
+            # The value that parsing eventTime gives, as stored rows hold it.
+            unless(1, F.col("ts")).alias("event_ts"),
             *[feature(i).alias(f"V{i}") for i in range(1, 29)],
             unless(5, stand_in).alias("Fraud_Probability"),
         )
-        .withColumn("event_ts", parse_event_time("eventTime"))
         .withColumn("Risk_Action", risk_action("Fraud_Probability"))
     )
 

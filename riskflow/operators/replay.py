@@ -19,9 +19,10 @@ def replay_selection(
     """The first ``n`` frauds by ``key``, then every non-fraud row.
 
     ``replay_group`` (0 for the frauds, 1 for the rest) and ``key`` give the
-    sending order.
+    sending order; rows that tie are taken by content.
     """
-    frauds = df.filter(F.col(label) == 1).orderBy(*key).limit(n)
+    content = F.xxhash64(*df.columns)
+    frauds = df.filter(F.col(label) == 1).orderBy(*key, content).limit(n)
     normal = df.filter(F.col(label) == 0)
     return frauds.withColumn("replay_group", F.lit(0)).unionByName(
         normal.withColumn("replay_group", F.lit(1))

@@ -21,21 +21,37 @@ def with_sequence(
 ) -> DataFrame:
     """Number the rows ``start, start + 1, …`` in the order of ``order_by``.
 
-    ``order_by`` must identify a row: ties would let a retried task number
-    them otherwise. Rows are range-partitioned, sorted within partitions and
-    written out once with their position. The written table fixes partition
-    borders that sampling would choose anew on every run. Then each
-    partition's offset, one small row per partition, is joined back.
+    Rows that tie are ordered by their content; copies of a row are
+    interchangeable. Rows are stored, range-partitioned, sorted within
+    partitions and stored again with their position. Then each partition's
+    offset, one small row per partition, is joined back.
+
+    The first store gives every row a fixed place in a file. As the last
+    sorting key that place splits a large group of ties or copies over several
+    partitions, and a retried task still deals each row out the same way. The
+    second fixes the partition borders, which sampling would choose anew on
+    every run.
     """
     spark = df.sparkSession
     scratch = scratch or scratch_dir(spark, "sequence")
+    df.write.parquet(f"{scratch}/rows")
+    order = [*order_by, "_content", "_file", "_row"]
     (
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .write.parquet(scratch)
+        spark.read.schema(df.schema)
+        .parquet(f"{scratch}/rows")
+        .withColumns(
+            {
+                "_content": F.xxhash64(*df.columns),
+                "_file": F.col("_metadata.file_name"),
+                "_row": F.col("_metadata.row_index"),
+            }
+        )
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(*df.columns, F.monotonically_increasing_id().alias("_id"))
+        .write.parquet(f"{scratch}/sorted")
     )
-    return _number_stored_rows(spark, scratch, name, start)
+    return _number_stored_rows(spark, f"{scratch}/sorted", name, start)
 
 
 def _number_stored_rows(spark: SparkSession, path: str, name: str, start: int) -> DataFrame:

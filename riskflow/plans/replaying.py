@@ -24,8 +24,8 @@ def run_replay(
 ) -> None:
     """Write the replay to message files (``path``) or to a topic.
 
-    ``key`` must identify a row; it fixes which frauds come first and the
-    event time of every message.
+    ``key`` fixes which frauds come first and the event time of every message;
+    rows it does not tell apart follow by content.
     """
     if (path is None) == (topic is None):
         raise ValueError("give either a path or a topic")

@@ -6,7 +6,6 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from riskflow import schema as S
 from riskflow.ml import auc, save_model, score, train_model
@@ -45,10 +44,8 @@ def run_training(
     bagging and evaluation each scan the data. Weights come from the whole
     history unless ``weights_from_train``.
 
-    Bagging draws per partition, so the forest depends on how the rows lie in
-    partitions. ``partitions`` deals the training rows to that many tasks by
-    ``key``, in key order: the same rows then give the same forest under any
-    file layout. Without it they stay as they were read.
+    ``partitions`` deals the training rows evenly to that many tasks, for a
+    history in fewer files than there are cores.
     """
     if isinstance(history, str):
         staged = scratch_dir(spark, "history")
@@ -60,8 +57,7 @@ def run_training(
     started = time.monotonic()
     weighted = with_class_weight(train_rows, weights=weights)
     if partitions is not None:
-        order = F.xxhash64(*history.columns) if key is None else F.col(key)
-        weighted = weighted.repartition(partitions, order).sortWithinPartitions(order)
+        weighted = weighted.repartition(partitions)
     model = train_model(weighted.select(*S.FEATURES, S.LABEL, "weight"), **forest_params)
     fit_seconds = time.monotonic() - started
 

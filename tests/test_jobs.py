@@ -1,0 +1,70 @@
+"""The jobs one after another, as the command line runs them."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskflow import fixtures
+from riskflow import schema as S
+from riskflow.__main__ import build_parser, main
+from riskflow.ml import train_model
+from riskflow.operators import with_class_weight
+from riskflow.sources import drop_table, read_scored
+
+
+@pytest.fixture
+def clean_catalog(spark):
+    def clean():
+        spark.sql(f"DROP VIEW IF EXISTS {S.OVERVIEW_VIEW}")
+        drop_table(spark, S.SCORED_TABLE)
+        drop_table(spark, S.DAILY_TABLE)
+
+    clean()
+    yield
+    clean()
+
+
+@pytest.mark.parametrize("follow", [[], ["--follow"]])
+def test_from_history_to_overview(spark, folder, clean_catalog, follow):
+    tx = fixtures.tx(spark, "/root/testdata/sf0.001")
+    tx.select(*S.TRAIN.names).write.option("header", True).csv(folder("csv"))
+    model = train_model(with_class_weight(tx), trees=10, depth=4)
+    model.write().overwrite().save(folder("model"))
+
+    main(
+        ["replay", "--history", folder("csv"), "--key", "Time", "--start", "2025-01-01T00:00:00"]
+        + ["--gap-ms", "60000", "--path", folder("messages")]
+    )
+    main(
+        ["stream", "--model", folder("model"), "--output", folder("job"), "--once"]
+        + ["--path", folder("messages"), *follow]
+    )
+    sink = folder("job") + "/transactions"
+    main(["publish", "--sink", sink, "--scored", folder("scored")])
+    main(["daily", "--scored", folder("scored"), "--daily", folder("daily")])
+    main(["setup", "--scored", folder("scored"), "--daily", folder("daily")])
+    main(["repair"])
+
+    assert read_scored(spark, sink).count() == 987
+    assert spark.table(S.SCORED_TABLE).count() == 987
+    daily = spark.table(S.DAILY_TABLE)
+    assert daily.agg(F.sum("total_transactions")).first()[0] == 987
+    view = spark.table(S.OVERVIEW_VIEW)
+    assert view.count() == 987
+    assert view.filter("total_transactions IS NULL").count() == 0
+
+
+def test_train_prints_its_report(spark, folder, capsys):
+    tx = fixtures.tx(spark, "/root/testdata/sf0.001")
+    tx.select(*S.TRAIN.names).write.option("header", True).csv(folder("csv"))
+    main(["train", "--history", folder("csv"), "--model", folder("model"), "--partitions", "4"])
+    printed = capsys.readouterr().out
+    assert "fraud_rows: 23" in printed and "test_auc: 0.9" in printed
+
+
+def test_arguments_are_checked():
+    parser = build_parser()
+    with pytest.raises(SystemExit):
+        parser.parse_args(["stream", "--model", "m", "--output", "o"])
+    with pytest.raises(SystemExit):
+        parser.parse_args([])
+    assert parser.parse_args(["repair"]).tables == [S.SCORED_TABLE, S.DAILY_TABLE]

@@ -20,17 +20,37 @@ def test_sequence_is_dense_and_ordered(spark):
     assert sorted((r["k"], r["sequence"]) for r in rows) == [(k, k + 5) for k in range(50_000)]
 
 
-def test_sequence_uses_more_than_one_task(spark):
-    # Adaptive execution would merge partitions this small.
+@pytest.fixture
+def no_coalescing(spark):
+    """Adaptive execution would merge partitions as small as these."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        numbered = with_sequence(spark.range(20_000), ["id"])
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_sequence_uses_more_than_one_task(spark, no_coalescing):
+    numbered = with_sequence(spark.range(20_000), ["id"])
     assert len(numbered.inputFiles()) > 1
     assert numbered.filter("sequence <> id").count() == 0
 
 
+@pytest.mark.parametrize("varied", [True, False])
+def test_a_third_of_all_rows_tied_or_equal_is_split(spark, no_coalescing, varied):
+    tied = F.col("id") % 3 == 0
+    rows = spark.range(9000).select(
+        F.when(tied, 500).otherwise(F.col("id")).alias("k"),
+        F.when(tied & ~F.lit(varied), -1).otherwise(F.col("id")).alias("v"),
+    )
+    numbered = with_sequence(rows, ["k"])
+    got = numbered.select("sequence", "k", "v").orderBy("sequence").collect()
+    assert [r["sequence"] for r in got] == list(range(9000))
+    assert [r["k"] for r in got] == sorted(r["k"] for r in got)
+    assert sorted((r["k"], r["v"]) for r in got) == sorted(tuple(r) for r in rows.collect())
+    stored = spark.read.parquet(*numbered.inputFiles())
+    sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < 2000 and sum(sizes) == 9000
+
+
 def test_sequence_with_a_hot_leading_key(spark):
     hot = spark.range(9000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("day"), "id"
