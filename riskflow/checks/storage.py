@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskflow import fixtures, plans, sinks, sources
 from riskflow import operators as ops
 from riskflow import schema as S
+from riskflow import streaming as st
 from riskflow.checks import sql
 from riskflow.checks.batch import plain_time, rounded_daily
 from riskflow.session import scratch_dir
@@ -50,6 +51,17 @@ def src_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("event_ts", plain_time("event_ts"))
 
 
+def src_sink_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view over the folder of a streaming sink."""
+    name, paths = _name("scored"), st.StreamPaths(scratch_dir(spark, "stream"))
+    scored = fixtures.tx_from_events(fixtures.events_stream(spark, sf_dir))
+    check = paths.checkpoint("scored")
+    st.write_scored_stream(scored, paths.scored, check, st.RUN_TO_COMPLETION).awaitTermination()
+    sources.register_sink(spark, name, S.SCORED, paths.scored)
+    view = sources.read_table(spark, name)
+    return view.withColumn("event_ts", plain_time("event_ts"))
+
+
 def sink_daily_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A static overwrite by a later, shorter run leaves only that run's days."""
     path = scratch_dir(spark, "daily")
@@ -135,6 +147,7 @@ QUERIES = {
     "src_csv": src_csv,
     "src_parquet_partitioned": src_parquet_partitioned,
     "src_table": src_table,
+    "src_sink_view": src_sink_view,
     "sink_daily_overwrite": sink_daily_overwrite,
     "sink_daily_dynamic": sink_daily_dynamic,
     "daily_job": daily_job,
@@ -159,6 +172,7 @@ SQL = {
     "src_csv": sql.tx() + f" SELECT {', '.join(S.TRAIN.names)} FROM tx",
     "src_parquet_partitioned": sql.tx() + f" SELECT {sql.SCORED_COLUMNS} FROM tx",
     "src_table": sql.tx() + f" SELECT {sql.SCORED_COLUMNS} FROM tx",
+    "src_sink_view": sql.tx() + f" SELECT {sql.SCORED_COLUMNS} FROM tx",
     "sink_daily_overwrite": sql.tx()
     + f", later AS (SELECT * FROM tx WHERE event_ts >= DATE '{LATER}') "
     + sql.daily("later"),

@@ -8,7 +8,9 @@ from riskflow import schema as S
 from riskflow.sources.catalog import (
     create_overview,
     drop_table,
+    is_streaming_sink,
     register_partitioned,
+    register_sink,
     repair_partitions,
 )
 
@@ -21,13 +23,20 @@ def setup_catalog(
     daily_table: str = S.DAILY_TABLE,
     view: str | None = S.OVERVIEW_VIEW,
 ) -> None:
-    """Declare both tables anew, find their partitions, and add the view."""
+    """Declare both tables anew, find their partitions, and add the overview.
+
+    ``scored_path`` may be the folder of the streaming sink, which needs no
+    copy, or one that a batch job wrote.
+    """
     for name, schema, partition, path in (
         (scored_table, S.SCORED, "Risk_Action", scored_path),
         (daily_table, S.DAILY, "transaction_date", daily_path),
     ):
         drop_table(spark, name)
-        register_partitioned(spark, name, schema, partition, path, if_not_exists=False)
-        repair_partitions(spark, name)
+        if is_streaming_sink(spark, path):
+            register_sink(spark, name, schema, path)
+        else:
+            register_partitioned(spark, name, schema, partition, path, if_not_exists=False)
+            repair_partitions(spark, name)
     if view is not None:
         create_overview(spark, scored_table, daily_table, view)

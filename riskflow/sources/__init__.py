@@ -3,8 +3,10 @@
 from riskflow.sources.catalog import (
     create_overview,
     drop_table,
+    is_streaming_sink,
     partition_counts,
     register_partitioned,
+    register_sink,
     repair_partitions,
 )
 from riskflow.sources.envelopes import (
@@ -19,6 +21,7 @@ from riskflow.sources.scored import read_daily, read_scored, read_scored_stream,
 __all__ = [
     "create_overview",
     "drop_table",
+    "is_streaming_sink",
     "kafka_options",
     "partition_counts",
     "read_daily",
@@ -30,5 +33,6 @@ __all__ = [
     "read_scored_stream",
     "read_table",
     "register_partitioned",
+    "register_sink",
     "repair_partitions",
 ]

@@ -1,4 +1,9 @@
-"""External partitioned tables and the overview view."""
+"""Tables and views over stored data.
+
+A folder that a batch job wrote becomes an external partitioned table. A
+folder that a streaming sink writes becomes a view that reads it by path, as
+only path reads honour the sink's commit log.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +20,18 @@ def _quoted(name: str) -> str:
     return ".".join(f"`{part}`" for part in name.split("."))
 
 
+def _is_view(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType == "VIEW"
+
+
+def is_streaming_sink(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, f"{path}/{SINK_LOG}")
+
+
 def drop_table(spark: SparkSession, name: str) -> None:
-    """Forget a table; the data of an external table stays where it is."""
-    spark.sql(f"DROP TABLE IF EXISTS {_quoted(name)}")
+    """Forget a table or view; the data of an external table stays where it is."""
+    kind = "VIEW" if _is_view(spark, name) else "TABLE"
+    spark.sql(f"DROP {kind} IF EXISTS {_quoted(name)}")
 
 
 def register_partitioned(
@@ -31,11 +45,10 @@ def register_partitioned(
     """Declare an external Parquet table, partitioned by one column of ``schema``.
 
     A folder written by a streaming sink is refused: a table there would not
-    be partitioned, or would read past the sink's commit log. Publish such
-    data with ``sinks.copy_scored`` first, or read it by path.
+    be partitioned, or would read past the sink's commit log.
     """
-    if path_exists(spark, f"{path}/{SINK_LOG}"):
-        raise ValueError(f"{path} is a streaming sink; copy it to a batch folder first")
+    if is_streaming_sink(spark, path):
+        raise ValueError(f"{path} is a streaming sink; use register_sink or copy it first")
     columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
     guard = "IF NOT EXISTS " if if_not_exists else ""
     spark.sql(
@@ -44,9 +57,20 @@ def register_partitioned(
     )
 
 
+def register_sink(spark: SparkSession, name: str, schema: T.StructType, path: str) -> None:
+    """Name a streaming sink's committed rows, in the columns of ``schema``.
+
+    Files are listed when the view is read, so new batches and partitions need
+    no repair, and filters on the partition column still prune folders.
+    """
+    columns = ", ".join(_quoted(f.name) for f in schema.fields)
+    spark.sql(f"CREATE VIEW {_quoted(name)} AS SELECT {columns} FROM parquet.`{path}`")
+
+
 def repair_partitions(spark: SparkSession, name: str) -> None:
-    """Bring the catalog's partitions in line with the folders."""
-    spark.sql(f"MSCK REPAIR TABLE {_quoted(name)}")
+    """Bring a table's partitions in line with its folders; a view has none."""
+    if not _is_view(spark, name):
+        spark.sql(f"MSCK REPAIR TABLE {_quoted(name)}")
 
 
 def partition_counts(spark: SparkSession, name: str, partition: str) -> DataFrame:

@@ -11,12 +11,14 @@ def kafka_options(
     starting: str = "earliest",
     max_offsets_per_trigger: int | None = None,
     min_partitions: int | None = None,
+    extra: dict[str, str] | None = None,
 ) -> dict[str, str]:
     """Options of the Kafka source.
 
     ``max_offsets_per_trigger`` bounds a micro-batch, which matters for the
     first one when a long topic is read from its start. ``min_partitions``
-    splits large topic partitions over more tasks.
+    splits large topic partitions over more tasks. ``extra`` adds options as
+    they are, such as those of a secured broker.
     """
     options = {
         "kafka.bootstrap.servers": servers,
@@ -27,7 +29,7 @@ def kafka_options(
         options["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
     if min_partitions is not None:
         options["minPartitions"] = str(min_partitions)
-    return options
+    return options | (extra or {})
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, **options) -> DataFrame:

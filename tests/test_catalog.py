@@ -1,21 +1,24 @@
 import datetime as dt
+import re
+import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import transactions, wire_rows
+from helpers import formatted_plan, transactions, wire_rows
 from riskflow import schema as S
 from riskflow import streaming as st
-from riskflow.operators import daily_aggregates, with_event_ts, with_risk_action
+from riskflow.operators import daily_aggregates, to_envelope, with_event_ts, with_risk_action
 from riskflow.plans import run_daily, setup_catalog
 from riskflow.sinks import copy_scored, write_daily, write_envelope_files, write_scored
-from riskflow.operators import to_envelope
 from riskflow.sources import (
     drop_table,
     partition_counts,
     read_daily,
     read_envelope_files,
     register_partitioned,
+    register_sink,
     repair_partitions,
 )
 from riskflow.streaming.fanout import decode_messages
@@ -70,13 +73,17 @@ def test_static_overwrite_drops_other_days_and_dynamic_keeps_them(spark, folder)
         assert read_daily(spark, path).count() == days
 
 
-def test_a_streaming_sink_is_copied_before_it_becomes_a_table(spark, name, folder):
-    write_envelope_files(to_envelope(wire_rows(spark, 30)), folder("messages"))
+def _stream_more(spark, folder, n=30):
+    write_envelope_files(to_envelope(wire_rows(spark, n)), folder("messages"))
     valid, _ = decode_messages(read_envelope_files(spark, folder("messages")))
     scored = with_risk_action(valid.withColumn("Fraud_Probability", F.col("V1") / 30))
     st.write_scored_stream(
         scored, folder("sink"), folder("check"), st.RUN_TO_COMPLETION
     ).awaitTermination()
+
+
+def test_a_streaming_sink_is_copied_before_it_becomes_a_table(spark, name, folder):
+    _stream_more(spark, folder)
     with pytest.raises(ValueError, match="streaming sink"):
         register_partitioned(spark, name, S.SCORED, "Risk_Action", folder("sink"))
     copy_scored(spark, folder("sink"), folder("table"))
@@ -85,6 +92,38 @@ def test_a_streaming_sink_is_copied_before_it_becomes_a_table(spark, name, folde
     assert spark.table(name).count() == 30
 
 
+def test_a_view_over_a_streaming_sink_is_always_current(spark, name, folder):
+    _stream_more(spark, folder)
+    register_sink(spark, name, S.SCORED, folder("sink"))
+    assert spark.table(name).count() == 30
+    assert spark.table(name).columns == S.SCORED.names
+
+    _stream_more(spark, folder, 12)
+    assert spark.table(name).count() == 42
+    repair_partitions(spark, name)
+
+    # A file that no batch committed, as a failed attempt leaves behind.
+    blocked = spark.table(name).filter("Risk_Action = 'BLOCK_CARD'")
+    n_blocked, stray = blocked.count(), Path(folder("sink"), "Risk_Action=BLOCK_CARD")
+    file = next(stray.glob("*.parquet"))
+    shutil.copy(file, stray / "part-stray.snappy.parquet")
+    assert spark.table(name).filter("Risk_Action = 'BLOCK_CARD'").count() == n_blocked
+    assert re.search(r"PartitionFilters: \[.*BLOCK_CARD", formatted_plan(blocked))
+
+    drop_table(spark, name)
+    assert not spark.catalog.tableExists(name)
+
+
+def test_setup_on_a_streaming_sink(spark, name, folder):
+    _stream_more(spark, folder)
+    run_daily(spark, folder("sink"), folder("daily"), table=None)
+    names = f"{name}_tx", f"{name}_day", f"{name}_view"
+    for _ in range(2):
+        setup_catalog(spark, folder("sink"), folder("daily"), *names)
+    rows = spark.table(names[2]).collect()
+    assert len(rows) == 30 and {r["total_transactions"] for r in rows} == {30}
+
+
 def test_setup_and_overview(spark, name, folder):
     write_scored(_scored(spark), folder("scored"))
     run_daily(spark, folder("scored"), folder("daily"), table=None)

@@ -39,9 +39,12 @@ def test_from_history_to_overview(spark, folder, clean_catalog, follow):
         + ["--path", folder("messages"), *follow]
     )
     sink = folder("job") + "/transactions"
-    main(["publish", "--sink", sink, "--scored", folder("scored")])
-    main(["daily", "--scored", folder("scored"), "--daily", folder("daily")])
-    main(["setup", "--scored", folder("scored"), "--daily", folder("daily")])
+    scored = sink
+    if follow:
+        scored = folder("scored")
+        main(["publish", "--sink", sink, "--scored", scored])
+    main(["daily", "--scored", scored, "--daily", folder("daily")])
+    main(["setup", "--scored", scored, "--daily", folder("daily")])
     main(["repair"])
 
     assert read_scored(spark, sink).count() == 987

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from helpers import formatted_plan, physical_plan, wire_rows
 from riskflow import fixtures, ml
 from riskflow.operators import (
+    alerts,
     daily_aggregates,
     parse_wire,
     preview,
@@ -20,6 +21,7 @@ from riskflow.operators import (
     with_class_weight,
     with_event_ts,
     with_risk_action,
+    with_sequence,
 )
 from riskflow.operators.wire import CORRUPT
 from riskflow.plans import setup_catalog
@@ -117,3 +119,23 @@ def test_top_k_instead_of_a_global_sort(spark, scored_path):
     tx = read_scored(spark, scored_path)
     assert "TakeOrderedAndProject" in physical_plan(preview(daily_aggregates(tx), "transaction_date"))
     assert "TakeOrderedAndProject" in physical_plan(replay_selection(tx, ["Time"]))
+
+
+def test_whole_view_moves_no_transactions(spark, scored_path, name, folder):
+    write_daily(daily_aggregates(read_scored(spark, scored_path)), folder("daily"))
+    names = f"{name}_tx", f"{name}_day", f"{name}_view"
+    setup_catalog(spark, scored_path, folder("daily"), *names)
+    plan = physical_plan(spark.table(names[2]))
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_alert_followers_read_only_what_an_alert_holds(spark, scored_path):
+    found = alerts(read_scored(spark, scored_path))
+    plan = formatted_plan(found)
+    assert _read_columns(plan) == [{"eventTime", "Amount", "Fraud_Probability"}]
+    assert re.search(r"PartitionFilters: \[.*Risk_Action", plan)
+
+
+def test_sequence_offsets_are_the_only_broadcast(spark):
+    plan = physical_plan(with_sequence(spark.range(1000), ["id"]))
+    assert plan.count("BroadcastHashJoin") == 1 and "CartesianProduct" not in plan

@@ -51,6 +51,8 @@ def test_kafka_options():
     bounded = kafka_options("h", "pay", "latest", max_offsets_per_trigger=10, min_partitions=64)
     assert bounded["startingOffsets"] == "latest"
     assert bounded["maxOffsetsPerTrigger"] == "10" and bounded["minPartitions"] == "64"
+    secured = kafka_options("h", "pay", extra={"kafka.security.protocol": "SSL"})
+    assert secured["kafka.security.protocol"] == "SSL" and secured["subscribe"] == "pay"
     assert kafka_sink_options("h", "pay") == {"kafka.bootstrap.servers": "h", "topic": "pay"}
 
 
