@@ -17,6 +17,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def ensure_folder(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _file_system(spark, path)
+    fs.mkdirs(hadoop_path)
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder; none if it does not exist."""
     fs, hadoop_path = _file_system(spark, path)

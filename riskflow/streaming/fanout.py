@@ -14,6 +14,7 @@ from riskflow.operators.aggregate import window_anomalies
 from riskflow.operators.scored import alerts, with_alert_key, with_risk_action
 from riskflow.operators.wire import CORRUPT, REASON, parse_wire, split_valid, with_event_ts
 from riskflow.sources.scored import read_scored_stream
+from riskflow.storage import ensure_folder
 from riskflow.streaming.sinks import (
     write_alerts_stream,
     write_parquet_stream,
@@ -121,6 +122,7 @@ def start_followers(
     one trigger later. With a run-to-completion trigger, wait for the scored
     query first.
     """
+    ensure_folder(spark, paths.scored)  # a stream cannot be read from a missing one
     stored = read_scored_stream(spark, paths.scored, keep=["message_id"])
     return _start_alerts_and_windows(stored, stored, paths, trigger, **window_options)
 

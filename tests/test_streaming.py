@@ -308,3 +308,25 @@ def test_stream_and_batch_windows_agree_on_closed_windows(spark, folder):
         if r["end"] <= utc("2025-01-01T04:49:30")
     }
     assert run.seen == closed
+
+
+def test_followers_start_before_anything_is_scored(spark, folder):
+    """Followers start on an empty root and run beside the scoring."""
+    source, paths = folder("messages"), st.StreamPaths(folder("job"))
+    write_envelope_files(to_envelope(wire_rows(spark, 0)), source)
+    trigger = {"processingTime": "1 second"}
+    messages = read_envelope_files(spark, source)
+    followers = start_followers(spark, paths, trigger, watermark="0 minutes")
+    started = start_scoring(messages, _score, paths, trigger, keep_id=True) | followers
+    try:
+        for n in (30, 10):
+            write_envelope_files(to_envelope(wire_rows(spark, n)), source)
+            for query in started.values():
+                query.processAllAvailable()
+        assert all(query.isActive for query in started.values())
+    finally:
+        for query in started.values():
+            query.stop()
+    assert read_scored(spark, paths.scored).count() == 40
+    assert spark.read.parquet(paths.alerts).count() == 18 + 6
+    assert spark.read.parquet(paths.windows).count() == 5
