@@ -32,13 +32,13 @@ def plain_windows(windows: DataFrame) -> DataFrame:
     return windows.select(
         plain_time("window.start", "window_start"),
         plain_time("window.end", "window_end"),
-        F.round("avg_amount", 6).alias("avg_amount"),
+        F.round("avg_amount", 9).alias("avg_amount"),
         *others,
     )
 
 
 def rounded_daily(daily: DataFrame) -> DataFrame:
-    return daily.withColumn("avg_amount", F.round("avg_amount", 6))
+    return daily.withColumn("avg_amount", F.round("avg_amount", 9))
 
 
 def event_ts_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

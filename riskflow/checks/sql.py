@@ -50,7 +50,7 @@ def daily(source: str = "tx") -> str:
     return f"""SELECT CAST(event_ts AS DATE) AS transaction_date,
   CAST(count(*) AS BIGINT) AS total_transactions,
   CAST(count(*) FILTER ("Class" = 1) AS BIGINT) AS total_fraud_transactions,
-  round(avg("Amount"), 6) AS avg_amount,
+  round(avg("Amount"), 9) AS avg_amount,
   max("Amount") AS max_amount,
   min("Amount") AS min_amount,
   CAST(count(*) FILTER ("Risk_Action" = 'BLOCK_CARD') AS BIGINT) AS total_blocked,
@@ -62,7 +62,7 @@ def sliding(source: str = "tx") -> str:
     """Ten-minute windows every five minutes over ``source``."""
     return f"""SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end,
   CAST(count(*) AS BIGINT) AS total_txn,
-  round(avg("Amount"), 6) AS avg_amount,
+  round(avg("Amount"), 9) AS avg_amount,
   CAST(count(*) FILTER ("Class" = 1) AS BIGINT) AS fraud_count
   FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, event_ts) - k * INTERVAL 5 MINUTE AS window_start
         FROM {source}, (VALUES (0), (1)) AS shift(k) WHERE event_ts IS NOT NULL)

@@ -139,7 +139,7 @@ def _plain_overview(joined: DataFrame) -> DataFrame:
         "Risk_Action",
         "total_transactions",
         "total_fraud_transactions",
-        F.round("avg_amount", 6).alias("avg_amount"),
+        F.round("avg_amount", 9).alias("avg_amount"),
     )
 
 

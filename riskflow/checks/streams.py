@@ -256,7 +256,7 @@ placed AS (
   FROM typed, (VALUES (0), (1)) AS shift(k))
 SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end,
   CAST(count(*) AS BIGINT) AS total_txn,
-  round(avg("Amount"), 6) AS avg_amount,
+  round(avg("Amount"), 9) AS avg_amount,
   CAST(count(*) FILTER ("Class" = 1) AS BIGINT) AS fraud_count
 FROM placed, first_step
 WHERE (NOT late OR window_start + INTERVAL 10 MINUTE > mark)
