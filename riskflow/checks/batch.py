@@ -246,7 +246,8 @@ SELECT round(sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg))::DOU
 FROM ranked""",
     "replay_selection": sql.tx()
     + _REPLAY
-    + ' SELECT event_id, CAST(replay_group AS INTEGER) AS replay_group, "Class", "Amount" FROM chosen',
+    + """ SELECT event_id, CAST(replay_group AS INTEGER) AS replay_group, "Class", "Amount"
+FROM chosen""",
     "replay_sequence": sql.tx() + _REPLAY + " SELECT event_id, sequence FROM replayed",
     "replay_envelopes": sql.tx()
     + _REPLAY

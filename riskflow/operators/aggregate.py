@@ -52,11 +52,20 @@ def window_aggregates(
     """
     if tx.isStreaming:
         return _windows(tx.withWatermark("event_ts", watermark), length, slide)
-    if pd.Timedelta(length) % pd.Timedelta(slide) == pd.Timedelta(0):
+    if _overlap_evenly(length, slide):
         return _windows_from_panes(tx, length, slide)
     return _windows(tx, length, slide)
 
 
+def _overlap_evenly(length: str, slide: str) -> bool:
+    """Whether each window consists of several whole slides."""
+    try:
+        whole, step = pd.Timedelta(length), pd.Timedelta(slide)
+    except ValueError:  # a unit that only Spark knows, such as weeks
+        return False
+    return whole > step and whole % step == pd.Timedelta(0)
+
+
 def _windows(tx: DataFrame, length: str, slide: str) -> DataFrame:
     return tx.groupBy(F.window("event_ts", length, slide)).agg(
         F.count(F.lit(1)).alias("total_txn"),

@@ -16,15 +16,10 @@ def scored_columns() -> list[Column]:
     return [F.col(f.name).cast(f.dataType).alias(f.name) for f in S.SCORED.fields]
 
 
-def with_risk_action(df: DataFrame, block: float | None = None, otp: float | None = None) -> DataFrame:
-    return df.withColumn(
-        "Risk_Action",
-        risk_action(
-            "Fraud_Probability",
-            S.BLOCK_THRESHOLD if block is None else block,
-            S.OTP_THRESHOLD if otp is None else otp,
-        ),
-    )
+def with_risk_action(
+    df: DataFrame, block: float = S.BLOCK_THRESHOLD, otp: float = S.OTP_THRESHOLD
+) -> DataFrame:
+    return df.withColumn("Risk_Action", risk_action("Fraud_Probability", block, otp))
 
 
 def alerts(scored: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

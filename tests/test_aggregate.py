@@ -69,6 +69,7 @@ def test_window_measures_with_nulls(spark):
         ("1 hour", "5 minutes"),
         ("10 minutes", "4 minutes"),
         ("90 seconds", "1 minute"),
+        ("1 week", "1 day"),
     ],
 )
 def test_panes_equal_direct_windows(spark, length, slide):

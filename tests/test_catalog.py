@@ -155,7 +155,8 @@ def test_daily_job_repairs_other_tables_and_limits_its_days(spark, name, folder)
     write_scored(_scored(spark, 5, "2025-01-02"), folder("scored"), mode="append")
     run_daily(spark, folder("scored"), folder("daily"), name, since=dt.date(2025, 1, 2))
     spark.catalog.refreshTable(name)
-    totals = {str(r["transaction_date"]): r["total_transactions"] for r in spark.table(name).collect()}
+    rows = spark.table(name).collect()
+    totals = {str(r["transaction_date"]): r["total_transactions"] for r in rows}
     assert totals == {"2025-01-01": 10, "2025-01-02": 10}
 
 

@@ -40,7 +40,8 @@ def scored_path(spark, tmp_path_factory):
 
 
 def _read_columns(plan):
-    return [set(re.findall(r"(\w+):", found)) for found in re.findall(r"ReadSchema: struct<(.*?)>\n", plan)]
+    schemas = re.findall(r"ReadSchema: struct<(.*?)>\n", plan)
+    return [set(re.findall(r"(\w+):", schema)) for schema in schemas]
 
 
 def test_daily_reads_three_columns_and_pushes_its_filter(spark, scored_path):
@@ -80,7 +81,8 @@ def test_panes_are_aggregated_before_any_row_is_copied(spark, scored_path):
 def test_windows_need_neither_model_nor_score(spark, scored_path):
     history = fixtures.tx(spark, SMALL)
     model = ml.train_model(with_class_weight(history), trees=2, depth=2)
-    scored = with_risk_action(ml.score(model, read_scored(spark, scored_path).drop("Fraud_Probability")))
+    unscored = read_scored(spark, scored_path).drop("Fraud_Probability")
+    scored = with_risk_action(ml.score(model, unscored))
     plan = formatted_plan(window_aggregates(scored))
     assert "UDF" not in plan
     assert _read_columns(plan) == [{"Amount", "Class", "event_ts"}]
@@ -117,7 +119,8 @@ def test_view_prunes_and_broadcasts(spark, scored_path, name, folder):
 
 def test_top_k_instead_of_a_global_sort(spark, scored_path):
     tx = read_scored(spark, scored_path)
-    assert "TakeOrderedAndProject" in physical_plan(preview(daily_aggregates(tx), "transaction_date"))
+    first_days = preview(daily_aggregates(tx), "transaction_date")
+    assert "TakeOrderedAndProject" in physical_plan(first_days)
     assert "TakeOrderedAndProject" in physical_plan(replay_selection(tx, ["Time"]))
 
 

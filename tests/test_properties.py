@@ -84,8 +84,8 @@ def test_weights_and_split_and_sequence(spark, seed):
     df = spark.createDataFrame(
         [(k, int(rng.random() < 0.1)) for k in keys], "k long, Class int"
     ).repartition(seed)
-    sums = [r[0] for r in with_class_weight(df).groupBy("Class").agg(F.sum("weight")).select("sum(weight)").collect()]
-    assert sums == pytest.approx([800.0, 800.0])
+    sums = with_class_weight(df).groupBy("Class").agg(F.sum("weight").alias("w")).collect()
+    assert [r["w"] for r in sums] == pytest.approx([800.0, 800.0])
     train, test = hash_split(df, "k")
     assert sorted(r["k"] for r in train.unionByName(test).collect()) == sorted(keys)
     numbered = {r["k"]: r["sequence"] for r in with_sequence(df, ["k"]).collect()}

@@ -60,7 +60,8 @@ def test_anomaly_edges(spark, n, avg, flag):
 
 
 def test_high_risk_tiers(spark):
-    df = spark.createDataFrame([("BLOCK_CARD",), ("TRIGGER_OTP",), ("ALLOW",)], "Risk_Action string")
+    tiers = ["BLOCK_CARD", "TRIGGER_OTP", "ALLOW"]
+    df = spark.createDataFrame([(tier,) for tier in tiers], "Risk_Action string")
     assert [r[0] for r in df.select(is_high_risk()).collect()] == [True, True, False]
 
 

@@ -62,7 +62,8 @@ def test_binary_payload_and_kept_columns(spark):
 
 
 def test_envelope_round_trip_is_exact(spark):
-    rows = wire_rows(spark, 50, Amount=lambda i: i / 7, V3=lambda i: 1e-9 * i, Class=lambda i: i % 3)
+    values = {"Amount": lambda i: i / 7, "V3": lambda i: 1e-9 * i, "Class": lambda i: i % 3}
+    rows = wire_rows(spark, 50, **values)
     back = parse_wire(to_envelope(rows))
     assert back.schema.names == S.WIRE.names
     assert sorted(back.collect()) == sorted(rows.collect())
