@@ -1,4 +1,4 @@
-"""Batch sinks."""
+"""Batch sinks, and a store for alerts in HBase."""
 
 from riskflow.sinks.batch import (
     copy_scored,
@@ -8,9 +8,11 @@ from riskflow.sinks.batch import (
     write_kafka,
     write_scored,
 )
+from riskflow.sinks.wide_column import hbase_store
 
 __all__ = [
     "copy_scored",
+    "hbase_store",
     "kafka_sink_options",
     "write_daily",
     "write_envelope_files",

@@ -5,6 +5,7 @@ from riskflow.streaming.guards import StaleCheckpointError, guard_sink
 from riskflow.streaming.sinks import (
     EVERY_INTERVAL,
     RUN_TO_COMPLETION,
+    store_alerts,
     write_alerts_stream,
     write_parquet_stream,
     write_scored_stream,
@@ -20,6 +21,7 @@ __all__ = [
     "await_each",
     "guard_sink",
     "start_all",
+    "store_alerts",
     "write_alerts_stream",
     "write_parquet_stream",
     "write_scored_stream",

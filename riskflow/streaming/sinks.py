@@ -6,7 +6,7 @@ arguments of ``DataStreamWriter.trigger``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -64,27 +64,44 @@ def write_windows_stream(
 def write_alerts_stream(
     keyed_alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Alerts as keyed text cells, one folder per micro-batch.
+    """Alerts as keyed text cells in Parquet, one folder per micro-batch.
 
     The executors write the rows. A batch that is replayed after a failure
     replaces its own folder, and the keys are deterministic, so alerts are
-    neither lost nor doubled. A batch without alerts writes nothing.
+    neither lost nor doubled.
     """
     guard_sink(keyed_alerts.sparkSession, path, checkpoint, BATCH_FOLDERS)
-    cells = alert_cells(keyed_alerts)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        # Both the emptiness test and the write read the batch; score it once.
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return store_alerts(keyed_alerts, store, checkpoint, trigger)
+
+
+def store_alerts(
+    keyed_alerts: DataFrame,
+    store: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Hand each micro-batch of alert cells, unless empty, to ``store``.
+
+    ``store`` may see a batch again after a failure and must then leave the
+    same result.
+    """
+
+    def store_unless_empty(batch: DataFrame, batch_id: int) -> None:
+        # Both the emptiness test and the store read the batch; score it once.
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if not batch.isEmpty():
-                batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+                store(batch, batch_id)
         finally:
             batch.unpersist()
 
     return (
-        cells.writeStream
-        .foreachBatch(store)
+        alert_cells(keyed_alerts)
+        .writeStream.foreachBatch(store_unless_empty)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(**(trigger or EVERY_INTERVAL))

@@ -1,0 +1,117 @@
+import sys
+import types
+
+import pytest
+from pyspark.sql import Row
+
+from helpers import wire_rows
+from riskflow import streaming as st
+from riskflow.operators import alert_cells, alerts, to_envelope, with_alert_key, with_risk_action
+from riskflow.sinks import hbase_store, write_envelope_files
+from riskflow.sinks.wide_column import alert_put, put_alerts
+from riskflow.sources import read_envelope_files
+from riskflow.streaming.fanout import decode_messages
+
+ALERT = Row("alert_key", "eventTime", "Amount", "Fraud_Probability", "Risk_Action")
+
+
+class _Batch:
+    def __init__(self, stored, batch_size):
+        self.stored, self.waiting, self.batch_size = stored, {}, batch_size
+
+    def put(self, key, cells):
+        self.waiting[key] = cells
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error):
+        self.stored.update(self.waiting)
+
+
+class _Connection:
+    opened, closed, stored = [], [], {}
+
+    def __init__(self, host):
+        self.opened.append(host)
+
+    def table(self, name):
+        return types.SimpleNamespace(
+            batch=lambda batch_size: _Batch(self.stored.setdefault(name, {}), batch_size)
+        )
+
+    def close(self):
+        self.closed.append(True)
+
+
+@pytest.fixture
+def client(monkeypatch):
+    """A stand-in for the HBase client, in this process."""
+    fake = type("Connection", (_Connection,), {"opened": [], "closed": [], "stored": {}})
+    monkeypatch.setitem(sys.modules, "happybase", types.SimpleNamespace(Connection=fake))
+    return fake
+
+
+def test_cells_of_an_alert():
+    key, cells = alert_put(ALERT("t_1", "t", "1.5", "0.9", "BLOCK_CARD"))
+    assert key == b"t_1"
+    assert cells == {
+        b"cf:eventTime": b"t",
+        b"cf:Amount": b"1.5",
+        b"cf:Fraud_Probability": b"0.9",
+        b"cf:Risk_Action": b"BLOCK_CARD",
+    }
+
+
+def test_a_null_has_no_cell():
+    _, cells = alert_put(ALERT("unknown_1", None, None, "0.9", "BLOCK_CARD"))
+    assert cells.keys() == {b"cf:Fraud_Probability", b"cf:Risk_Action"}
+
+
+def test_a_partition_uses_one_connection_and_repeats_safely(client):
+    rows = [ALERT(f"t_{i}", "t", "1.0", "0.5", "TRIGGER_OTP") for i in range(5)]
+    for _ in range(2):
+        put_alerts(iter(rows), "host", "alerts")
+    assert client.opened == ["host"] * 2 and len(client.closed) == 2
+    assert client.stored["alerts"].keys() == {f"t_{i}".encode() for i in range(5)}
+
+
+def test_the_connection_is_closed_after_an_error(client):
+    def rows():
+        yield ALERT("t_1", "t", "1.0", "0.5", "TRIGGER_OTP")
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        put_alerts(rows(), "host", "alerts")
+    assert len(client.closed) == 1
+
+
+def _keyed_alerts(messages):
+    valid, _ = decode_messages(messages)
+    scored = with_risk_action(valid.selectExpr("*", "V1 % 10 / 10 AS Fraud_Probability"))
+    return with_alert_key(alerts(scored, keep=["message_id"]), ["message_id"])
+
+
+def test_a_stream_hands_its_batches_to_the_store(spark, folder):
+    write_envelope_files(to_envelope(wire_rows(spark, 20)), folder("messages"))
+    keyed = _keyed_alerts(read_envelope_files(spark, folder("messages")))
+    seen = []
+
+    def store(batch, batch_id):
+        seen.append((batch_id, sorted(map(alert_put, batch.collect()))))
+
+    st.store_alerts(keyed, store, folder("check"), st.RUN_TO_COMPLETION).awaitTermination()
+    batch = alert_cells(_keyed_alerts(spark.read.text(folder("messages"))))
+    assert seen == [(0, sorted(map(alert_put, batch.collect())))]
+    assert len(seen[0][1]) == 12
+
+
+def test_the_store_runs_on_the_executors(spark, folder):
+    """Their Python has no client here, and says so."""
+    write_envelope_files(to_envelope(wire_rows(spark, 20)), folder("messages"))
+    keyed = _keyed_alerts(read_envelope_files(spark, folder("messages")))
+    query = st.store_alerts(
+        keyed, hbase_store("host", "alerts"), folder("check"), st.RUN_TO_COMPLETION
+    )
+    with pytest.raises(Exception, match="happybase"):
+        query.awaitTermination()
