@@ -56,6 +56,9 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
         streaming.StreamPaths(args.output),
         trigger,
         follow=args.follow,
+        alert_store=sinks.hbase_store(args.hbase_host, args.hbase_table)
+        if args.hbase_host
+        else None,
     )
     if args.once:
         streaming.await_each(running.values())
@@ -121,6 +124,8 @@ def build_parser() -> argparse.ArgumentParser:
     stream.add_argument("--once", action="store_true", help="process what is there, then stop")
     stream.add_argument("--follow", action="store_true", help="score once; see the README")
     stream.add_argument("--rocksdb", action="store_true", help="keep window state in RocksDB")
+    stream.add_argument("--hbase-host", help="put alerts into HBase instead of Parquet")
+    stream.add_argument("--hbase-table", default=S.ALERT_TABLE)
     stream.set_defaults(run=_stream)
 
     daily = jobs.add_parser("daily", help="write daily totals and repair their table")

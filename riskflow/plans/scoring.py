@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from riskflow.ml import load_model, score
 from riskflow.streaming.fanout import (
+    AlertStore,
     StreamPaths,
     await_each,
     start_all,
@@ -25,19 +26,21 @@ def run_stream(
     paths: StreamPaths,
     trigger: dict | None = None,
     follow: bool = False,
+    alert_store: AlertStore | None = None,
     **window_options,
 ) -> dict[str, StreamingQuery]:
     """Start every output of the scoring job and return the running queries.
 
     By default each output is an independent query over the messages. With
-    ``follow`` alerts and windows read the stored scored rows instead.
+    ``follow`` alerts and windows read the stored scored rows instead. Alerts
+    go to Parquet unless there is an ``alert_store``.
     """
     if isinstance(model, str):
         model = load_model(model)
     scorer = partial(score, model)
     if not follow:
-        return start_all(messages, scorer, paths, trigger, **window_options)
+        return start_all(messages, scorer, paths, trigger, alert_store, **window_options)
     started = start_scoring(messages, scorer, paths, trigger, keep_id=True)
     if trigger and trigger.get("availableNow"):
         await_each(started.values())
-    return started | start_followers(spark, paths, trigger, **window_options)
+    return started | start_followers(spark, paths, trigger, alert_store, **window_options)

@@ -27,6 +27,8 @@ TRIGGER_INTERVAL = "10 seconds"
 SCORED_TABLE = "transactions_stream"
 DAILY_TABLE = "daily_fraud_aggregates"
 OVERVIEW_VIEW = "fraud_overview"
+ALERT_TABLE = "fraud_alerts"
+ALERT_FAMILY = "cf"
 # End of fixed values.
 
 

@@ -11,16 +11,13 @@ from pyspark.sql import DataFrame, Row
 
 from riskflow import schema as S
 
-# Fixed value: the column family that readers of the alert table expect.
-FAMILY = "cf"
-
 PUTS_PER_SEND = 1000
 
 
 def alert_put(row: Row) -> tuple[bytes, dict[bytes, bytes]]:
     """Row key and cells of one alert; a null has no cell."""
     cells = {
-        f"{FAMILY}:{name}".encode(): row[name].encode()
+        f"{S.ALERT_FAMILY}:{name}".encode(): row[name].encode()
         for name in S.ALERT_COLUMNS
         if row[name] is not None
     }

@@ -16,6 +16,7 @@ from riskflow.operators.wire import CORRUPT, REASON, parse_wire, split_valid, wi
 from riskflow.sources.scored import read_scored_stream
 from riskflow.storage import ensure_folder
 from riskflow.streaming.sinks import (
+    store_alerts,
     write_alerts_stream,
     write_parquet_stream,
     write_scored_stream,
@@ -23,6 +24,7 @@ from riskflow.streaming.sinks import (
 )
 
 Scorer = Callable[[DataFrame], DataFrame]
+AlertStore = Callable[[DataFrame, int], None]
 
 
 @dataclass(frozen=True)
@@ -69,6 +71,7 @@ def start_all(
     scorer: Scorer,
     paths: StreamPaths,
     trigger: dict | None = None,
+    alert_store: AlertStore | None = None,
     **window_options,
 ) -> dict[str, StreamingQuery]:
     """Start one independent query per output, as a failure then stops only one.
@@ -76,11 +79,12 @@ def start_all(
     Each query reads and parses the messages, and both the scored and the
     alert query score them. ``start_scoring`` with ``start_followers`` does
     that work once. The window query needs no score, so its plan has none.
+    Alerts go to Parquet, or to ``alert_store`` if there is one.
     """
     valid, _ = decode_messages(messages)
     scored = with_risk_action(scorer(valid))
     return start_scoring(messages, scorer, paths, trigger) | _start_alerts_and_windows(
-        scored, valid, paths, trigger, **window_options
+        scored, valid, paths, trigger, alert_store, **window_options
     )
 
 
@@ -112,7 +116,11 @@ def start_scoring(
 
 
 def start_followers(
-    spark: SparkSession, paths: StreamPaths, trigger: dict | None = None, **window_options
+    spark: SparkSession,
+    paths: StreamPaths,
+    trigger: dict | None = None,
+    alert_store: AlertStore | None = None,
+    **window_options,
 ) -> dict[str, StreamingQuery]:
     """Start alerts and windows on top of scored rows stored with their ids.
 
@@ -124,7 +132,9 @@ def start_followers(
     """
     ensure_folder(spark, paths.scored)  # a stream cannot be read from a missing one
     stored = read_scored_stream(spark, paths.scored, keep=["message_id"])
-    return _start_alerts_and_windows(stored, stored, paths, trigger, **window_options)
+    return _start_alerts_and_windows(
+        stored, stored, paths, trigger, alert_store, **window_options
+    )
 
 
 def _start_alerts_and_windows(
@@ -132,15 +142,15 @@ def _start_alerts_and_windows(
     tx: DataFrame,
     paths: StreamPaths,
     trigger: dict | None,
+    alert_store: AlertStore | None,
     **window_options,
 ) -> dict[str, StreamingQuery]:
+    keyed = with_alert_key(alerts(scored, keep=["message_id"]), ["message_id"])
+    checkpoint = paths.checkpoint("alerts")
     return {
-        "alerts": write_alerts_stream(
-            with_alert_key(alerts(scored, keep=["message_id"]), ["message_id"]),
-            paths.alerts,
-            paths.checkpoint("alerts"),
-            trigger,
-        ),
+        "alerts": write_alerts_stream(keyed, paths.alerts, checkpoint, trigger)
+        if alert_store is None
+        else store_alerts(keyed, alert_store, checkpoint, trigger),
         "windows": write_windows_stream(
             window_anomalies(tx, **window_options),
             paths.windows,

@@ -10,7 +10,8 @@ from riskflow.operators import alert_cells, alerts, to_envelope, with_alert_key,
 from riskflow.sinks import hbase_store, write_envelope_files
 from riskflow.sinks.wide_column import alert_put, put_alerts
 from riskflow.sources import read_envelope_files
-from riskflow.streaming.fanout import decode_messages
+from riskflow.storage import path_exists
+from riskflow.streaming.fanout import decode_messages, start_followers, start_scoring
 
 ALERT = Row("alert_key", "eventTime", "Amount", "Fraud_Probability", "Risk_Action")
 
@@ -115,3 +116,25 @@ def test_the_store_runs_on_the_executors(spark, folder):
     )
     with pytest.raises(Exception, match="happybase"):
         query.awaitTermination()
+
+
+@pytest.mark.parametrize("follow", [False, True])
+def test_the_scoring_job_takes_a_store(spark, folder, follow):
+    def score(df):
+        return df.selectExpr("*", "V1 % 10 / 10 AS Fraud_Probability")
+
+    write_envelope_files(to_envelope(wire_rows(spark, 20)), folder("messages"))
+    messages, paths = read_envelope_files(spark, folder("messages")), st.StreamPaths(folder("job"))
+    keys = []
+
+    def store(batch, batch_id):
+        keys.extend(row["alert_key"] for row in batch.collect())
+
+    once = st.RUN_TO_COMPLETION
+    if follow:
+        st.await_each(start_scoring(messages, score, paths, once, keep_id=True).values())
+        st.await_each(start_followers(spark, paths, once, alert_store=store).values())
+    else:
+        st.await_each(st.start_all(messages, score, paths, once, alert_store=store).values())
+    assert len(keys) == len(set(keys)) == 12
+    assert not path_exists(spark, paths.alerts)
