@@ -73,7 +73,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = fixtures.envelopes(fixtures.tx_dirty(spark, sf_dir), dirty=True)
+    messages = fixtures.messages(spark, sf_dir, dirty=True, broken=True)
     parsed = ops.with_event_ts(ops.parse_wire(messages, keep=["event_id"], corrupt=CORRUPT))
     valid, rejected = ops.split_valid(parsed)
     parts = valid.withColumn("scored", F.lit(True)).unionByName(
@@ -148,7 +148,7 @@ def replay_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = fixtures.envelopes(fixtures.tx_dirty(spark, sf_dir))
+    messages = fixtures.messages(spark, sf_dir, dirty=True)
     return ops.parse_wire(messages, keep=["event_id"])
 
 

@@ -30,14 +30,14 @@ def _finish(*queries) -> None:
 
 def _dirty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "messages")
-    messages = fixtures.envelopes(fixtures.tx_dirty(spark, sf_dir), dirty=True)
+    messages = fixtures.messages(spark, sf_dir, dirty=True, broken=True)
     sinks.write_envelope_files(messages, path)
     return sources.read_envelope_files(spark, path)
 
 
 def src_stream_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages, root = scratch_dir(spark, "messages"), scratch_dir(spark, "stream")
-    sinks.write_envelope_files(fixtures.envelopes(fixtures.tx(spark, sf_dir)), messages)
+    sinks.write_envelope_files(fixtures.messages(spark, sf_dir), messages)
     parsed = ops.parse_wire(sources.read_envelope_files(spark, messages))
     _finish(
         st.write_parquet_stream(parsed, f"{root}/out", f"{root}/check", st.RUN_TO_COMPLETION)

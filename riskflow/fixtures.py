@@ -75,10 +75,27 @@ def tx_from_events(source: DataFrame, dirty: bool = False) -> DataFrame:
     )
 
 
-def envelopes(transactions: DataFrame, dirty: bool = False) -> DataFrame:
-    """Messages of the transactions, with ``event_id`` beside them."""
-    messages = to_envelope(transactions.select("event_id", *S.WIRE.names), keep=["event_id"])
-    if not dirty:
-        return messages
-    broken = F.when(F.col("event_id") % 500 == 6, BROKEN_JSON).otherwise(F.col("value"))
-    return messages.withColumn("value", broken)
+def messages(
+    spark: SparkSession, sf_dir: str, dirty: bool = False, broken: bool = False
+) -> DataFrame:
+    """Messages of the whole table, encoded by every core.
+
+    Encoding is slow next to reading, and a small table may be a single file.
+    A table in at least as many pieces as there are cores is not shuffled.
+    """
+    rows, cores = events(spark, sf_dir), spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return envelopes(tx_from_events(rows, dirty), broken)
+
+
+def envelopes(transactions: DataFrame, broken: bool = False) -> DataFrame:
+    """Messages of the transactions, with ``event_id`` beside them.
+
+    ``broken`` damages the text of one message in 500.
+    """
+    encoded = to_envelope(transactions.select("event_id", *S.WIRE.names), keep=["event_id"])
+    if not broken:
+        return encoded
+    text = F.when(F.col("event_id") % 500 == 6, BROKEN_JSON).otherwise(F.col("value"))
+    return encoded.withColumn("value", text)

@@ -51,6 +51,9 @@ def train_model(
         featureSubsetStrategy=FEATURE_SUBSET,
         **forest_params,
     )
+    # Naming the number of classes saves the forest a pass to find it out.
+    binary = {"ml_attr": {"type": "nominal", "num_vals": 2, "name": label}}
+    train = train.withMetadata(label, binary)
     return Pipeline(stages=[feature_stage(), forest]).fit(train)
 
 

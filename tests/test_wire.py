@@ -102,9 +102,7 @@ def test_split_keeps_every_row_and_names_the_first_fault(spark):
 
 
 def test_quarantine_counts_on_the_fixture(spark):
-    messages = fixtures.envelopes(
-        fixtures.tx_dirty(spark, "/root/testdata/sf0.01"), dirty=True
-    )
+    messages = fixtures.messages(spark, "/root/testdata/sf0.01", dirty=True, broken=True)
     valid, rejected = split_valid(with_event_ts(parse_wire(messages, corrupt=CORRUPT)))
     counts = {r[REASON]: r["count"] for r in rejected.groupBy(REASON).count().collect()}
     labels = {r[REASON]: r["count"] for r in valid.groupBy(REASON).count().collect()}
