@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskflow.llm import exact_dedup, source_mix
+from riskflow.llm import bpe, exact_dedup, quality, source_mix, toxicity
 from riskflow.llm.common import workers_can_import
 
 
@@ -12,14 +13,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return workers_can_import(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(m: int):
+    return F.crc32(F.col("doc_id").cast("string")) % m
+
+
+def _verdict(scored: DataFrame, held_out, threshold: float) -> list:
+    return [
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    ]
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, learn=_remainder(4) != 2)
+    found = toxicity.located(docs, model)
+    columns = _verdict(found, _remainder(4) == 2, toxicity.THRESHOLD)
+    return found.select(*columns, F.size("offending").alias("n_offending"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.shares(_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op6_source_mix, op8_exact_dedup)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, learn=_remainder(5) != 0)
+    found = quality.scored(docs, model)
+    return found.select(*_verdict(found, _remainder(5) == 0, quality.THRESHOLD))
+
+
+QUERIES = {
+    query.__name__: query
+    for query in (op1_toxicity, op6_source_mix, op7_bpe, op8_exact_dedup, op10_quality)
+}
 
 SQL = {"op6_source_mix": source_mix.QUERY_SQL, "op8_exact_dedup": exact_dedup.QUERY_SQL}
