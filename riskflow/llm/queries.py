@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, exact_dedup, quality, source_mix, toxicity
+from riskflow.llm import bpe, exact_dedup, quality, simhash, source_mix, toxicity
 from riskflow.llm.common import workers_can_import
 
 
@@ -50,6 +50,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels")
@@ -60,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_toxicity, op6_source_mix, op7_bpe, op8_exact_dedup, op10_quality)
+    for query in (op1_toxicity, op6_source_mix, op7_bpe, op8_exact_dedup, op9_simhash, op10_quality)
 }
 
 SQL = {"op6_source_mix": source_mix.QUERY_SQL, "op8_exact_dedup": exact_dedup.QUERY_SQL}
