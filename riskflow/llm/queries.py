@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, exact_dedup, quality, simhash, source_mix, toxicity
-from riskflow.llm.common import workers_can_import
+from riskflow.llm import bpe, exact_dedup, quality, simhash, source_mix, toxicity, vector_search
+from riskflow.llm.common import stored, workers_can_import
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*columns, F.size("offending").alias("n_offending"))
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_search.usable(_table(spark, sf_dir, "embeddings"))
+    index = stored(vector_search.index(rows), "vectors")
+    return vector_search.nearest(index.filter(F.col("vec_id") % 50 == 0), index, k=5)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.shares(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_toxicity, op6_source_mix, op7_bpe, op8_exact_dedup, op9_simhash, op10_quality)
+    for query in (op1_toxicity, op5_vector_search, op6_source_mix, op7_bpe, op8_exact_dedup, op9_simhash, op10_quality)
 }
 
 SQL = {"op6_source_mix": source_mix.QUERY_SQL, "op8_exact_dedup": exact_dedup.QUERY_SQL}
