@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, exact_dedup, quality, simhash, source_mix, toxicity, vector_search
+from riskflow.llm import bpe, exact_dedup, quality, simhash, source_mix
+from riskflow.llm import suffix_dedup, toxicity, vector_search, window_dedup
 from riskflow.llm.common import stored, workers_can_import
 
 
@@ -35,6 +36,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*columns, F.size("offending").alias("n_offending"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
+def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vector_search.usable(_table(spark, sf_dir, "embeddings"))
     index = stored(vector_search.index(rows), "vectors")
@@ -70,7 +79,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_toxicity, op5_vector_search, op6_source_mix, op7_bpe, op8_exact_dedup, op9_simhash, op10_quality)
+    for query in (
+        op1_toxicity,
+        op2_suffix_dedup,
+        op3_window_dedup,
+        op5_vector_search,
+        op6_source_mix,
+        op7_bpe,
+        op8_exact_dedup,
+        op9_simhash,
+        op10_quality,
+    )
 }
 
 SQL = {"op6_source_mix": source_mix.QUERY_SQL, "op8_exact_dedup": exact_dedup.QUERY_SQL}
