@@ -34,7 +34,13 @@ def sample(
         .limit(rows)
     )
     texts = docs.select(docs[id].alias("_id"), text_of(docs, text).alias("text"))
-    return texts.join(F.broadcast(chosen), "_id").select("order", "label", "text")
+    # Rows that repeat an id are joined before they are moved: the least text is learnt from.
+    return (
+        texts.join(F.broadcast(chosen), "_id")
+        .groupBy("_id", "order", "label")
+        .agg(F.min("text").alias("text"))
+        .select("order", "label", "text")
+    )
 
 
 def fitted(

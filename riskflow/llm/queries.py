@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, exact_dedup, quality, simhash, source_mix
+from riskflow.llm import bpe, exact_dedup, html_text, quality, simhash, source_mix
 from riskflow.llm import suffix_dedup, toxicity, vector_search, window_dedup
 from riskflow.llm.common import stored, workers_can_import
 
@@ -44,6 +44,12 @@ def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.extracted(pages, html_text.train(pages)).drop("html")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vector_search.usable(_table(spark, sf_dir, "embeddings"))
     index = stored(vector_search.index(rows), "vectors")
@@ -83,6 +89,7 @@ QUERIES = {
         op1_toxicity,
         op2_suffix_dedup,
         op3_window_dedup,
+        op4_html_text,
         op5_vector_search,
         op6_source_mix,
         op7_bpe,
