@@ -29,10 +29,10 @@ from riskflow.llm.common import text_of, workers_can_import
 
 #: A document is toxic from this probability on, and so is a sentence.
 THRESHOLD = 0.3
-EPOCHS = 40
+EPOCHS = 30
 BATCH = 128
-#: Log odds of a sentence without known words, before and after training.
-START = -6.0
+#: Log odds of a sentence without known words; low, so that thousands of them add up to little.
+START = -9.0
 
 #: A longer word also enters by its first bytes, so that inflected forms share weight.
 STEMS = (4, 6, 8)
@@ -106,7 +106,7 @@ def _noisy_or(p, doc, n):
     return -np.expm1(none), none
 
 
-def _learn(rows, rate=0.3, l1=2e-4):
+def _learn(rows, rate=0.5, l1=1e-4):
     """Adaptive gradient steps on the noisy-or likelihood, with soft thresholds."""
     size = linear.DIMENSIONS
     w, seen = np.zeros(size + 1), np.full(size + 1, 1e-6)
