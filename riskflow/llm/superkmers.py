@@ -6,11 +6,14 @@ to the bucket of its minimiser. Consecutive windows that share one occurrence tr
 together, as one string that holds them all: a super-k-mer. There are few of them,
 and each has at most as many windows as a window has grams.
 
-A map task joins equal strings before anything is sent: occurrences that an earlier
-one in the same task already settles are reported at once and not sent. Minimisers
-that a sample of the documents shows to be very frequent are split: their windows are
-dealt one by one, by a hash of the whole window. The sample decides only how
-windows travel, never a result.
+First only the minimisers' hashes and places are dealt: a super-k-mer whose minimiser
+occurs once in the corpus cannot repeat. The others are cut out of the text, packed and
+dealt, and compared by their bytes. In both rounds a map task settles what it can see
+itself: of a minimiser that repeats inside the task it sends one occurrence, and of equal
+strings only those that no earlier one in the task settles, so what reaches a bucket
+of a hot passage is bounded by the number of tasks. Minimisers that a sample of the
+documents shows to be very frequent are split: their windows are dealt one by one, by a
+hash of the whole window. The sample decides only how windows travel, never a result.
 
 What is sent is packed into one compressed blob per task and bucket. A bucket is
 small whatever the data: their number follows the bytes of text.
@@ -42,6 +45,8 @@ FREQUENT = 0.02
 _U = np.uint64
 #: Place of a gram in the low bits, its hash in the others.
 _PLACE = _U((1 << 28) - 1)
+#: Instead of a minimiser's offset: a window of a frequent minimiser, dealt by itself.
+_ALONE = 255
 
 
 @dataclass
@@ -82,11 +87,12 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def find(units: Units, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window (by first unit) of every super-k-mer, and its minimiser's hash."""
+    """First window (by its first unit) and number of windows of every super-k-mer, and how
+    far its minimiser is from its first unit."""
     none = np.zeros(0, np.int64)
     n = len(units.doc)
     if n < window:
-        return none, none, np.zeros(0, _U)
+        return none, none, none
     places = np.arange(n - gram + 1, dtype=_U)
     place = (_least((units.grams & ~_PLACE) | (places & _PLACE), window - gram + 1) & _PLACE).astype(np.int64)
     whole = units.doc[: n - window + 1] == units.doc[window - 1 :]
@@ -95,23 +101,29 @@ def find(units: Units, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     closes = whole.copy()
     closes[:-1] &= ~whole[1:] | (place[1:] != place[:-1])
     first = np.flatnonzero(opens)
-    return first, np.flatnonzero(closes), units.grams[place[first]]
+    return first, np.flatnonzero(closes) - first + 1, place[first] - first
 
 
-def _split(first, last, key, hot, hasher, units, window):
-    """Super-k-mers of frequent minimisers, dealt window by window."""
-    if not len(hot):
-        return first, last, key
-    found = np.isin(key, hot)
+def _keys(units: Units, first, offset, hasher: A.Hasher, window: int) -> np.ndarray:
+    """What a super-k-mer is dealt by: its minimiser's hash, or that of its only window."""
+    alone = offset == _ALONE
+    keys = units.grams[first + np.where(alone, 0, offset)]
+    at = first[alone]
+    keys[alone] = hasher.spans(units.left[at], units.right[at + window - 1])
+    return keys
+
+
+def _split(first, windows, offset, key, hot):
+    """Super-k-mers of frequent minimisers, window by window."""
+    found = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
     if not found.any():
-        return first, last, key
-    count = (last - first + 1)[found]
+        return first, windows, offset
+    count = windows[found]
     alone = np.repeat(first[found] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    own = hasher.spans(units.left[alone], units.right[alone + window - 1])
     return (
         np.concatenate((first[~found], alone)),
-        np.concatenate((last[~found], alone)),
-        np.concatenate((key[~found], own)),
+        np.concatenate((windows[~found], np.ones(len(alone), np.int64))),
+        np.concatenate((offset[~found], np.full(len(alone), _ALONE))),
     )
 
 
@@ -167,180 +179,261 @@ def _unblob(blob: bytes, types: list) -> tuple[list[np.ndarray], bytes]:
     return columns, data[at:]
 
 
+_SEEN = [np.int64, np.uint32, np.int64, np.uint32]
+_PLACES = [np.int64, np.uint32, np.int64]
 _RUN = [np.int64, np.uint32, np.int32, np.uint8, np.int32, np.uint32]
 _SPAN = [np.int64, np.uint32, np.int32, np.int32]
 SPANS = "doc_id long, tag long, first long, length long"
+BLOBS = "bucket int, kind int, blob binary"
 
 
-def _span_batch(doc_id, tag, first, length) -> pa.RecordBatch:
-    names = ["doc_id", "tag", "first", "length"]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(c).astype(np.int64)) for c in (doc_id, tag, first, length)], names=names
-    )
+def _longs(names: str, *columns) -> pa.RecordBatch:
+    arrays = [pa.array(np.asarray(c).astype(np.int64)) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, names=names.split())
 
 
-def _sender(read: Callable, window: int, gram: int, settled: Settled, buckets: int, hot: np.ndarray):
-    """The map task: super-k-mers of its documents as blobs, (bucket, kind, blob)."""
+class _Outbox:
+    """Rows of (bucket, kind, blob), some at a time."""
 
-    def flush(held):
-        joined = [np.concatenate([h[k] for h in held]) for k in range(7)]
-        doc_id, tag, start, windows, key, content, size = joined
-        text = [h[7] for h in held]
-        base = np.cumsum([0] + [len(t) for t in text])[:-1]
-        begin = np.concatenate([h[8] + b for h, b in zip(held, base, strict=True)])
-        whole = b"".join(t.tobytes() for t in text)
-        # Only strings whose hash is not alone can be equal to another one.
-        order = np.argsort(content, kind="stable")
-        same = content[order][1:] == content[order][:-1]
-        several = np.zeros(len(order), bool)
-        several[order[1:][same]] = several[order[:-1][same]] = True
-        some = np.flatnonzero(several)
-        cls = classes(whole, begin[some], size[some])
-        done = np.zeros(len(order), bool)
-        done[some] = settled(cls, doc_id[some], tag[some], start[some])
-        rows = {"bucket": [], "kind": [], "blob": []}
-        if done.any():
-            rows["bucket"].append(int(content[done][0] % _U(buckets)))
-            rows["kind"].append(1)
-            rows["blob"].append(
-                _blob(
-                    doc_id[done],
-                    tag[done],
-                    start[done].astype(np.int32),
-                    (windows[done] + window - 1).astype(np.int32),
-                )
-            )
-        left = np.flatnonzero(~done)
-        bucket = (key[left] % _U(buckets)).astype(np.int64)
-        left = left[np.argsort(bucket, kind="stable")]
-        bucket = np.sort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        flat = np.frombuffer(whole, np.uint8)
-        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            mine = left[cuts[b] : cuts[b + 1]]
-            n = size[mine]
-            take = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            rest = ((key[mine] // _U(buckets)) & _U(0xFFFFFFFF)).astype(np.uint32)
-            columns = (doc_id[mine], tag[mine], start[mine], windows[mine], n, rest)
-            columns = [c.astype(kind) for c, kind in zip(columns, _RUN, strict=True)]
-            rows["bucket"].append(b)
-            rows["kind"].append(0)
-            rows["blob"].append(_blob(*columns, text=flat[take].tobytes()))
-            if len(rows["blob"]) >= 64:
-                yield _rows(rows)
-                rows = {"bucket": [], "kind": [], "blob": []}
-        if rows["blob"]:
-            yield _rows(rows)
-
-    def _rows(rows):
+    def __init__(self):
+        self.rows = {"bucket": [], "kind": [], "blob": []}
+
+    def put(self, bucket, kind, blob):
+        for column, value in zip(self.rows.values(), (int(bucket), kind, blob), strict=True):
+            column.append(value)
+
+    def full(self, most=64):
+        return len(self.rows["blob"]) >= most
+
+    def take(self) -> pa.RecordBatch:
         types = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+        rows, self.rows = self.rows, {"bucket": [], "kind": [], "blob": []}
         return pa.RecordBatch.from_pydict(rows, schema=types)
 
+
+def _by_bucket(key: np.ndarray, chosen: np.ndarray, buckets: int):
+    """(bucket, entries) of the chosen entries."""
+    bucket = (key[chosen] % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        yield b, chosen[order[cuts[b] : cuts[b + 1]]]
+
+
+def _rest(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key // _U(buckets)) & _U(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _several(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of the values that occur more than once, and of one occurrence of each value."""
+    order = np.argsort(values, kind="stable")
+    same = values[order][1:] == values[order][:-1]
+    several, one = np.zeros(len(order), bool), np.ones(len(order), bool)
+    several[order[1:][same]] = several[order[:-1][same]] = True
+    one[order[1:][same]] = False
+    return several, one
+
+
+def _flushed(make: Callable, flush: Callable):
+    """A map task that makes arrays of each piece of text and sends them some at a time."""
+
     def run(batches):
-        held, bytes_held = [], 0
+        held, size = [], 0
         for piece, raw, offsets in A.pieces(batches, "text"):
-            units = read(raw, offsets)
-            first, last, key = find(units, window, gram)
-            if not len(first):
+            made = make(piece, raw, offsets)
+            if made is None:
                 continue
-            hasher = A.Hasher(units.flat)
-            first, last, key = _split(first, last, key, hot, hasher, units, window)
-            left, right = units.left[first], units.right[last + window - 1]
-            doc = units.doc[first]
-            # The first unit of each document, to count from there.
-            zero = np.searchsorted(units.doc, doc)
-            ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
-            tags = piece.column("tag").to_numpy(zero_copy_only=False).astype(np.uint32)
-            held.append(
-                (
-                    ids[doc],
-                    tags[doc],
-                    first - zero,
-                    last - first + 1,
-                    key,
-                    hasher.spans(left, right),
-                    right - left,
-                    units.flat,
-                    left,
-                )
-            )
-            bytes_held += len(units.flat)
-            if bytes_held >= GATHERED:
+            held.append(made)
+            size += len(raw)
+            if size >= GATHERED:
                 yield from flush(held)
-                held, bytes_held = [], 0
+                held, size = [], 0
         if held:
             yield from flush(held)
 
     return run
 
 
+def _ids(piece: pa.RecordBatch, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
+    return ids[doc], piece.column("tag").to_numpy(zero_copy_only=False)[doc]
+
+
+def _place_sender(read: Callable, window: int, gram: int, buckets: int, hot: np.ndarray):
+    """Round one: the minimisers of all super-k-mers.
+
+    A place is the first unit in its document, the number of windows and the minimiser's
+    offset, in one number. Kind 0 is a bucket's (doc_id, tag, place, rest of the key);
+    kind 1 has (doc_id, tag, place) of minimisers that are known to repeat.
+    """
+
+    def make(piece, raw, offsets):
+        units = read(raw, offsets)
+        first, windows, offset = find(units, window, gram)
+        if not len(first):
+            return None
+        hasher = A.Hasher(units.flat)
+        key = _keys(units, first, offset, hasher, window)
+        if len(hot):
+            first, windows, offset = _split(first, windows, offset, key, hot)
+            key = _keys(units, first, offset, hasher, window)
+        doc = units.doc[first]
+        start = first - np.searchsorted(units.doc, doc)
+        return *_ids(piece, doc), (start << 16) | ((windows - 1) << 8) | offset, key
+
+    def flush(held):
+        doc_id, tag, place, key = (np.concatenate(c) for c in zip(*held, strict=True))
+        several, one = _several(key)
+        box = _Outbox()
+        if several.any():
+            columns = zip((doc_id, tag, place), _PLACES, strict=True)
+            blob = _blob(*(c[several].astype(t) for c, t in columns))
+            box.put(key[several][0] % _U(buckets), 1, blob)
+        rest = _rest(key, buckets)
+        for b, mine in _by_bucket(key, np.flatnonzero(one), buckets):
+            columns = zip((doc_id, tag, place, rest), _SEEN, strict=True)
+            box.put(b, 0, _blob(*(c[mine].astype(t) for c, t in columns)))
+            if box.full():
+                yield box.take()
+        yield box.take()
+
+    return _flushed(make, flush)
+
+
+def _buckets(batches, types: dict[int, list], on_kind_one: Callable, on_bucket: Callable):
+    """Reads blobs sorted by bucket; a bucket's kind 0 blobs are handed over together."""
+    held, bucket = [], None
+    for batch in batches:
+        for b, kind, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if b != bucket and held:
+                yield from on_bucket(held)
+                held = []
+            bucket = b
+            if kind == 1:
+                yield on_kind_one(_unblob(blob, types[1])[0])
+            else:
+                held.append(_unblob(blob, types[0]))
+    if held:
+        yield from on_bucket(held)
+
+
+def _place_receiver(batches):
+    """Round one: places of the minimisers that occur more than once."""
+
+    def known(columns):
+        return _longs("doc_id tag place", *columns)
+
+    def settle(blobs):
+        *columns, key = (np.concatenate(c) for c in zip(*(b[0] for b in blobs), strict=True))
+        several, _ = _several(key)
+        if several.any():
+            yield known([c[several] for c in columns])
+
+    yield from _buckets(batches, {0: _SEEN, 1: _PLACES}, known, settle)
+
+
+def _sender(read: Callable, window: int, settled: Settled, buckets: int):
+    """Round two: the super-k-mers at the places that round one found.
+
+    Kind 0 is a bucket's super-k-mers with their strings; kind 1 has spans that are settled.
+    """
+
+    def make(piece, raw, offsets):
+        units = read(raw, offsets)
+        lists = piece.column("places")
+        place = lists.flatten().to_numpy()
+        doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        doc, place = np.unique(np.stack((doc, place)), axis=1)
+        first = (place >> 16) + np.searchsorted(units.doc, doc)
+        windows, offset = ((place >> 8) & 255) + 1, place & 255
+        hasher = A.Hasher(units.flat)
+        key = _keys(units, first, offset, hasher, window)
+        left, right = units.left[first], units.right[first + windows + window - 2]
+        content = hasher.spans(left, right)
+        doc_id, tag = _ids(piece, doc)
+        return doc_id, tag, place >> 16, windows, right - left, key, content, left, units.flat
+
+    def flush(held):
+        *columns, left, flats = zip(*held, strict=True)
+        doc_id, tag, start, windows, size, key, content = map(np.concatenate, columns)
+        base = np.cumsum([0] + [len(t) for t in flats])[:-1]
+        begin = np.concatenate([at + b for at, b in zip(left, base, strict=True)])
+        whole = b"".join(t.tobytes() for t in flats)
+        # Only strings whose hash is not alone can be equal to another one.
+        some = np.flatnonzero(_several(content)[0])
+        cls = classes(whole, begin[some], size[some])
+        done = np.zeros(len(key), bool)
+        done[some] = settled(cls, doc_id[some], tag[some], start[some])
+        box = _Outbox()
+        if done.any():
+            span = (doc_id, tag, start, windows + window - 1)
+            blob = _blob(*(c[done].astype(t) for c, t in zip(span, _SPAN, strict=True)))
+            box.put(content[done][0] % _U(buckets), 1, blob)
+        flat, rest = np.frombuffer(whole, np.uint8), _rest(key, buckets)
+        for b, mine in _by_bucket(key, np.flatnonzero(~done), buckets):
+            n = size[mine]
+            take = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            columns = zip((doc_id, tag, start, windows, size, rest), _RUN, strict=True)
+            columns = [c[mine].astype(kind) for c, kind in columns]
+            box.put(b, 0, _blob(*columns, text=flat[take].tobytes()))
+            if box.full():
+                yield box.take()
+        yield box.take()
+
+    return _flushed(make, flush)
+
+
 def _receiver(compare: Callable, window: int, settled: Settled):
-    """The reduce task: spans that windows of its buckets settle."""
+    """Round two: spans that windows of a bucket settle."""
+
+    def spans(columns):
+        return _longs("doc_id tag first length", *columns)
 
     def settle(blobs):
-        columns = [np.concatenate(c) for c in zip(*[b[0] for b in blobs], strict=True)]
+        columns = (np.concatenate(c) for c in zip(*(b[0] for b in blobs), strict=True))
         doc_id, tag, start, windows, size, key = columns
         text = b"".join(b[1] for b in blobs)
-        size = size.astype(np.int64)
+        start, windows, size = (c.astype(np.int64) for c in (start, windows, size))
         begin = np.cumsum(size) - size
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        several = np.zeros(len(order), bool)
-        several[order[1:][same]] = several[order[:-1][same]] = True
-        some = np.flatnonzero(several)
+        some = np.flatnonzero(_several(key)[0])
         if not len(some):
             return
-        doc_id, tag, key = doc_id[some], tag[some], key[some]
-        start, windows = start[some].astype(np.int64), windows[some].astype(np.int64)
-        begin, size = begin[some], size[some]
+        doc_id, tag, start, windows, size, key, begin = (
+            c[some] for c in (doc_id, tag, start, windows, size, key, begin)
+        )
         cls = classes(text, begin, size)
         done = settled(cls, doc_id, tag, start)
         if done.any():
-            yield _span_batch(doc_id[done], tag[done], start[done], windows[done] + window - 1)
-        # What is left: strings of one minimiser that differ.
+            yield spans([doc_id[done], tag[done], start[done], windows[done] + window - 1])
+        # What is left: minimisers whose strings differ.
         rest = np.flatnonzero(~done)
         rest = rest[np.argsort(key[rest], kind="stable")]
-        k, c = key[rest], cls[rest]
-        group = np.cumsum(np.concatenate(([0], k[1:] != k[:-1]))) if len(k) else k
-        kinds = np.unique(np.stack((group, c)), axis=1)[0] if len(k) else group
-        mixed = np.bincount(kinds, minlength=1) > 1
-        rest = rest[mixed[group]] if len(k) else rest
+        if not len(rest):
+            return
+        group = np.unique(key[rest], return_inverse=True)[1]
+        kinds = np.unique(np.stack((group, cls[rest])), axis=1)[0]
+        rest = rest[(np.bincount(kinds) > 1)[group]]
         if not len(rest):
             return
         n = size[rest]
         take = np.repeat(begin[rest] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        runs = Runs(
-            doc_id[rest],
-            tag[rest],
-            start[rest],
-            windows[rest],
-            n,
-            key[rest],
-            np.frombuffer(text, np.uint8)[take].tobytes(),
-        )
+        content = np.frombuffer(text, np.uint8)[take].tobytes()
+        runs = Runs(*(c[rest] for c in (doc_id, tag, start, windows, size, key)), content)
         # (run, window in it, class of the window): equal classes are equal windows.
         run, at, window_class = compare(runs, window)
-        place = runs.start[run] + at
-        hit = settled(window_class, runs.doc_id[run], runs.tag[run], place)
-        if hit.any():
-            run, place = run[hit], place[hit]
-            length = np.full(len(run), window)
-            yield _span_batch(runs.doc_id[run], runs.tag[run], place, length)
+        hit = settled(window_class, runs.doc_id[run], runs.tag[run], runs.start[run] + at)
+        place = np.unique(run[hit] * 256 + at[hit])
+        if not len(place):
+            return
+        # Neighbouring windows of one run are one span.
+        new = np.concatenate(([True], np.diff(place) != 1))
+        first, run = place[new] % 256, place[new] // 256
+        last = place[np.append(np.flatnonzero(new)[1:], len(place)) - 1] % 256
+        start = runs.start[run] + first
+        yield spans([runs.doc_id[run], runs.tag[run], start, last - first + window])
 
     def run(batches):
-        held, bucket = [], None
-        for batch in batches:
-            for b, kind, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if b != bucket and held:
-                    yield from settle(held)
-                    held = []
-                bucket = b
-                if kind == 1:
-                    yield _span_batch(*_unblob(blob, _SPAN)[0])
-                else:
-                    held.append(_unblob(blob, _RUN))
-        if held:
-            yield from settle(held)
+        yield from _buckets(batches, {0: _RUN, 1: _SPAN}, spans, settle)
 
     return run
 
@@ -359,7 +452,8 @@ def _frequent(rows: DataFrame, read: Callable, window: int, gram: int, count: in
     def keys(batches):
         for piece, raw, offsets in A.pieces(batches, "text"):
             units = read(raw, offsets)
-            first, _, key = find(units, window, gram)
+            first, _, offset = find(units, window, gram)
+            key = units.grams[first + offset]
             pairs = np.unique(np.stack((units.doc[first].astype(_U), key)), axis=1)
             yield pa.RecordBatch.from_pydict({"key": pairs[1].view(np.int64)})
 
@@ -371,11 +465,13 @@ def _frequent(rows: DataFrame, read: Callable, window: int, gram: int, count: in
 def identified(docs: DataFrame, text: str, id: str) -> DataFrame:
     """(doc_id, tag, text): a null id sorts first; the tag tells apart texts that share an id."""
     words = text_of(docs, text)
-    return docs.select(
-        F.coalesce(docs[id].cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-        F.crc32(F.encode(words, "UTF-8")).alias("tag"),
-        words.alias("text"),
+    rows = docs.select(
+        F.coalesce(docs[id].cast("long"), F.lit(NULL_ID)).alias("doc_id"), words.alias("text")
     )
+    # Where every id stands alone, as it should, tags need not travel.
+    shared = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    tag = F.crc32(F.encode("text", "UTF-8")) if shared else F.lit(0).cast("long")
+    return rows.select("doc_id", tag.alias("tag"), "text")
 
 
 def repeated_spans(
@@ -389,12 +485,23 @@ def repeated_spans(
     spark = workers_can_import(rows.sparkSession)
     facts = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     parts = max(tasks(spark), int((facts[1] or 0) // (4 * PER_BUCKET)))
+    buckets = 4 * parts
     hot = _frequent(rows, read, window, gram, facts[0])
-    sent = rows.mapInArrow(
-        _sender(read, window, gram, settled, 4 * parts, hot), "bucket int, kind int, blob binary"
+
+    def dealt(blobs):
+        return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+    seen = rows.mapInArrow(_place_sender(read, window, gram, buckets, hot), BLOBS)
+    places = (
+        dealt(seen)
+        .mapInArrow(_place_receiver, "doc_id long, tag long, place long")
+        .groupBy("doc_id", "tag")
+        .agg(F.collect_list("place").alias("places"))
+    )
+    sent = rows.join(places, ["doc_id", "tag"]).mapInArrow(
+        _sender(read, window, settled, buckets), BLOBS
     )
-    dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_receiver(compare, window, settled), SPANS)
+    return dealt(sent).mapInArrow(_receiver(compare, window, settled), SPANS)
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
