@@ -32,18 +32,35 @@ from riskflow.llm.common import NULL_ID
 WINDOW = 100
 GRAM = 16
 #: Bytes of text sorted at once; all strings of a minimiser are sorted together.
-SORTED = 1 << 20
+SORTED = 1 << 19
 
 
-def _ranks(*columns: np.ndarray) -> np.ndarray:
-    """The rank of each row of the columns, from 1, equal rows alike."""
+def _packed(*columns: np.ndarray) -> np.ndarray:
+    """One number per row of the columns, in the order of the rows."""
     key = columns[0]
     for column in columns[1:]:
         span = int(column.max(initial=0)) + 1
         if (int(key.max(initial=0)) + 1) * span >= 2**62:
             key = np.unique(key, return_inverse=True)[1]
         key = key * span + column
-    return np.unique(key, return_inverse=True)[1] + 1
+    return key
+
+
+def _named(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and the rank of each, from 1, equal ones alike."""
+    order = np.argsort(key, kind="stable")
+    names = np.empty(len(key), np.int64)
+    names[order] = np.cumsum(np.concatenate(([1], np.diff(key[order]) != 0)))[: len(key)]
+    return order, names
+
+
+def _order(ranks: np.ndarray) -> np.ndarray:
+    """What stands in the order of the ranks; no sort if all differ."""
+    if ranks.max() < len(ranks):
+        return np.argsort(ranks, kind="stable")
+    order = np.empty(len(ranks), np.int64)
+    order[ranks - 1] = np.arange(len(ranks))
+    return order
 
 
 def suffix_ranks(text: np.ndarray, reach: int) -> np.ndarray:
@@ -54,43 +71,35 @@ def suffix_ranks(text: np.ndarray, reach: int) -> np.ndarray:
     n = len(text)
     s = np.concatenate((text, np.zeros(3, np.int64)))
     if n < 4 or reach <= 1:
-        return _ranks(*(s[k : k + n] for k in range(max(1, min(reach, n)))))
+        return _named(_packed(*(s[k : k + n] for k in range(max(1, min(reach, n))))))[1]
     ones, twos, zeros = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     sample = np.concatenate((ones, twos))
-    names = _ranks(s[sample], s[sample + 1], s[sample + 2])
-    rank = np.zeros(n + 3, np.int64)
+    order, names = _named(_packed(s[sample], s[sample + 1], s[sample + 2]))
     if reach > 3 and names.max() < len(names):
         # The names of the first class, an end, and those of the second.
         word = np.concatenate((names[: len(ones)] + 1, [1], names[len(ones) :] + 1))
-        deeper = suffix_ranks(word, -(-reach // 3))
-        rank[ones], rank[twos] = deeper[: len(ones)], deeper[len(ones) + 1 :]
-    else:
-        rank[sample] = names
-    # Places of the sampled suffixes in their own order, ties by place.
-    order = sample[np.argsort(rank[sample], kind="stable")]
-    place = np.zeros(n, np.int64)
-    place[order] = np.arange(len(order))
-
-    # The others: by first symbol and the sampled suffix after it.
-    after = _ranks(s[zeros], rank[zeros + 1])
-
-    def below(own, theirs, other):
-        """How many of ``other`` each of ``zeros`` is larger than."""
-        both = _ranks(*(np.concatenate(pair) for pair in zip(own, theirs, strict=True)))
-        mine, rest = both[: len(zeros)], np.sort(both[len(zeros) :])
-        return np.searchsorted(rest, mine, "left")
-
-    smaller = below((s[zeros], rank[zeros + 1]), (s[ones], rank[ones + 1]), ones)
-    smaller += below(
-        (s[zeros], s[zeros + 1], rank[zeros + 2]), (s[twos], s[twos + 1], rank[twos + 2]), twos
-    )
-    # Merged: a remaining suffix stands before the sampled one of its number.
-    first = np.concatenate((smaller, place[sample]))
-    sampled = np.concatenate((np.zeros(len(zeros), np.int64), np.ones(len(sample), np.int64)))
-    within = np.concatenate((after, np.zeros(len(sample), np.int64)))
-    merged = np.lexsort((within, sampled, first))
+        order = _order(suffix_ranks(word, -(-reach // 3)))
+        order = order[order != len(ones)]
+        order = order - (order > len(ones))
+    # Sampled suffixes in order, and the place of each from 1.
+    sampled = sample[order]
+    place = np.zeros(n + 3, np.int64)
+    place[sampled] = np.arange(1, len(sampled) + 1)
+
+    # The others, by first symbol and the sampled suffix after it; then merged in by how
+    # many sampled suffixes are smaller. The sampled ones are in order already.
+    key = _packed(s[zeros], place[zeros + 1])
+    zeros = zeros[np.argsort(key, kind="stable")]
+    below = np.zeros(len(zeros), np.int64)
+    for class_, width in ((sampled[sampled % 3 == 1], 1), (sampled[sampled % 3 == 2], 2)):
+        both = np.concatenate((zeros, class_))
+        key = _packed(*(s[both + k] for k in range(width)), place[both + width])
+        below += np.searchsorted(key[len(zeros) :], key[: len(zeros)], "left")
+    below = np.maximum.accumulate(below) if len(below) else below
     result = np.empty(n, np.int64)
-    result[np.concatenate((zeros, sample))[merged]] = np.arange(1, n + 1)
+    result[zeros] = below + np.arange(1, len(zeros) + 1)
+    ahead = np.cumsum(np.bincount(below, minlength=len(sampled) + 1))
+    result[sampled] = np.arange(1, len(sampled) + 1) + ahead[: len(sampled)]
     return result
 
 
@@ -113,13 +122,12 @@ def _windows_of(runs: K.Runs, chosen: np.ndarray, window: int):
     take = np.repeat(runs.begins()[chosen] - to, room) + np.arange(room.sum())
     joined = text[np.minimum(take, len(text) - 1)].astype(np.int64) + 2
     joined[to + size] = 1
-    rank = suffix_ranks(joined, window)
-    count = size - window + 1
-    run = np.repeat(np.arange(len(chosen)), count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    place = to[run] + at
-    order = np.argsort(rank[place], kind="stable")
-    run, at, place = run[order], at[order], place[order]
+    order = _order(suffix_ranks(joined, window))
+    # Only suffixes that begin a window of their string are of interest.
+    string = np.repeat(np.arange(len(chosen)), room)
+    offset = np.arange(len(joined)) - to[string]
+    place = order[(offset <= size[string] - window)[order]]
+    run, at = string[place], offset[place]
     raw = (joined - 2).astype(np.uint8)
     new = np.ones(len(place), bool)
     if len(place) > 1:
