@@ -74,12 +74,13 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = fixtures.messages(spark, sf_dir, dirty=True, broken=True)
-    parsed = ops.with_event_ts(ops.parse_wire(messages, keep=["event_id"], corrupt=CORRUPT))
-    valid, rejected = ops.split_valid(parsed)
-    parts = valid.withColumn("scored", F.lit(True)).unionByName(
-        rejected.withColumn("scored", F.lit(False))
+    parsed = ops.parse_wire(messages, keep=["event_id", "value"], corrupt=CORRUPT)
+    labelled = ops.label_faults(ops.with_event_ts(parsed), "value")
+    return labelled.select(
+        "event_id",
+        (~ops.is_rejected()).alias("scored"),
+        F.coalesce(REASON, F.lit("ok")).alias("reason"),
     )
-    return parts.select("event_id", "scored", F.coalesce(REASON, F.lit("ok")).alias("reason"))
 
 
 def daily_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +144,18 @@ def replay_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = ops.replay_envelopes(fixtures.tx(spark, sf_dir), ["event_id"], REPLAY_START)
-    return ops.parse_wire(messages, keep=["sequence"])
+    messages = ops.replay_envelopes(
+        fixtures.tx(spark, sf_dir), ["event_id"], REPLAY_START, keep=["event_id"]
+    )
+    return ops.parse_wire(messages, keep=["event_id"])
+
+
+def event_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events numbered in the order of their time; the id makes it unique."""
+    numbered = ops.with_sequence(
+        fixtures.events(spark, sf_dir).select("event_id", "ts"), ["ts", "event_id"], unique=True
+    )
+    return numbered.select("event_id", "sequence")
 
 
 def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,19 +184,14 @@ QUERIES = {
     "replay_selection": replay_selection,
     "replay_sequence": replay_sequence,
     "replay_envelopes": replay_envelopes,
+    "event_sequence": event_sequence,
     "wire_roundtrip": wire_roundtrip,
 }
 
-_REPLAY = """, numbered AS (
-  SELECT *, row_number() OVER (ORDER BY event_id) AS nth
-  FROM tx WHERE "Class" = 1
-), chosen AS (
-  SELECT * EXCLUDE (nth), 0 AS replay_group FROM numbered WHERE nth <= 10
-  UNION ALL
-  SELECT *, 1 AS replay_group FROM tx WHERE "Class" = 0
-), replayed AS (
-  SELECT *, CAST(row_number() OVER (ORDER BY replay_group, event_id) - 1 AS BIGINT) AS sequence
-  FROM chosen
+_REPLAY = """, replayed AS (
+  SELECT *, CASE WHEN "Class" = 1 THEN 0 ELSE 1 END AS replay_group,
+    CAST(row_number() OVER (ORDER BY "Class" DESC, event_id) - 1 AS BIGINT) AS sequence
+  FROM tx
 )"""
 
 _WIRE_WITHOUT_TIME = ", ".join(f'"{c}"' for c in S.WIRE.names if c != "eventTime")
@@ -247,12 +253,13 @@ FROM ranked""",
     "replay_selection": sql.tx()
     + _REPLAY
     + """ SELECT event_id, CAST(replay_group AS INTEGER) AS replay_group, "Class", "Amount"
-FROM chosen""",
+FROM replayed""",
     "replay_sequence": sql.tx() + _REPLAY + " SELECT event_id, sequence FROM replayed",
     "replay_envelopes": sql.tx()
-    + _REPLAY
-    + f""" SELECT sequence, {_WIRE_WITHOUT_TIME},
-  strftime(TIMESTAMP '2025-01-01' + sequence * INTERVAL 10 MILLISECOND,
-    '%Y-%m-%dT%H:%M:%S.%fZ') AS "eventTime" FROM replayed""",
+    + f""" SELECT event_id, {_WIRE_WITHOUT_TIME},
+  strftime(TIMESTAMP '2025-01-01' + to_microseconds(CAST(round("Time" * 1e6) AS BIGINT)),
+    '%Y-%m-%dT%H:%M:%S.%fZ') AS "eventTime" FROM tx""",
+    "event_sequence": """SELECT event_id,
+  CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS sequence FROM events""",
     "wire_roundtrip": sql.tx(dirty=True) + f" SELECT event_id, {sql.WIRE_COLUMNS} FROM tx",
 }

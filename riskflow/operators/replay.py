@@ -1,4 +1,4 @@
-"""The data set a replay sends, and its messages."""
+"""History as messages: which rows, in which order, with which event time."""
 
 from __future__ import annotations
 
@@ -14,22 +14,23 @@ from riskflow.operators.wire import stamp_event_time, to_envelope
 
 
 def replay_selection(
-    df: DataFrame, key: Sequence[str], n: int = 10, label: str = S.LABEL
+    df: DataFrame, key: Sequence[str], n: int | None = None, label: str = S.LABEL
 ) -> DataFrame:
-    """The first ``n`` frauds by ``key``, then every non-fraud row.
+    """Every row; ``replay_group`` is 0 for frauds, which go first, and 1 for others.
 
-    ``replay_group`` (0 for the frauds, 1 for the rest) and ``key`` give the
-    sending order; rows that tie are taken by content.
+    With ``n`` only the first so many frauds by ``key`` are taken; rows that tie are
+    taken by content.
     """
-    content = F.xxhash64(*df.columns)
-    frauds = df.filter(F.col(label) == 1).orderBy(*key, content).limit(n)
-    normal = df.filter(F.col(label) == 0)
+    fraud = F.coalesce(F.col(label) == 1, F.lit(False))
+    if n is None:
+        return df.withColumn("replay_group", F.when(fraud, 0).otherwise(1))
+    frauds = df.filter(fraud).orderBy(*key, F.xxhash64(*df.columns)).limit(n)
     return frauds.withColumn("replay_group", F.lit(0)).unionByName(
-        normal.withColumn("replay_group", F.lit(1))
+        df.filter(~fraud).withColumn("replay_group", F.lit(1))
     )
 
 
-def replay_sequence(df: DataFrame, key: Sequence[str], n: int = 10) -> DataFrame:
+def replay_sequence(df: DataFrame, key: Sequence[str], n: int | None = None) -> DataFrame:
     """The selection with its position in the sending order, from 0."""
     return with_sequence(replay_selection(df, key, n), ["replay_group", *key])
 
@@ -38,16 +39,19 @@ def replay_envelopes(
     df: DataFrame,
     key: Sequence[str],
     start_ts: dt.datetime,
-    gap_ms: int = 10,
-    n: int = 10,
+    n: int | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Messages of the replay, ``gap_ms`` of event time apart from ``start_ts``.
+    """Messages of the rows; a row's event time is ``Time`` seconds after ``start_ts``.
 
-    The start is taken as UTC if it has no zone.
+    The start is taken as UTC if it has no zone. Messages carry their own event time
+    and need no order; ``replay_sequence`` gives one to those who want it.
     """
     if start_ts.tzinfo is None:
         start_ts = start_ts.replace(tzinfo=dt.timezone.utc)
     start_us = round(start_ts.timestamp() * 1_000_000)
-    sent_at = F.timestamp_micros(F.lit(start_us) + F.col("sequence") * F.lit(gap_ms * 1000))
-    numbered = replay_sequence(df, key, n).withColumn("_sent_at", sent_at)
-    return to_envelope(stamp_event_time(numbered, "_sent_at"), keep=["sequence"])
+    after_us = F.round(F.col("Time") * F.lit(1e6)).cast("long")
+    sent = replay_selection(df, key, n).withColumn(
+        "_sent_at", F.timestamp_micros(F.lit(start_us) + after_us)
+    )
+    return to_envelope(stamp_event_time(sent, "_sent_at"), keep=keep)

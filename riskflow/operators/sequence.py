@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskflow.session import scratch_dir
+from riskflow.storage import remove_folder
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row position below
 
@@ -18,6 +19,7 @@ def with_sequence(
     name: str = "sequence",
     start: int = 0,
     scratch: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Number the rows ``start, start + 1, …`` in the order of ``order_by``.
 
@@ -30,27 +32,31 @@ def with_sequence(
     sorting key that place splits a large group of ties or copies over several
     partitions, and a retried task still deals each row out the same way. The
     second fixes the partition borders, which sampling would choose anew on
-    every run.
+    every run. The first is removed as soon as the second is there. Say
+    ``unique`` if no two rows agree in ``order_by``: then it is not made at all.
     """
     spark = df.sparkSession
     scratch = scratch or scratch_dir(spark, "sequence")
-    df.write.parquet(f"{scratch}/rows")
-    order = [*order_by, "_content", "_file", "_row"]
-    (
-        spark.read.schema(df.schema)
-        .parquet(f"{scratch}/rows")
-        .withColumns(
+    if unique:
+        rows, order = df, [*order_by]
+    else:
+        df.write.parquet(f"{scratch}/rows")
+        rows = spark.read.schema(df.schema).parquet(f"{scratch}/rows")
+        rows = rows.withColumns(
             {
                 "_content": F.xxhash64(*df.columns),
                 "_file": F.col("_metadata.file_name"),
                 "_row": F.col("_metadata.row_index"),
             }
         )
-        .repartitionByRange(*order)
+        order = [*order_by, "_content", "_file", "_row"]
+    (
+        rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select(*df.columns, F.monotonically_increasing_id().alias("_id"))
         .write.parquet(f"{scratch}/sorted")
     )
+    remove_folder(spark, f"{scratch}/rows")
     return _number_stored_rows(spark, f"{scratch}/sorted", name, start)
 
 

@@ -17,15 +17,14 @@ def run_replay(
     history: str | DataFrame,
     key: Sequence[str],
     start_ts: dt.datetime,
-    gap_ms: int = 10,
+    frauds: int | None = None,
     path: str | None = None,
     servers: str | None = None,
     topic: str | None = None,
 ) -> None:
-    """Write the replay to message files (``path``) or to a topic.
+    """Write every row of the history as a message, to files (``path``) or to a topic.
 
-    ``key`` fixes which frauds come first and the event time of every message;
-    rows it does not tell apart follow by content.
+    ``frauds`` limits the frauds to the first so many by ``key``.
     """
     if (path is None) == (topic is None):
         raise ValueError("give either a path or a topic")
@@ -33,7 +32,7 @@ def run_replay(
         raise ValueError("a topic needs servers")
     if isinstance(history, str):
         history = read_history_csv(spark, history)
-    envelopes = replay_envelopes(history, key, start_ts, gap_ms)
+    envelopes = replay_envelopes(history, key, start_ts, frauds)
     if path is not None:
         write_envelope_files(envelopes, path)
     else:

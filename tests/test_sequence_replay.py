@@ -12,6 +12,7 @@ from riskflow.operators import (
     with_sequence,
 )
 from riskflow.plans import run_replay
+from riskflow.storage import child_names
 
 
 def test_sequence_is_dense_and_ordered(spark):
@@ -69,11 +70,16 @@ def _history(spark):
     return spark.range(100).select("id", label.cast("int").alias("Class"))
 
 
-def test_selection_has_the_first_frauds_and_all_normal_rows(spark):
+def test_selection_has_every_row(spark):
+    rows = replay_selection(_history(spark).repartition(7), ["id"]).collect()
+    assert sorted(r["id"] for r in rows if r["replay_group"] == 0) == list(range(0, 100, 5))
+    assert sorted(r["id"] for r in rows if r["replay_group"] == 1) == [i for i in range(100) if i % 5]
+
+
+def test_frauds_can_be_limited_to_the_first(spark):
     rows = replay_selection(_history(spark).repartition(7), ["id"], n=3).collect()
     assert sorted(r["id"] for r in rows if r["replay_group"] == 0) == [0, 5, 10]
-    normal = [i for i in range(100) if i % 5 and i != 33]
-    assert sorted(r["id"] for r in rows if r["replay_group"] == 1) == normal
+    assert sorted(r["id"] for r in rows if r["replay_group"] == 1) == [i for i in range(100) if i % 5]
 
 
 def test_frauds_are_sent_first(spark):
@@ -82,21 +88,28 @@ def test_frauds_are_sent_first(spark):
     assert [r["sequence"] for r in rows] == list(range(len(rows)))
 
 
-def test_envelopes_are_spaced_in_event_time(spark):
+def test_envelopes_carry_their_own_event_time(spark):
     tx = fixtures.tx(spark, "/root/testdata/sf0.001")
-    start = dt.datetime(2025, 1, 1, 12)
-    messages = replay_envelopes(tx, ["event_id"], start, gap_ms=10)
-    rows = parse_wire(messages, keep=["sequence"]).orderBy("sequence").collect()
-    assert rows[0]["eventTime"] == "2025-01-01T12:00:00.000000Z"
-    assert rows[1]["eventTime"] == "2025-01-01T12:00:00.010000Z"
-    assert len({r["eventTime"] for r in rows}) == len(rows)
-    assert [r["Class"] for r in rows[:10]] == [1] * 10
+    messages = replay_envelopes(tx, ["event_id"], dt.datetime(2024, 1, 1), keep=["event_id"])
+    sent = {r["event_id"]: r["eventTime"] for r in parse_wire(messages, keep=["event_id"]).collect()}
+    assert sent == {r["event_id"]: r["eventTime"] for r in tx.collect()}
 
 
-def test_replay_job_writes_message_files(spark, folder):
+def test_replay_job_writes_every_row(spark, folder):
     tx = fixtures.tx(spark, "/root/testdata/sf0.001")
     run_replay(spark, tx, ["event_id"], dt.datetime(2025, 1, 1), path=folder("messages"))
-    assert spark.read.text(folder("messages")).count() == 10 + 977
+    assert spark.read.text(folder("messages")).count() == 1000
+    run_replay(spark, tx, ["event_id"], dt.datetime(2025, 1, 1), 10, path=folder("few"))
+    assert spark.read.text(folder("few")).count() == 10 + 977
+
+
+def test_numbering_leaves_one_copy_behind(spark, folder):
+    rows = spark.range(500).repartition(5)
+    for unique in (False, True):
+        scratch = folder(f"unique-{unique}")
+        numbered = with_sequence(rows, ["id"], scratch=scratch, unique=unique)
+        assert numbered.filter("sequence <> id").count() == 0
+        assert child_names(spark, scratch) == ["sorted"]
 
 
 @pytest.mark.parametrize(
