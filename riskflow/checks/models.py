@@ -34,11 +34,7 @@ def _unscored(tx: DataFrame) -> DataFrame:
 def ml_train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training job, then its model on the test part."""
     tx = fixtures.tx(spark, sf_dir)
-    # The table may be one file; give every core a share of the training rows.
-    partitions = max(spark.sparkContext.defaultParallelism, tx.rdd.getNumPartitions())
-    report = plans.run_training(
-        spark, tx, scratch_dir(spark, "model"), key="event_id", partitions=partitions
-    )
+    report = plans.run_training(spark, tx, scratch_dir(spark, "model"), key="event_id")
     _, test = ops.hash_split(_unscored(tx), "event_id")
     scored = ml.score(ml.load_model(report.model_path), test)
     return scored.select(
@@ -47,6 +43,9 @@ def ml_train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(report.test_auc >= AUC_FLOOR).alias("auc_above_floor"),
         F.lit(report.total_rows).cast("long").alias("total_rows"),
         F.lit(report.fraud_rows).cast("long").alias("fraud_rows"),
+        F.round(
+            F.when(F.col(S.LABEL) == 1, report.weight_fraud).otherwise(report.weight_non_fraud), 9
+        ).alias("weight"),
     )
 
 
@@ -96,7 +95,9 @@ SQL = {
     + """, counted AS (
   SELECT CAST(count(*) AS BIGINT) AS total_rows,
     CAST(count(*) FILTER ("Class" = 1) AS BIGINT) AS fraud_rows FROM tx)
-SELECT event_id, true AS in_range, true AS auc_above_floor, total_rows, fraud_rows
+SELECT event_id, true AS in_range, true AS auc_above_floor, total_rows, fraud_rows,
+  round(CASE WHEN "Class" = 1 THEN total_rows / fraud_rows
+    ELSE total_rows / (total_rows - fraud_rows) END, 9) AS weight
 FROM tx, counted
 WHERE ((event_id % 2147483648) * 2654435761) % 4294967296 >= 0.8 * 4294967296""",
     "ml_save_load": "SELECT event_id, true AS same_score FROM events",

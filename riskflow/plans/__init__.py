@@ -3,10 +3,11 @@
 from riskflow.plans.daily import run_daily
 from riskflow.plans.replaying import run_replay
 from riskflow.plans.scoring import run_stream
-from riskflow.plans.training import TrainingReport, run_training
+from riskflow.plans.training import TRAINING_TASKS, TrainingReport, run_training
 from riskflow.plans.warehouse import setup_catalog
 
 __all__ = [
+    "TRAINING_TASKS",
     "TrainingReport",
     "run_daily",
     "run_replay",

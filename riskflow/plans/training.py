@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskflow import schema as S
 from riskflow.ml import auc, save_model, score, train_model
@@ -15,6 +16,10 @@ from riskflow.session import scratch_dir
 from riskflow.sources.history import read_history_csv
 
 
+#: Tasks that hold the training rows unless told otherwise.
+TRAINING_TASKS = 16
+
+
 @dataclass(frozen=True)
 class TrainingReport:
     total_rows: int
@@ -34,34 +39,42 @@ def run_training(
     key: str | None = None,
     train: float = 0.8,
     weights_from_train: bool = False,
-    partitions: int | None = None,
+    partitions: int = TRAINING_TASKS,
+    auc_bins: int = 0,
     **forest_params,
 ) -> TrainingReport:
     """Fit the weighted forest, measure it on the held-out part and save it.
 
-    ``history`` is a CSV path or a DataFrame. A CSV is parsed once into
-    Parquet in the shared scratch folder, since weights, split candidates,
-    bagging and evaluation each scan the data. Weights come from the whole
-    history unless ``weights_from_train``.
+    ``history`` is a CSV path or a DataFrame. It is computed once, into Parquet in
+    the shared scratch folder, since weights, split candidates, bagging and
+    evaluation each scan the data. Weights come from the whole history unless
+    ``weights_from_train``.
+
+    Bagging draws at random per task. So that the same rows give the same forest
+    whatever files, cores or executors they come from, they are dealt to a fixed
+    number of tasks by ``key``, or by their content without one, and sorted there.
+    Raise ``partitions`` for a long history; another number is another forest.
 
-    ``partitions`` deals the training rows evenly to that many tasks, for a
-    history in fewer files than there are cores.
+    ``auc_bins`` bounds the thresholds the area is computed from; 0 takes every
+    distinct score, which sorts them all.
     """
     if isinstance(history, str):
-        staged = scratch_dir(spark, "history")
-        read_history_csv(spark, history).write.parquet(staged)
-        history = spark.read.schema(S.TRAIN).parquet(staged)
+        history = read_history_csv(spark, history)
+    staged = scratch_dir(spark, "history")
+    history.write.parquet(staged)
+    history = spark.read.schema(history.schema).parquet(staged)
     train_rows, test_rows = hash_split(history, key, train)
     weights = class_weights(train_rows if weights_from_train else history).first()
 
     started = time.monotonic()
     weighted = with_class_weight(train_rows, weights=weights)
-    if partitions is not None:
-        weighted = weighted.repartition(partitions)
+    content = F.xxhash64(*[F.col(c) for c in train_rows.columns])
+    place = [F.col(key), content] if key is not None else [content]
+    weighted = weighted.repartition(partitions, place[0]).sortWithinPartitions(*place)
     model = train_model(weighted.select(*S.FEATURES, S.LABEL, "weight"), **forest_params)
     fit_seconds = time.monotonic() - started
 
-    test_auc = auc(score(model, test_rows))
+    test_auc = auc(score(model, test_rows), bins=auc_bins)
     save_model(model, model_path)
     return TrainingReport(
         **weights.asDict(), fit_seconds=fit_seconds, test_auc=test_auc, model_path=model_path

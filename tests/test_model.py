@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,7 +102,47 @@ def test_a_stream_is_scored_like_a_batch(spark, history, model, folder):
     assert sorted(spark.read.parquet(folder("out")).collect()) == sorted(batch.collect())
 
 
-def test_rows_can_be_dealt_to_more_tasks(spark, history, folder):
-    one_file = history.coalesce(1)
-    report = run_training(spark, one_file, folder("model"), key="event_id", partitions=4)
-    assert report.total_rows == 1000 and report.test_auc > 0.9
+def test_same_forest_from_any_layout(spark, history, folder):
+    def scores(rows, label):
+        run_training(spark, rows, folder(label), key="event_id", trees=10, depth=4)
+        scored = ml.score(ml.load_model(folder(label)), history.select("event_id", *S.FEATURES))
+        return sorted(scored.select("event_id", "Fraud_Probability").collect())
+
+    first = scores(history, "a")
+    assert first == scores(history.repartition(3), "b")
+    assert first == scores(history.orderBy("Amount").coalesce(1), "c")
+
+
+_ON_CORES = """
+import sys
+from pyspark.sql import SparkSession
+from riskflow import fixtures, ml, pin_settings, plans
+from riskflow import schema as S
+spark = pin_settings(SparkSession.builder.master(f"local[{sys.argv[1]}]")
+    .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", sys.argv[1]).getOrCreate())
+tx = fixtures.tx(spark, "/root/testdata/sf0.001")
+plans.run_training(spark, tx, sys.argv[2], key="event_id", trees=5, depth=4)
+rows = ml.score(ml.load_model(sys.argv[2]), tx.select("event_id", *S.FEATURES))
+print("SCORES", sorted((r["event_id"], r["Fraud_Probability"]) for r in rows.select("event_id", "Fraud_Probability").collect()))
+"""
+
+
+def test_same_forest_on_any_number_of_cores(folder):
+    def scores(cores):
+        run = subprocess.run(
+            [sys.executable, "-c", _ON_CORES, str(cores), folder(f"model-{cores}")],
+            capture_output=True, text=True, timeout=300, check=True,
+        )
+        return run.stdout.split("SCORES")[1]
+
+    assert scores(2) == scores(4)
+
+
+def test_area_from_few_thresholds(spark, history, folder):
+    exact, binned = (
+        run_training(
+            spark, history, folder(f"m{bins}"), key="event_id", auc_bins=bins, trees=10, depth=4
+        ).test_auc
+        for bins in (0, 50)
+    )
+    assert binned == pytest.approx(exact, abs=0.05)
