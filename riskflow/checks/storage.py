@@ -105,6 +105,26 @@ def catalog_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalog_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partitions a table lists after a shorter overwrite and a repair."""
+    name, path, tx = _name("daily"), scratch_dir(spark, "daily"), fixtures.tx(spark, sf_dir)
+    sinks.write_daily(ops.daily_aggregates(tx), path)
+    sources.register_partitioned(spark, name, S.DAILY, "transaction_date", path)
+    sources.repair_partitions(spark, name)
+    sinks.write_daily(ops.daily_aggregates(_later(tx)), path)
+    sources.repair_partitions(spark, name)
+    return spark.sql(f"SHOW PARTITIONS {name}")
+
+
+def daily_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the later days, from rows that lie in a folder per day."""
+    path = scratch_dir(spark, "scored")
+    sinks.write_scored(fixtures.tx_dirty(spark, sf_dir), path, by_day=True)
+    daily = scratch_dir(spark, "daily")
+    plans.run_daily(spark, path, daily, table=None, since=LATER)
+    return rounded_daily(sources.read_daily(spark, daily))
+
+
 def overview_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view over both tables."""
     scored_path, daily_path = _stored_scored(spark, sf_dir), scratch_dir(spark, "daily")
@@ -152,6 +172,8 @@ QUERIES = {
     "sink_daily_dynamic": sink_daily_dynamic,
     "daily_job": daily_job,
     "catalog_partitions": catalog_partitions,
+    "catalog_sync": catalog_sync,
+    "daily_since": daily_since,
     "overview_join": overview_join,
     "overview_operator": overview_operator,
     "overview_salted": overview_salted,
@@ -184,6 +206,12 @@ earlier AS (SELECT * FROM tx WHERE event_ts < DATE '{LATER}' AND "Risk_Action" =
     "catalog_partitions": sql.tx()
     + """ SELECT "Risk_Action", CAST(count(*) AS BIGINT) AS n_rows,
   CAST(0 AS BIGINT) AS rows_before_repair FROM tx GROUP BY 1""",
+    "catalog_sync": sql.tx()
+    + f""" SELECT DISTINCT 'transaction_date=' || CAST(event_ts AS DATE) AS "partition"
+FROM tx WHERE event_ts >= DATE '{LATER}'""",
+    "daily_since": sql.tx(dirty=True)
+    + f", later AS (SELECT * FROM tx WHERE event_ts >= DATE '{LATER}') "
+    + sql.daily("later"),
     "overview_join": _overview(dirty=False),
     "overview_operator": _overview(dirty=True),
     "overview_salted": _overview(dirty=True),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-SALTS = 64
 
 # Output of the overview, from the transaction side and from the daily side.
 TX_COLUMNS = ["event_ts", "Amount", "Class", "Risk_Action"]
@@ -17,7 +16,7 @@ def overview(
     tx: DataFrame,
     daily: DataFrame,
     broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Every transaction, left-joined to its day; no match leaves nulls.
 
@@ -25,8 +24,11 @@ def overview(
     are counted first (a read of Parquet footers). Up to ``broadcast_rows`` it
     is broadcast and the transactions do not move. Beyond that both sides are
     shuffled on the date and a salt, so that a day with a third of all
-    transactions, or the rows without a date, spread over ``salts`` tasks.
+    transactions, or the rows without a date, spread over ``salts`` tasks, by
+    default as many as a shuffle has partitions.
     """
+    if salts is None:
+        salts = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = tx.select(*TX_COLUMNS, F.to_date("event_ts").alias("transaction_date"))
     right = daily.select("transaction_date", *DAILY_COLUMNS)
     if right.count() <= broadcast_rows:

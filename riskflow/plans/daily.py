@@ -6,7 +6,6 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from riskflow import schema as S
 from riskflow.operators.aggregate import daily_aggregates
@@ -26,13 +25,12 @@ def run_daily(
     """Write the daily totals, then declare and repair their table.
 
     A full run replaces the whole folder. ``since`` limits the run to that
-    UTC day and later ones: the bound reaches the Parquet scan, where it skips
-    row groups, and only the recomputed days are replaced. ``repair`` names
-    further tables to repair afterwards.
+    UTC day and later ones: where scored rows lie in a folder per day, earlier
+    folders are not opened, elsewhere the bound skips row groups in the Parquet
+    scan; only the recomputed days are replaced. ``repair`` names further tables to
+    repair afterwards.
     """
-    scored = read_scored(spark, scored_path)
-    if since is not None:
-        scored = scored.filter(F.col("event_ts") >= F.lit(since).cast("timestamp"))
+    scored = read_scored(spark, scored_path, since)
     write_daily(daily_aggregates(scored), daily_path, dynamic=since is not None)
     if table is not None:
         register_partitioned(spark, table, S.DAILY, "transaction_date", daily_path)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskflow import schema as S
 from riskflow.operators.scored import scored_columns
 from riskflow.sources.scored import read_scored
 
@@ -26,25 +28,37 @@ def write_daily(
 
 
 def write_scored(
-    scored: DataFrame, path: str, mode: str = "overwrite", max_records_per_file: int = 0
+    scored: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    max_records_per_file: int = 0,
+    by_day: bool = False,
 ) -> None:
     """Scored transactions, one folder per tier.
 
     Each task writes its own file in each tier it meets. There is no shuffle
-    on the tier, because one tier holds most of the rows.
+    on the tier, because one tier holds most of the rows. With ``by_day`` there is a
+    folder per UTC day below the tier, and rows are gathered by both before, so
+    that a day does not get a file from every task; adaptive execution splits large
+    days.
     """
+    rows, folders = scored.select(*scored_columns()), ["Risk_Action"]
+    if by_day:
+        folders.append(S.DAY)
+        rows = rows.withColumn(S.DAY, F.to_date("event_ts")).hint("rebalance", *folders)
     (
-        scored.select(*scored_columns())
-        .write.mode(mode)
+        rows.write.mode(mode)
         .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy("Risk_Action")
+        .partitionBy(*folders)
         .parquet(path)
     )
 
 
-def copy_scored(spark: SparkSession, sink_path: str, table_path: str) -> None:
+def copy_scored(
+    spark: SparkSession, sink_path: str, table_path: str, by_day: bool = False
+) -> None:
     """Publish a streaming sink's committed rows to a folder a table can sit on."""
-    write_scored(read_scored(spark, sink_path), table_path)
+    write_scored(read_scored(spark, sink_path), table_path, by_day=by_day)
 
 
 def write_envelope_files(envelopes: DataFrame, path: str, mode: str = "append") -> None:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from riskflow import schema as S
 from riskflow.operators.overview import DAILY_COLUMNS, TX_COLUMNS
 from riskflow.storage import path_exists
 
@@ -64,13 +65,19 @@ def register_sink(spark: SparkSession, name: str, schema: T.StructType, path: st
     no repair, and filters on the partition column still prune folders.
     """
     columns = ", ".join(_quoted(f.name) for f in schema.fields)
-    spark.sql(f"CREATE VIEW {_quoted(name)} AS SELECT {columns} FROM parquet.`{path}`")
+    stored = spark.read.parquet(path).columns
+    scored = f" WHERE {S.OUTCOME} = '{S.IS_SCORED}'" if S.OUTCOME in stored else ""
+    spark.sql(f"CREATE VIEW {_quoted(name)} AS SELECT {columns} FROM parquet.`{path}`{scored}")
 
 
 def repair_partitions(spark: SparkSession, name: str) -> None:
-    """Bring a table's partitions in line with its folders; a view has none."""
+    """Bring a table's partitions in line with its folders; a view has none.
+
+    Partitions whose folder is gone are dropped, and files listed before are forgotten.
+    """
     if not _is_view(spark, name):
-        spark.sql(f"MSCK REPAIR TABLE {_quoted(name)}")
+        spark.sql(f"MSCK REPAIR TABLE {_quoted(name)} SYNC PARTITIONS")
+        spark.sql(f"REFRESH TABLE {_quoted(name)}")
 
 
 def partition_counts(spark: SparkSession, name: str, partition: str) -> DataFrame:
@@ -90,5 +97,8 @@ def create_overview(spark: SparkSession, tx: str, daily: str, name: str) -> None
     spark.sql(
         f"CREATE VIEW IF NOT EXISTS {_quoted(name)} AS SELECT {columns} "
         f"FROM {_quoted(tx)} t LEFT JOIN {_quoted(daily)} d "
-        f"ON to_date(t.event_ts) = d.transaction_date"
+        # Rows without a time can match no day; in a join by shuffle they are dealt out
+        # over days that no total has, instead of all meeting in one task.
+        f"ON coalesce(to_date(t.event_ts), date_add(DATE'0001-01-01', "
+        f"CAST(pmod(xxhash64(t.Time, t.Amount, t.V1), 1000) AS INT))) = d.transaction_date"
     )

@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskflow import schema as S
+from riskflow.sources.envelopes import ANY_AGE
+from riskflow.storage import child_names
 
 
-def read_scored(spark: SparkSession, path: str) -> DataFrame:
+def read_scored(spark: SparkSession, path: str, since: dt.date | None = None) -> DataFrame:
     """Scored transactions with the tier recovered from the directory names.
 
     Reading by path honours the commit log of a streaming sink, so files of an
-    unfinished batch are never seen and new partitions need no repair.
+    unfinished batch are never seen and new partitions need no repair. Folders of
+    rejected messages are left out. ``since`` keeps that UTC day and later ones:
+    where rows lie in a folder per day, only those folders are listed and opened.
     """
-    return spark.read.schema(S.SCORED).parquet(path)
-
-
-def read_scored_stream(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> DataFrame:
-    """The output of the scored sink as a stream, for jobs that follow it.
-
-    ``keep`` names text columns stored beside those of the table.
+    folders = []
+    if any(name.startswith(f"{S.OUTCOME}=") for name in child_names(spark, path)):
+        folders.append(T.StructField(S.OUTCOME, T.StringType()))
+    if since is not None:
+        folders.append(T.StructField(S.DAY, T.DateType()))
+    stored = spark.read.schema(T.StructType([*S.SCORED.fields, *folders])).parquet(path)
+    if S.OUTCOME in stored.columns:
+        stored = stored.filter(F.col(S.OUTCOME) == S.IS_SCORED)
+    if since is not None:
+        # Rows outside day folders have no day; the time bound decides for them.
+        recent = F.col(S.DAY).isNull() | (F.col(S.DAY) >= F.lit(since))
+        stored = stored.filter(recent).filter(F.col("event_ts") >= F.lit(since).cast("timestamp"))
+    return stored.select(*S.SCORED.names)
+
+
+def read_stored_stream(
+    spark: SparkSession, path: str, max_file_age: str = ANY_AGE
+) -> DataFrame:
+    """All that the scoring query stored, as a stream, for jobs that follow it.
+
+    ``outcome`` tells scored rows from rejected messages; a filter on it, or on the
+    tier, opens only the folders it names.
     """
-    extra = [T.StructField(name, T.StringType()) for name in keep]
-    return spark.readStream.schema(T.StructType([*extra, *S.SCORED.fields])).parquet(path)
+    reader = spark.readStream.schema(S.STORED).option("maxFileAge", max_file_age)
+    return reader.parquet(path)
 
 
 def read_daily(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,7 @@ from riskflow.sources import (
     partition_counts,
     read_daily,
     read_envelope_files,
+    read_scored,
     register_partitioned,
     register_sink,
     repair_partitions,
@@ -44,6 +45,30 @@ def test_partitions_appear_after_repair_only(spark, name, folder):
     assert partition_counts(spark, name, "transaction_date").count() == 2
 
 
+def test_repair_drops_partitions_whose_folder_is_gone(spark, name, folder):
+    path = folder("daily")
+    both = _scored(spark).unionByName(_scored(spark, day="2025-01-02"))
+    write_daily(daily_aggregates(both), path)
+    register_partitioned(spark, name, S.DAILY, "transaction_date", path)
+    repair_partitions(spark, name)
+    write_daily(daily_aggregates(_scored(spark, day="2025-01-02")), path)
+    repair_partitions(spark, name)
+    assert [r[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()] == [
+        "transaction_date=2025-01-02"
+    ]
+
+
+def test_a_day_opens_its_own_folders_only(spark, folder):
+    both = _scored(spark).unionByName(_scored(spark, 7, day="2025-01-02"))
+    write_scored(both, folder("scored"), by_day=True)
+    recent = read_scored(spark, folder("scored"), dt.date(2025, 1, 2))
+    assert recent.count() == 7 and recent.columns == S.SCORED.names
+    assert re.search(r"PartitionFilters: \[.*event_date.*2025-01-02", formatted_plan(recent))
+    plain = folder("plain")
+    write_scored(both, plain)
+    assert read_scored(spark, plain, dt.date(2025, 1, 2)).count() == 7
+
+
 def test_dropping_a_table_keeps_its_data(spark, name, folder):
     write_scored(_scored(spark), folder("scored"))
     register_partitioned(spark, name, S.SCORED, "Risk_Action", folder("scored"))
@@ -154,7 +179,6 @@ def test_daily_job_repairs_other_tables_and_limits_its_days(spark, name, folder)
 
     write_scored(_scored(spark, 5, "2025-01-02"), folder("scored"), mode="append")
     run_daily(spark, folder("scored"), folder("daily"), name, since=dt.date(2025, 1, 2))
-    spark.catalog.refreshTable(name)
     rows = spark.table(name).collect()
     totals = {str(r["transaction_date"]): r["total_transactions"] for r in rows}
     assert totals == {"2025-01-01": 10, "2025-01-02": 10}
