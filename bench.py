@@ -27,7 +27,7 @@ HEADLINE = [
     "quarantine_reasons",
     "class_weight_rows",
     "auc_score",
-    "replay_sequence",
+    "event_sequence",
     "wire_roundtrip",
     "src_parquet_partitioned",
     "daily_job",

@@ -30,7 +30,7 @@ def _replay(spark: SparkSession, args: argparse.Namespace) -> None:
         args.history,
         args.key.split(","),
         args.start,
-        args.gap_ms,
+        frauds=args.frauds,
         path=args.path,
         servers=args.servers,
         topic=args.topic,
@@ -41,7 +41,9 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.rocksdb:
         use_rocksdb_state(spark)
     if args.path is not None:
-        messages = sources.read_envelope_files(spark, args.path)
+        messages = sources.read_envelope_files(
+            spark, args.path, numbered=args.hbase_host is not None
+        )
     else:
         messages = sources.read_kafka(
             spark, args.servers, args.topic, max_offsets_per_trigger=args.max_offsets
@@ -78,7 +80,7 @@ def _daily(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _publish(spark: SparkSession, args: argparse.Namespace) -> None:
-    sinks.copy_scored(spark, args.sink, args.scored)
+    sinks.copy_scored(spark, args.sink, args.scored, by_day=args.by_day)
 
 
 def _setup(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -99,14 +101,16 @@ def build_parser() -> argparse.ArgumentParser:
     train.add_argument("--history", required=True, help="labelled CSV with a header")
     train.add_argument("--model", required=True)
     train.add_argument("--key", help="integer column that identifies a row; default the whole row")
-    train.add_argument("--partitions", type=int, help="deal the training rows to so many tasks")
+    train.add_argument(
+        "--partitions", type=int, default=plans.TRAINING_TASKS, help="tasks that hold the training rows"
+    )
     train.set_defaults(run=_train)
 
     replay = jobs.add_parser("replay", help="turn labelled history into messages")
     replay.add_argument("--history", required=True, help="labelled CSV with a header")
     replay.add_argument("--key", required=True, help="columns that identify a row, by commas")
     replay.add_argument("--start", type=dt.datetime.fromisoformat, required=True)
-    replay.add_argument("--gap-ms", type=int, default=10)
+    replay.add_argument("--frauds", type=int, help="send so many frauds only; default all")
     replay.add_argument("--path", help="folder for message files")
     replay.add_argument("--servers")
     replay.add_argument("--topic")
@@ -122,7 +126,12 @@ def build_parser() -> argparse.ArgumentParser:
     stream.add_argument("--max-offsets", type=int, help="bound on messages per micro-batch")
     stream.add_argument("--trigger", default=S.TRIGGER_INTERVAL)
     stream.add_argument("--once", action="store_true", help="process what is there, then stop")
-    stream.add_argument("--follow", action="store_true", help="score once; see the README")
+    stream.add_argument(
+        "--follow",
+        action=argparse.BooleanOptionalAction,
+        default=True,
+        help="score once and let the other outputs follow; see the README",
+    )
     stream.add_argument("--rocksdb", action="store_true", help="keep window state in RocksDB")
     stream.add_argument("--hbase-host", help="put alerts into HBase instead of Parquet")
     stream.add_argument("--hbase-table", default=S.ALERT_TABLE)
@@ -139,6 +148,7 @@ def build_parser() -> argparse.ArgumentParser:
     publish = jobs.add_parser("publish", help="copy a scored sink to a table folder")
     publish.add_argument("--sink", required=True)
     publish.add_argument("--scored", required=True)
+    publish.add_argument("--by-day", action="store_true", help="a folder per day below the tier")
     publish.set_defaults(run=_publish)
 
     setup = jobs.add_parser("setup", help="declare both tables and the overview view")

@@ -13,7 +13,8 @@ from riskflow.checks import sql
 from riskflow.checks.batch import MAX_AVERAGE, MAX_TOTAL, plain_time, plain_windows
 from riskflow.operators.wire import REASON
 from riskflow.session import scratch_dir
-from riskflow.streaming.fanout import decode_messages, start_followers, start_scoring
+from riskflow.storage import child_names, make_older
+from riskflow.streaming.fanout import decode_messages
 
 # Rows of this type reach the two-step streams in the second step.
 SECOND_STEP = "purchase"
@@ -147,6 +148,43 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_scored(sources.read_scored(spark, paths.scored))
 
 
+def stream_old_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive late and are thirty days old are read like any other."""
+    source, paths = scratch_dir(spark, "messages"), st.StreamPaths(scratch_dir(spark, "stream"))
+    month_ms = 30 * 24 * 3600 * 1000
+
+    def write(part: DataFrame) -> None:
+        before = set(child_names(spark, source))
+        sinks.write_envelope_files(fixtures.envelopes(fixtures.tx_from_events(part)), source)
+        if before:
+            for name in set(child_names(spark, source)) - before:
+                make_older(spark, f"{source}/{name}", month_ms)
+
+    def start():
+        parsed = ops.parse_wire(sources.read_envelope_files(spark, source))
+        return st.write_parquet_stream(
+            parsed, paths.scored, paths.checkpoint("scored"), st.RUN_TO_COMPLETION
+        )
+
+    _in_two_steps(spark, fixtures.events(spark, sf_dir), write, start)
+    return spark.read.schema(S.WIRE).parquet(paths.scored)
+
+
+def alert_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of messages that all come twice: every copy has a key of its own."""
+    source, paths = scratch_dir(spark, "messages"), st.StreamPaths(scratch_dir(spark, "stream"))
+    messages = fixtures.messages(spark, sf_dir)
+    sinks.write_envelope_files(messages.unionByName(messages), source)
+    stream = sources.read_envelope_files(spark, source, numbered=True)
+    started = st.start_scoring(stream, stand_in_scorer, paths, st.RUN_TO_COMPLETION)
+    st.await_each(started.values())
+    st.await_each(st.start_followers(spark, paths, st.RUN_TO_COMPLETION).values())
+    alerts = spark.read.parquet(paths.alerts)
+    return alerts.groupBy("eventTime", "Amount", "Risk_Action").agg(
+        F.count(F.lit(1)).alias("n_alerts"), F.countDistinct("alert_key").alias("n_keys")
+    )
+
+
 def stream_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per output of the scoring job, each output its own query."""
     paths = st.StreamPaths(scratch_dir(spark, "stream"))
@@ -156,12 +194,12 @@ def stream_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_followers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, with alerts and windows on top of the stored scored rows."""
+    """The same, with rejects, alerts and windows on top of the stored rows."""
     paths = st.StreamPaths(scratch_dir(spark, "stream"))
     messages = _dirty_messages(spark, sf_dir)
-    scoring = start_scoring(messages, stand_in_scorer, paths, st.RUN_TO_COMPLETION, keep_id=True)
+    scoring = st.start_scoring(messages, stand_in_scorer, paths, st.RUN_TO_COMPLETION)
     _finish(*scoring.values())
-    _finish(*start_followers(spark, paths, st.RUN_TO_COMPLETION).values())
+    _finish(*st.start_followers(spark, paths, st.RUN_TO_COMPLETION).values())
     return _rows_per_output(spark, paths)
 
 
@@ -193,6 +231,8 @@ QUERIES = {
     "stream_sliding_window": stream_sliding_window,
     "stream_late_data": stream_late_data,
     "stream_restart": stream_restart,
+    "stream_old_files": stream_old_files,
+    "alert_keys": alert_keys,
     "stream_fanout": stream_fanout,
     "stream_followers": stream_followers,
 }
@@ -263,6 +303,12 @@ WHERE (NOT late OR window_start + INTERVAL 10 MINUTE > mark)
   AND window_start + INTERVAL 20 MINUTE <= (SELECT max(event_ts) FROM tx)
 GROUP BY window_start""",
     "stream_restart": _scored_on_v5(dirty=False) + f" SELECT {sql.SCORED_COLUMNS} FROM valid",
+    "stream_old_files": sql.tx() + f" SELECT {sql.WIRE_COLUMNS} FROM tx",
+    # Amounts are compared as text: the shortest decimal, as both engines write it here.
+    "alert_keys": _scored_on_v5(dirty=False)
+    + """ SELECT "eventTime", CAST("Amount" AS VARCHAR) AS "Amount", "Risk_Action",
+  CAST(2 * count(*) AS BIGINT) AS n_alerts, CAST(2 * count(*) AS BIGINT) AS n_keys
+FROM valid WHERE "Risk_Action" <> 'ALLOW' GROUP BY 1, 2, 3""",
     "stream_fanout": _OUTPUTS,
     "stream_followers": _OUTPUTS,
 }

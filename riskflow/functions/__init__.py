@@ -1,7 +1,7 @@
 """Column functions."""
 
 from riskflow.functions.event_time import iso_event_time, parse_event_time
-from riskflow.functions.keys import alert_key, message_id, split_position
+from riskflow.functions.keys import alert_key, has_position, message_id, split_position
 from riskflow.functions.rules import (
     fraud_probability,
     is_anomaly,
@@ -12,6 +12,7 @@ from riskflow.functions.rules import (
 __all__ = [
     "alert_key",
     "fraud_probability",
+    "has_position",
     "is_anomaly",
     "is_high_risk",
     "iso_event_time",

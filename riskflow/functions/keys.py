@@ -7,22 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+POSITIONS = (("topic", "partition", "offset"), ("file", "line"))
+
 _WORD = 2**32
 _MULTIPLIER = 2654435761  # Knuth's 32-bit multiplicative hash
 
 
 def message_id(columns: Sequence[str], payload: str = "value") -> Column:
-    """Identity of a message: its position in the topic where there is one.
+    """Identity of a message: its position in the topic, or its place in a file.
 
-    Messages read from files have no offset; their identity is a digest of the
-    whole payload.
+    Two equal messages differ in it. Messages that come without either are
+    identified by a digest of the whole payload, which equal ones share.
     """
-    position = ["topic", "partition", "offset"]
-    if set(position) <= set(columns):
-        return F.concat_ws("-", *[F.col(name).cast("string") for name in position])
+    for position in POSITIONS:
+        if set(position) <= set(columns):
+            return F.concat_ws("-", *[F.col(name).cast("string") for name in position])
     return F.sha2(F.col(payload).cast("string"), 256)
 
 
+def has_position(columns: Sequence[str]) -> bool:
+    """Whether equal messages differ in their identity."""
+    return any(set(position) <= set(columns) for position in POSITIONS)
+
+
 def alert_key(id_columns: Sequence[str], event_time: Column | str = "eventTime") -> Column:
     """Event time, then the identifying columns, joined by underscores."""
     event_time = F.col(event_time) if isinstance(event_time, str) else event_time

@@ -21,6 +21,8 @@ from riskflow.operators.sequence import with_sequence
 from riskflow.operators.split import hash_split, in_train
 from riskflow.operators.wire import (
     drop_missing_event_ts,
+    is_rejected,
+    label_faults,
     parse_wire,
     split_valid,
     stamp_event_time,
@@ -37,6 +39,8 @@ __all__ = [
     "drop_missing_event_ts",
     "hash_split",
     "in_train",
+    "is_rejected",
+    "label_faults",
     "overview",
     "parse_wire",
     "preview",

@@ -31,7 +31,25 @@ def with_alert_key(df: DataFrame, id_columns: Sequence[str]) -> DataFrame:
     return df.withColumn("alert_key", alert_key(id_columns))
 
 
+def plain_number(name: str) -> Column:
+    """A double as the shortest decimal text, without an exponent from 1e-4 up to 1e16.
+
+    Spark's own text has one from 1e7 on and below 1e-3. Outside that range, and for
+    NaN and infinity, its text stays.
+    """
+    value = F.col(name)
+    digits = F.rtrim(value.cast("decimal(38,20)").cast("string"), F.lit("0"))
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    size = F.abs(value)
+    exponent = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
+    return F.when(exponent, plain).otherwise(value.cast("string"))
+
+
 def alert_cells(alert_rows: DataFrame) -> DataFrame:
     """Row key and text cells of the wide-column alert layout; null stays null."""
-    cells = [F.col(name).cast("string").alias(name) for name in S.ALERT_COLUMNS]
+    kinds = dict(alert_rows.dtypes)
+    cells = [
+        (plain_number(name) if kinds[name] == "double" else F.col(name).cast("string")).alias(name)
+        for name in S.ALERT_COLUMNS
+    ]
     return alert_rows.select("alert_key", *cells)

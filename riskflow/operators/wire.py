@@ -61,26 +61,42 @@ def _not_scorable() -> Column:
     )
 
 
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that can be scored, and rejected rows; together they are the input.
+def label_faults(df: DataFrame, payload: str | None = None) -> DataFrame:
+    """Add ``reject_reason``, the first thing wrong with a row, or null.
 
     Needs the columns of :func:`parse_wire` with ``corrupt=CORRUPT`` and
-    ``event_ts``. Both parts get the first thing wrong with a row in
-    ``reject_reason``, or null: a message that does not parse, then a feature
-    that is null or NaN, then a missing event time. The last is only labelled
-    and stays valid, as the daily totals leave such rows out themselves. A
-    null label (``Class``) is not an error; scoring ignores it.
+    ``event_ts``. A message that does not parse comes first (an empty or missing
+    one too, if ``payload`` names the text), then a feature that is null or NaN,
+    then a missing event time. A null label (``Class``) is not an error; scoring
+    ignores it.
     """
     corrupt = F.col(CORRUPT).isNotNull()
-    rejected = corrupt | _not_scorable()
-    no_time = F.when(F.col("event_ts").isNull(), BAD_EVENT_TIME)
-    fault = F.when(corrupt, BAD_JSON).otherwise(BAD_FEATURE)
-    return (
-        df.filter(~rejected).withColumn(REASON, no_time),
-        df.filter(rejected).withColumn(REASON, fault),
+    if payload is not None:
+        corrupt |= F.trim(F.coalesce(F.col(payload).cast("string"), F.lit(""))) == ""
+    return df.withColumn(
+        REASON,
+        F.when(corrupt, BAD_JSON)
+        .when(_not_scorable(), BAD_FEATURE)
+        .when(F.col("event_ts").isNull(), BAD_EVENT_TIME),
     )
 
 
+def is_rejected() -> Column:
+    """Whether a labelled row cannot be scored. A missing event time alone does not
+    reject it: the daily totals leave such rows out themselves."""
+    return F.coalesce(F.col(REASON).isin(BAD_JSON, BAD_FEATURE), F.lit(False))
+
+
+def split_valid(df: DataFrame, payload: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows that can be scored, and rejected rows; together they are the input.
+
+    Each part reads the input for itself. Where both are wanted, one pass over
+    :func:`label_faults` gives them together.
+    """
+    labelled = label_faults(df, payload)
+    return labelled.filter(~is_rejected()), labelled.filter(is_rejected())
+
+
 def stamp_event_time(df: DataFrame, ts: str) -> DataFrame:
     """Add ``eventTime``: the timestamp column ``ts`` as ISO-8601 UTC text."""
     return df.withColumn("eventTime", iso_event_time(ts))

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from riskflow.functions import has_position
 from riskflow.ml import load_model, score
 from riskflow.streaming.fanout import (
     AlertStore,
@@ -25,22 +26,28 @@ def run_stream(
     model: str | PipelineModel,
     paths: StreamPaths,
     trigger: dict | None = None,
-    follow: bool = False,
+    follow: bool = True,
     alert_store: AlertStore | None = None,
     **window_options,
 ) -> dict[str, StreamingQuery]:
     """Start every output of the scoring job and return the running queries.
 
-    By default each output is an independent query over the messages. With
-    ``follow`` alerts and windows read the stored scored rows instead. Alerts
-    go to Parquet unless there is an ``alert_store``.
+    One query reads, parses, scores and stores every message; rejects, alerts and
+    windows follow what it stores. Without ``follow`` each output is an independent
+    query over the messages, which each does that work again. Alerts go to Parquet
+    unless there is an ``alert_store``.
     """
+    if alert_store is not None and not has_position(messages.columns):
+        raise ValueError(
+            "a keyed alert store needs messages with a position, such as numbered files: "
+            "equal messages would share a key, and one alert would replace the other"
+        )
     if isinstance(model, str):
         model = load_model(model)
     scorer = partial(score, model)
     if not follow:
         return start_all(messages, scorer, paths, trigger, alert_store, **window_options)
-    started = start_scoring(messages, scorer, paths, trigger, keep_id=True)
+    started = start_scoring(messages, scorer, paths, trigger)
     if trigger and trigger.get("availableNow"):
         await_each(started.values())
     return started | start_followers(spark, paths, trigger, alert_store, **window_options)

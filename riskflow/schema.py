@@ -29,7 +29,6 @@ DAILY_TABLE = "daily_fraud_aggregates"
 OVERVIEW_VIEW = "fraud_overview"
 ALERT_TABLE = "fraud_alerts"
 ALERT_FAMILY = "cf"
-# End of fixed values.
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -76,3 +75,27 @@ DAILY = _struct(
 )
 
 ALERT_COLUMNS = ["eventTime", "Amount", "Fraud_Probability", "Risk_Action"]
+# End of fixed values.
+
+# What the scoring query stores: every message, scored or rejected, in a folder per
+# outcome and tier. A rejected one keeps its text; its tier is NO_TIER. The folders'
+# columns come last, as a stream of the files takes them by position.
+OUTCOME = "outcome"
+IS_SCORED = "scored"
+IS_REJECTED = "rejected"
+NO_TIER = "NONE"
+STORED = T.StructType(
+    [
+        *_struct(
+            ("message_id", T.StringType()),
+            ("payload", T.StringType()),
+            ("reject_reason", T.StringType()),
+        ).fields,
+        *SCORED.fields[:-1],
+        T.StructField(OUTCOME, T.StringType()),
+        SCORED.fields[-1],
+    ]
+)
+
+# An optional folder below the tier of a table of scored rows: the UTC day.
+DAY = "event_date"

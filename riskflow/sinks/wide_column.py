@@ -6,6 +6,7 @@ Needs the ``happybase`` client on the executors; it is imported there only.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 from pyspark.sql import DataFrame, Row
 
@@ -28,10 +29,14 @@ def put_alerts(rows: Iterable[Row], host: str, table: str) -> None:
     """Put the alerts of one partition over one connection, in bounded sends."""
     import happybase
 
+    rows = iter(rows)
+    first = next(rows, None)
+    if first is None:
+        return
     connection = happybase.Connection(host)
     try:
         with connection.table(table).batch(batch_size=PUTS_PER_SEND) as batch:
-            for row in rows:
+            for row in chain([first], rows):
                 batch.put(*alert_put(row))
     finally:
         connection.close()

@@ -16,7 +16,7 @@ from riskflow.sources.envelopes import (
     read_kafka,
 )
 from riskflow.sources.history import read_history_csv
-from riskflow.sources.scored import read_daily, read_scored, read_scored_stream, read_table
+from riskflow.sources.scored import read_daily, read_scored, read_stored_stream, read_table
 
 __all__ = [
     "create_overview",
@@ -30,7 +30,7 @@ __all__ = [
     "read_history_csv",
     "read_kafka",
     "read_scored",
-    "read_scored_stream",
+    "read_stored_stream",
     "read_table",
     "register_partitioned",
     "register_sink",

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A file source forgets files older than its limit, and then never reads such a
+#: file that arrives late. A century is no limit.
+ANY_AGE = "36500d"
 
 
 def kafka_options(
@@ -40,13 +45,33 @@ def read_kafka(spark: SparkSession, servers: str, topic: str, **options) -> Data
 
 
 def read_envelope_files(
-    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    max_files_per_trigger: int | None = None,
+    max_file_age: str = ANY_AGE,
+    numbered: bool = False,
 ) -> DataFrame:
-    """Text files with one message per line, as a stream with a ``value`` column."""
-    reader = spark.readStream.schema("value string")
+    """Text files with one message per line, as a stream with a ``value`` column.
+
+    With ``numbered`` a message also has its place, ``file`` and ``line``, which tells
+    equal messages apart and is the same whenever the file is read. A file is then
+    read as one piece, so files should be of moderate size.
+
+    By default a file is read however old it is. A shorter ``max_file_age`` leaves
+    out files that are older than that, counted back from the newest one seen,
+    and in turn lets Spark forget the names of older files.
+    """
+    reader = spark.readStream.schema("value string").option("maxFileAge", max_file_age)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.text(path)
+    if not numbered:
+        return reader.text(path)
+    whole = reader.text(path, wholetext=True).filter(F.length("value") > 0)
+    # A line break at the end of a file opens no further line.
+    lines = F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1)
+    return whole.select(
+        F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("line", "value")
+    )
 
 
 def read_envelope_batch(spark: SparkSession, path: str) -> DataFrame:

@@ -34,3 +34,36 @@ def highest_number(spark: SparkSession, path: str, pattern: str) -> int | None:
     """The largest number that ``pattern``'s first group finds in the child names."""
     found = (re.fullmatch(pattern, name) for name in child_names(spark, path))
     return max((int(match.group(1)) for match in found if match), default=None)
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None if there is none."""
+    fs, hadoop_path = _file_system(spark, path)
+    if not fs.exists(hadoop_path):
+        return None
+    stream = fs.open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    fs, hadoop_path = _file_system(spark, path)
+    stream = fs.create(hadoop_path, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _file_system(spark, path)
+    fs.delete(hadoop_path, True)
+
+
+def make_older(spark: SparkSession, path: str, by_ms: int) -> None:
+    """Set a file's modification time back."""
+    fs, hadoop_path = _file_system(spark, path)
+    now = fs.getFileStatus(hadoop_path).getModificationTime()
+    fs.setTimes(hadoop_path, now - by_ms, -1)

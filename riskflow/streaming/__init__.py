@@ -1,6 +1,13 @@
 """Streaming sinks, their start guard and the fan-out from one stream."""
 
-from riskflow.streaming.fanout import StreamPaths, await_any, await_each, start_all
+from riskflow.streaming.fanout import (
+    StreamPaths,
+    await_any,
+    await_each,
+    start_all,
+    start_followers,
+    start_scoring,
+)
 from riskflow.streaming.guards import StaleCheckpointError, guard_sink
 from riskflow.streaming.sinks import (
     EVERY_INTERVAL,
@@ -9,6 +16,7 @@ from riskflow.streaming.sinks import (
     write_alerts_stream,
     write_parquet_stream,
     write_scored_stream,
+    write_stored_stream,
     write_windows_stream,
 )
 
@@ -21,9 +29,12 @@ __all__ = [
     "await_each",
     "guard_sink",
     "start_all",
+    "start_followers",
+    "start_scoring",
     "store_alerts",
     "write_alerts_stream",
     "write_parquet_stream",
     "write_scored_stream",
+    "write_stored_stream",
     "write_windows_stream",
 ]

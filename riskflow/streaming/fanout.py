@@ -9,17 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from riskflow import schema as S
 from riskflow.functions import message_id
 from riskflow.operators.aggregate import window_anomalies
 from riskflow.operators.scored import alerts, with_alert_key, with_risk_action
-from riskflow.operators.wire import CORRUPT, REASON, parse_wire, split_valid, with_event_ts
-from riskflow.sources.scored import read_scored_stream
+from riskflow.operators.wire import (
+    CORRUPT,
+    REASON,
+    is_rejected,
+    label_faults,
+    parse_wire,
+    with_event_ts,
+)
+from riskflow.sources.scored import read_stored_stream
 from riskflow.storage import ensure_folder
 from riskflow.streaming.sinks import (
     store_alerts,
     write_alerts_stream,
     write_parquet_stream,
     write_scored_stream,
+    write_stored_stream,
     write_windows_stream,
 )
 
@@ -53,8 +62,8 @@ class StreamPaths:
         return f"{self.root}/checkpoints/{sink}"
 
 
-def decode_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scorable transactions and rejects, both with ``message_id``."""
+def label_messages(messages: DataFrame) -> DataFrame:
+    """Every message parsed once, with ``message_id``, ``payload`` and ``reject_reason``."""
     identified = messages.select(
         message_id(messages.columns).alias("message_id"),
         F.col("value").cast("string").alias("payload"),
@@ -62,8 +71,38 @@ def decode_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = parse_wire(
         identified, payload="payload", keep=["message_id", "payload"], corrupt=CORRUPT
     )
-    valid, rejected = split_valid(with_event_ts(parsed))
-    return valid.drop("payload", CORRUPT), rejected.select("message_id", "payload", REASON)
+    return label_faults(with_event_ts(parsed), "payload").drop(CORRUPT)
+
+
+def decode_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scorable transactions and rejects, both with ``message_id``."""
+    labelled = label_messages(messages)
+    return (
+        labelled.filter(~is_rejected()).drop("payload"),
+        labelled.filter(is_rejected()).select("message_id", "payload", REASON),
+    )
+
+
+def score_labelled(labelled: DataFrame, scorer: Scorer) -> DataFrame:
+    """Every labelled message with its outcome; score and tier for those that have one.
+
+    The scorer refuses missing features, so a rejected row is shown to it with zeros.
+    Its score is dropped, and only its text and reason are kept.
+    """
+    bad = F.col("_rejected")
+    filled = labelled.withColumn("_rejected", is_rejected()).withColumns(
+        {name: F.when(bad, 0.0).otherwise(F.col(name)) for name in S.FEATURES}
+    )
+    tiered = with_risk_action(scorer(filled))
+    cleared = {name: F.when(~bad, F.col(name)) for name in [*S.FEATURES, "Fraud_Probability"]}
+    return tiered.withColumns(
+        {
+            **cleared,
+            "payload": F.when(bad, F.col("payload")),
+            "Risk_Action": F.when(bad, S.NO_TIER).otherwise(F.col("Risk_Action")),
+            S.OUTCOME: F.when(bad, S.IS_REJECTED).otherwise(S.IS_SCORED),
+        }
+    ).drop("_rejected")
 
 
 def start_all(
@@ -81,37 +120,25 @@ def start_all(
     that work once. The window query needs no score, so its plan has none.
     Alerts go to Parquet, or to ``alert_store`` if there is one.
     """
-    valid, _ = decode_messages(messages)
-    scored = with_risk_action(scorer(valid))
-    return start_scoring(messages, scorer, paths, trigger) | _start_alerts_and_windows(
-        scored, valid, paths, trigger, alert_store, **window_options
-    )
-
-
-def start_scoring(
-    messages: DataFrame,
-    scorer: Scorer,
-    paths: StreamPaths,
-    trigger: dict | None = None,
-    keep_id: bool = False,
-) -> dict[str, StreamingQuery]:
-    """Start the scored sink and the sink for rejected messages.
-
-    ``keep_id`` stores ``message_id`` beside the table's columns, for
-    followers. Readers of the table do not name it and so never read it.
-    """
     valid, rejected = decode_messages(messages)
+    scored = with_risk_action(scorer(valid))
     return {
         "scored": write_scored_stream(
-            with_risk_action(scorer(valid)),
-            paths.scored,
-            paths.checkpoint("scored"),
-            trigger,
-            keep=["message_id"] if keep_id else (),
+            scored, paths.scored, paths.checkpoint("scored"), trigger
         ),
         "rejects": write_parquet_stream(
             rejected, paths.rejects, paths.checkpoint("rejects"), trigger
         ),
+    } | _start_alerts_and_windows(scored, valid, paths, trigger, alert_store, **window_options)
+
+
+def start_scoring(
+    messages: DataFrame, scorer: Scorer, paths: StreamPaths, trigger: dict | None = None
+) -> dict[str, StreamingQuery]:
+    """Start the one query that reads, parses and scores the messages and stores them all."""
+    stored = score_labelled(label_messages(messages), scorer)
+    return {
+        "scored": write_stored_stream(stored, paths.scored, paths.checkpoint("scored"), trigger)
     }
 
 
@@ -122,19 +149,26 @@ def start_followers(
     alert_store: AlertStore | None = None,
     **window_options,
 ) -> dict[str, StreamingQuery]:
-    """Start alerts and windows on top of scored rows stored with their ids.
+    """Start rejects, alerts and windows on top of what the scoring query stores.
 
-    They read the scored sink's commit log as a stream: messages are read,
-    parsed and scored once, alerts open only the folders of the high tiers,
+    They read its commit log as a stream: messages are read, parsed and scored
+    once, rejects and alerts open only the folders of their outcome and tiers,
     and windows read three columns. The outputs are those of ``start_all``,
-    one trigger later. With a run-to-completion trigger, wait for the scored
+    one trigger later. With a run-to-completion trigger, wait for the scoring
     query first.
     """
     ensure_folder(spark, paths.scored)  # a stream cannot be read from a missing one
-    stored = read_scored_stream(spark, paths.scored, keep=["message_id"])
-    return _start_alerts_and_windows(
-        stored, stored, paths, trigger, alert_store, **window_options
-    )
+    stored = read_stored_stream(spark, paths.scored)
+    scored = stored.filter(F.col(S.OUTCOME) == S.IS_SCORED)
+    rejected = stored.filter(F.col(S.OUTCOME) == S.IS_REJECTED)
+    return {
+        "rejects": write_parquet_stream(
+            rejected.select("message_id", "payload", REASON),
+            paths.rejects,
+            paths.checkpoint("rejects"),
+            trigger,
+        )
+    } | _start_alerts_and_windows(scored, scored, paths, trigger, alert_store, **window_options)
 
 
 def _start_alerts_and_windows(

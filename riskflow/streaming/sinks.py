@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from riskflow import schema as S
 from riskflow.operators.scored import alert_cells, scored_columns
-from riskflow.streaming.guards import BATCH_FOLDERS, FILE_SINK_LOG, guard_sink
+from riskflow.streaming.guards import BATCH_FOLDERS, FILE_SINK_LOG, claim_sink, guard_sink
 
 EVERY_INTERVAL = {"processingTime": S.TRIGGER_INTERVAL}
 RUN_TO_COMPLETION = {"availableNow": True}
@@ -24,7 +24,7 @@ def _append_files(
     df: DataFrame, writer: DataStreamWriter, path: str, checkpoint: str, trigger: dict | None
 ) -> StreamingQuery:
     guard_sink(df.sparkSession, path, checkpoint, FILE_SINK_LOG)
-    return (
+    query = (
         writer.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
@@ -32,6 +32,7 @@ def _append_files(
         .trigger(**(trigger or EVERY_INTERVAL))
         .start()
     )
+    return claim_sink(df.sparkSession, path, query)
 
 
 def write_parquet_stream(
@@ -54,6 +55,16 @@ def write_scored_stream(
     return _append_files(rows, writer, path, checkpoint, trigger)
 
 
+def write_stored_stream(
+    stored: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Every message, scored or rejected, in a folder per outcome and tier."""
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in S.STORED.fields]
+    rows = stored.select(*columns)
+    writer = rows.writeStream.partitionBy(S.OUTCOME, "Risk_Action")
+    return _append_files(rows, writer, path, checkpoint, trigger)
+
+
 def write_windows_stream(
     windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -75,7 +86,8 @@ def write_alerts_stream(
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return store_alerts(keyed_alerts, store, checkpoint, trigger)
+    query = store_alerts(keyed_alerts, store, checkpoint, trigger)
+    return claim_sink(keyed_alerts.sparkSession, path, query)
 
 
 def store_alerts(
@@ -91,13 +103,9 @@ def store_alerts(
     """
 
     def store_unless_empty(batch: DataFrame, batch_id: int) -> None:
-        # Both the emptiness test and the store read the batch; score it once.
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if not batch.isEmpty():
-                store(batch, batch_id)
-        finally:
-            batch.unpersist()
+        # The test stops at the first alert, so the batch is not kept for it.
+        if not batch.isEmpty():
+            store(batch, batch_id)
 
     return (
         alert_cells(keyed_alerts)

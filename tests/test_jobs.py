@@ -23,7 +23,7 @@ def clean_catalog(spark):
     clean()
 
 
-@pytest.mark.parametrize("follow", [[], ["--follow"]])
+@pytest.mark.parametrize("follow", [["--no-follow"], []])
 def test_from_history_to_overview(spark, folder, clean_catalog, follow):
     tx = fixtures.tx(spark, "/root/testdata/sf0.001")
     tx.select(*S.TRAIN.names).write.option("header", True).csv(folder("csv"))
@@ -32,7 +32,7 @@ def test_from_history_to_overview(spark, folder, clean_catalog, follow):
 
     main(
         ["replay", "--history", folder("csv"), "--key", "Time", "--start", "2025-01-01T00:00:00"]
-        + ["--gap-ms", "60000", "--path", folder("messages")]
+        + ["--path", folder("messages")]
     )
     main(
         ["stream", "--model", folder("model"), "--output", folder("job"), "--once"]
@@ -40,19 +40,22 @@ def test_from_history_to_overview(spark, folder, clean_catalog, follow):
     )
     sink = folder("job") + "/transactions"
     scored = sink
-    if follow:
+    if not follow:
         scored = folder("scored")
         main(["publish", "--sink", sink, "--scored", scored])
+        by_day = folder("by-day")
+        main(["publish", "--sink", sink, "--scored", by_day, "--by-day"])
+        assert read_scored(spark, by_day).count() == 1000
     main(["daily", "--scored", scored, "--daily", folder("daily")])
     main(["setup", "--scored", scored, "--daily", folder("daily")])
     main(["repair"])
 
-    assert read_scored(spark, sink).count() == 987
-    assert spark.table(S.SCORED_TABLE).count() == 987
+    assert read_scored(spark, sink).count() == 1000
+    assert spark.table(S.SCORED_TABLE).count() == 1000
     daily = spark.table(S.DAILY_TABLE)
-    assert daily.agg(F.sum("total_transactions")).first()[0] == 987
+    assert daily.agg(F.sum("total_transactions")).first()[0] == 1000
     view = spark.table(S.OVERVIEW_VIEW)
-    assert view.count() == 987
+    assert view.count() == 1000
     assert view.filter("total_transactions IS NULL").count() == 0
 
 

@@ -121,7 +121,7 @@ def test_top_k_instead_of_a_global_sort(spark, scored_path):
     tx = read_scored(spark, scored_path)
     first_days = preview(daily_aggregates(tx), "transaction_date")
     assert "TakeOrderedAndProject" in physical_plan(first_days)
-    assert "TakeOrderedAndProject" in physical_plan(replay_selection(tx, ["Time"]))
+    assert "TakeOrderedAndProject" in physical_plan(replay_selection(tx, ["Time"], 10))
 
 
 def test_whole_view_moves_no_transactions(spark, scored_path, name, folder):

@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import transactions, utc, wire_rows
+from helpers import physical_plan, transactions, utc, wire_rows
 from riskflow import schema as S
 from riskflow import streaming as st
 from riskflow.functions import parse_event_time
@@ -16,11 +16,18 @@ from riskflow.operators import (
     with_risk_action,
 )
 from riskflow.operators.wire import REASON
+from riskflow.plans import run_stream
 from riskflow.session import ROCKSDB_PROVIDER, use_rocksdb_state
 from riskflow.sinks import write_envelope_files
 from riskflow.sources import read_envelope_files, read_scored
-from riskflow.storage import path_exists
-from riskflow.streaming.fanout import decode_messages, start_followers, start_scoring
+from riskflow.storage import child_names, make_older, path_exists
+from riskflow.streaming.fanout import (
+    decode_messages,
+    label_messages,
+    score_labelled,
+    start_followers,
+    start_scoring,
+)
 
 ROWS = "eventTime string, Amount double, Class int"
 
@@ -109,7 +116,7 @@ def _deliver_alerts(spark, folder, part, n=10):
 
 
 def _run_alerts(spark, folder, checkpoint="check"):
-    valid, _ = decode_messages(read_envelope_files(spark, folder("messages")))
+    valid, _ = decode_messages(read_envelope_files(spark, folder("messages"), numbered=True))
     rows = alerts(with_risk_action(_score(valid)), keep=["message_id"])
     st.write_alerts_stream(
         with_alert_key(rows, ["message_id"]),
@@ -141,7 +148,7 @@ def test_alerts_are_keyed_text_and_survive_a_replayed_batch(spark, folder):
 def test_a_batch_without_alerts_writes_nothing(spark, folder):
     _deliver_alerts(spark, folder, 1, n=3)
     _run_alerts(spark, folder)
-    assert not path_exists(spark, folder("alerts"))
+    assert child_names(spark, folder("alerts")) == ["_owner"]
 
 
 def test_alert_cells_keep_null(spark, folder):
@@ -197,6 +204,147 @@ def test_a_shorter_foreign_checkpoint_is_refused(spark, folder):
         st.write_scored_stream(rows, folder("out"), folder("foreign"), st.RUN_TO_COMPLETION)
 
 
+def _plain_query(spark, folder, out, checkpoint):
+    valid, _ = decode_messages(read_envelope_files(spark, folder("messages")))
+    rows = with_risk_action(_score(valid))
+    return st.write_scored_stream(rows, folder(out), folder(checkpoint), st.RUN_TO_COMPLETION)
+
+
+@pytest.mark.parametrize("longer", [0, 1])
+def test_an_equally_long_or_longer_foreign_checkpoint_is_refused(spark, folder, longer):
+    """What counts is whose checkpoint it is, not how many batches it has."""
+    for run in range(2):
+        write_envelope_files(to_envelope(wire_rows(spark, 10)), folder("messages"))
+        if run >= longer:
+            _plain_query(spark, folder, "out", "check").awaitTermination()
+        _plain_query(spark, folder, "elsewhere", "foreign").awaitTermination()
+    with pytest.raises(st.StaleCheckpointError):
+        _plain_query(spark, folder, "out", "foreign")
+    _plain_query(spark, folder, "out", "check").awaitTermination()
+    assert read_scored(spark, folder("out")).count() == 20
+
+
+def test_windows_and_alerts_refuse_a_foreign_checkpoint_of_their_length(spark, folder):
+    _deliver_alerts(spark, folder, 1)
+    _run_alerts(spark, folder)
+    _plain_query(spark, folder, "elsewhere", "foreign").awaitTermination()
+    with pytest.raises(st.StaleCheckpointError):
+        _run_alerts(spark, folder, "foreign")
+    run = WindowRun(spark, lambda label: folder(f"windows-{label}"))
+    run.deliver([(_at("00:01"), 1.0, 0)])
+    with pytest.raises(st.StaleCheckpointError):
+        st.write_windows_stream(
+            spark.readStream.schema(ROWS).parquet(folder("windows-in")),
+            folder("windows-out"),
+            folder("foreign"),
+        )
+
+
+def test_an_owned_sink_is_not_listed_at_the_start(spark, folder, monkeypatch):
+    _deliver_alerts(spark, folder, 1)
+    _run_alerts(spark, folder)
+
+    def fail(*_):
+        raise AssertionError("listed")
+
+    monkeypatch.setattr("riskflow.streaming.guards.highest_number", fail)
+    _deliver_alerts(spark, folder, 2)
+    _run_alerts(spark, folder)
+    assert spark.read.parquet(folder("alerts")).count() == 12
+
+
+def test_messages_are_read_and_parsed_once_for_all_outputs(spark, folder):
+    write_envelope_files(to_envelope(wire_rows(spark, 5)), folder("messages"))
+    messages = spark.read.text(folder("messages"))
+    plan = physical_plan(score_labelled(label_messages(messages), _score))
+    assert plan.count("FileScan") == 1 and plan.count("from_json") == 1
+
+
+def test_rejected_rows_keep_their_text_and_have_no_score(spark, folder):
+    paths = st.StreamPaths(folder("job"))
+    messages = _messages_with_faults(spark, folder)
+    st.await_each(start_scoring(messages, _score, paths, st.RUN_TO_COMPLETION).values())
+    stored = spark.read.parquet(paths.scored)
+    rejected = stored.filter("outcome = 'rejected'").collect()
+    assert len(rejected) == 3 and stored.count() == 33
+    assert all(r["Fraud_Probability"] is None and r["V1"] is None for r in rejected)
+    assert all(r["payload"] is None for r in stored.filter("outcome = 'scored'").collect())
+    assert read_scored(spark, paths.scored).count() == 30
+
+
+def test_files_of_any_age_are_read_unless_limited(spark, folder):
+    for limit, rows in ((None, 20), ("7d", 10)):
+        source, out = folder(f"in-{limit}"), folder(f"out-{limit}")
+        options = {} if limit is None else {"max_file_age": limit}
+        for late in (False, True):
+            before = set(child_names(spark, source))
+            write_envelope_files(to_envelope(wire_rows(spark, 10)).coalesce(1), source)
+            if late:
+                for name in set(child_names(spark, source)) - before:
+                    make_older(spark, f"{source}/{name}", 30 * 24 * 3600 * 1000)
+            stream = read_envelope_files(spark, source, **options).select("value")
+            check = folder(f"check-{limit}")
+            st.write_parquet_stream(stream, out, check, st.RUN_TO_COMPLETION).awaitTermination()
+        assert spark.read.parquet(out).count() == rows
+
+
+def test_equal_messages_have_different_keys_that_a_replay_repeats(spark, folder):
+    twice = to_envelope(wire_rows(spark, 10))
+    write_envelope_files(twice.unionByName(twice), folder("messages"))
+    _run_alerts(spark, folder)
+    first = sorted(r["alert_key"] for r in spark.read.parquet(folder("alerts")).collect())
+    assert len(first) == 12 and len(set(first)) == 12
+    for file in ("0", ".0.crc"):
+        Path(folder("check"), "commits", file).unlink()
+    _run_alerts(spark, folder)
+    assert sorted(r["alert_key"] for r in spark.read.parquet(folder("alerts")).collect()) == first
+
+
+def test_numbered_files_have_the_lines_of_plain_ones(spark, folder):
+    Path(folder("in")).mkdir()
+    for i, text in enumerate(["a\nb\r\nc", "d\n", "", "\n\ne\n", "x\ry"]):
+        Path(folder("in"), f"f{i}.txt").write_bytes(text.encode())
+    stream = read_envelope_files(spark, folder("in"), numbered=True)
+    st.write_parquet_stream(
+        stream, folder("out"), folder("check"), st.RUN_TO_COMPLETION
+    ).awaitTermination()
+    rows = spark.read.parquet(folder("out")).collect()
+    assert sorted(r["value"] for r in rows) == sorted(
+        r["value"] for r in spark.read.text(folder("in")).collect()
+    )
+    places = {(r["file"][-6:-4], r["line"]): r["value"] for r in rows}
+    assert len(places) == len(rows) == 9
+    assert places["f0", 2] == "c" and places["f3", 2] == "e"
+
+
+def test_a_keyed_store_needs_positions(spark, folder):
+    Path(folder("in")).mkdir()
+    messages = read_envelope_files(spark, folder("in"))
+    with pytest.raises(ValueError, match="position"):
+        run_stream(spark, messages, None, st.StreamPaths(folder("job")), alert_store=lambda *_: None)
+
+
+@pytest.mark.parametrize(
+    ("value", "text"),
+    [
+        (12345678.9, "12345678.9"),
+        (10_000_000.0, "10000000.0"),
+        (1.5, "1.5"),
+        (-98765432.125, "-98765432.125"),
+        (0.00012, "0.00012"),
+        (0.0, "0.0"),
+        (None, None),
+        (1234567.25, "1234567.25"),
+    ],
+)
+def test_amounts_are_plain_text(spark, value, text):
+    rows = spark.createDataFrame(
+        [("t", value, 0.9, "BLOCK_CARD", "k")],
+        "eventTime string, Amount double, Fraud_Probability double, Risk_Action string, alert_key string",
+    )
+    assert alert_cells(rows).first()["Amount"] == text
+
+
 def test_the_alert_sink_is_guarded_too(spark, folder):
     _deliver_alerts(spark, folder, 1)
     _run_alerts(spark, folder)
@@ -208,16 +356,14 @@ def _messages_with_faults(spark, folder):
     good = to_envelope(wire_rows(spark, 30))
     bad = spark.createDataFrame([("{broken",), ('{"Amount":1.0}',), ("",)], "value string")
     write_envelope_files(good.unionByName(bad), folder("messages"))
-    return read_envelope_files(spark, folder("messages"))
+    return read_envelope_files(spark, folder("messages"), numbered=True)
 
 
 @pytest.mark.parametrize("follow", [False, True])
 def test_one_stream_feeds_every_output(spark, folder, follow):
     messages, paths = _messages_with_faults(spark, folder), st.StreamPaths(folder("job"))
     if follow:
-        st.await_each(
-            start_scoring(messages, _score, paths, st.RUN_TO_COMPLETION, keep_id=True).values()
-        )
+        st.await_each(start_scoring(messages, _score, paths, st.RUN_TO_COMPLETION).values())
         st.await_each(
             start_followers(spark, paths, st.RUN_TO_COMPLETION, watermark="0 minutes").values()
         )
@@ -230,10 +376,9 @@ def test_one_stream_feeds_every_output(spark, folder, follow):
     assert read_scored(spark, paths.scored).count() == 30
     found = {r["alert_key"] for r in spark.read.parquet(paths.alerts).collect()}
     assert len(found) == 18
-    # Both ways give an alert the key that its message has.
-    text = spark.read.text(folder("messages"))
-    ids = {r[0] for r in text.select(F.sha2("value", 256)).collect()}
-    assert {key.rsplit("_", 1)[1] for key in found} <= ids
+    # Both ways give an alert the key that its message has: its place in a file.
+    files = {r[0] for r in spark.read.text(folder("messages")).select("_metadata.file_path").collect()}
+    assert {key.split("_", 1)[1].rsplit("-", 1)[0] for key in found} <= files
     # One row a minute until 00:29: the windows that end by then are closed.
     closed = spark.read.parquet(paths.windows).select("total_txn").collect()
     assert sorted(r["total_txn"] for r in closed) == [5, 10, 10, 10, 10]
@@ -241,7 +386,7 @@ def test_one_stream_feeds_every_output(spark, folder, follow):
     assert {r["payload"]: r[REASON] for r in rejects.collect()} == {
         "{broken": "bad_json",
         '{"Amount":1.0}': "bad_feature",
-        "": "bad_feature",
+        "": "bad_json",
     }
 
 
@@ -249,17 +394,14 @@ def test_followers_skip_the_allow_folder(spark, folder):
     paths = st.StreamPaths(folder("job"))
     st.await_each(
         start_scoring(
-            _messages_with_faults(spark, folder),
-            _score,
-            paths,
-            st.RUN_TO_COMPLETION,
-            keep_id=True,
+            _messages_with_faults(spark, folder), _score, paths, st.RUN_TO_COMPLETION
         ).values()
     )
     started = start_followers(spark, paths, st.RUN_TO_COMPLETION)
     st.await_each(started.values())
-    # 12 of the 30 rows are ALLOW and are never read for alerts.
-    assert started["alerts"].recentProgress[0]["numInputRows"] == 18
+    # 12 of the 30 rows are ALLOW and are never read for alerts. The other 18 are read
+    # to see whether there are any, and to be stored.
+    assert started["alerts"].recentProgress[0]["numInputRows"] == 2 * 18
 
 
 def test_processing_time_trigger_keeps_running(spark, folder):
@@ -317,7 +459,7 @@ def test_followers_start_before_anything_is_scored(spark, folder):
     trigger = {"processingTime": "1 second"}
     messages = read_envelope_files(spark, source)
     followers = start_followers(spark, paths, trigger, watermark="0 minutes")
-    started = start_scoring(messages, _score, paths, trigger, keep_id=True) | followers
+    started = start_scoring(messages, _score, paths, trigger) | followers
     try:
         for n in (30, 10):
             write_envelope_files(to_envelope(wire_rows(spark, n)), source)

@@ -132,7 +132,7 @@ def test_the_scoring_job_takes_a_store(spark, folder, follow):
 
     once = st.RUN_TO_COMPLETION
     if follow:
-        st.await_each(start_scoring(messages, score, paths, once, keep_id=True).values())
+        st.await_each(start_scoring(messages, score, paths, once).values())
         st.await_each(start_followers(spark, paths, once, alert_store=store).values())
     else:
         st.await_each(st.start_all(messages, score, paths, once, alert_store=store).values())
