@@ -28,8 +28,8 @@ from riskflow.llm.common import WORD, stored, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Documents in a slice, about.
-SLICE = 2000
+#: Documents in a slice, over all sources, about. A source's slice is smaller.
+SLICE = 256
 
 
 def _rows(docs: DataFrame, text: str, source: str, id: str) -> DataFrame:
