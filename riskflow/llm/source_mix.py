@@ -115,7 +115,9 @@ def _copies(sent: DataFrame, max_repeats: int) -> DataFrame:
 
 
 def _finish(passes: Column) -> Column:
-    return (F.col("_sent") + passes * F.col("source_size")).cast("double") / F.col("target")
+    # A source without words has target 0; its documents are never served.
+    sent = (F.col("_sent") + passes * F.col("source_size")).cast("double")
+    return F.try_divide(sent, F.col("target"))
 
 
 def _mark(finish: Column, passes: Column) -> Column:
@@ -130,8 +132,8 @@ def _mark(finish: Column, passes: Column) -> Column:
     )
 
 
-def _last(sent: DataFrame, budget: int, intervals: int, max_repeats: int) -> DataFrame:
-    """One row: _until, the mark of the last copy that is taken (null if none is)."""
+def _last(sent: DataFrame, budget: int, intervals: int, max_repeats: int) -> Column | None:
+    """The mark of the last copy that is taken, as a constant; none if no copy is."""
     copies = _copies(sent, max_repeats).withColumn(
         "_interval", F.floor(F.col("_finish") * intervals).cast("long")
     )
@@ -149,19 +151,25 @@ def _last(sent: DataFrame, budget: int, intervals: int, max_repeats: int) -> Dat
         F.coalesce("_previous", "_interval").alias("_from"),
     )
     edge = totals.agg(
-        F.coalesce(F.min(F.when(F.col("_to") > budget, found)), F.max(found)).alias("_e")
-    ).select(F.col("_e._interval").alias("_edge"), "_e._paid", "_e._from")
+        F.coalesce(F.min(F.when(F.col("_to") > budget, found)), F.max(found)).alias("edge")
+    ).first()["edge"]
+    if edge is None:
+        return None
     order = Window.partitionBy("_interval").orderBy(_mark(F.col("_finish"), F.col("_pass")))
     inside = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        copies.join(F.broadcast(edge), F.col("_interval") <= F.col("_edge"))
-        .filter(F.col("_interval") >= F.col("_from"))
+    mark = (
+        copies.filter(F.col("_interval").between(edge["_from"], edge["_interval"]))
         .withColumn("_in", F.sum("_size").over(inside))
         .filter(
-            (F.col("_interval") < F.col("_edge")) | (F.col("_paid") + F.col("_in") <= budget)
+            (F.col("_interval") < edge["_interval"]) | (edge["_paid"] + F.col("_in") <= budget)
         )
-        .agg(F.max(_mark(F.col("_finish"), F.col("_pass"))).alias("_until"))
+        .agg(F.max(_mark(F.col("_finish"), F.col("_pass"))).alias("mark"))
+        .first()["mark"]
     )
+    if mark is None:
+        return None
+    kinds = {"f": "double", "n": "boolean", "s": "string", "k": "string", "c": "long", "p": "int"}
+    return F.struct(*[F.lit(mark[c]).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
 def _mixed(rows, small, weights, max_repeats) -> DataFrame:
@@ -180,16 +188,9 @@ def _mixed(rows, small, weights, max_repeats) -> DataFrame:
     ).join(targets(sizes, weights, max_repeats).drop("_source", "weight"), "_lane")
     last = _last(_sent(small, slices, before), facts[1], slices, max_repeats)
     finished = F.array(*[_mark(_finish(F.lit(i)), F.lit(i)) for i in range(max_repeats)])
-    return (
-        _sent(rows, slices, before)
-        .join(F.broadcast(last))
-        .withColumn(
-            "_times",
-            F.when(
-                (F.col("_size") > 0) & F.col("_until").isNotNull(),
-                F.filter(finished, lambda m: m <= F.col("_until")),
-            ).otherwise(F.filter(finished, lambda m: F.lit(False))),
-        )
+    served = F.lit(False) if last is None else F.col("_size") > 0
+    return _sent(rows, slices, before).withColumn(
+        "_times", F.filter(finished, lambda m: served if last is None else served & (m <= last))
     )
 
 
