@@ -100,7 +100,8 @@ def _planes(codes: np.ndarray) -> np.ndarray:
     padded[: len(codes)] = codes
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     lanes = bits.reshape(-1, 64, 64).transpose(2, 0, 1)
-    return np.packbits(lanes, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    packed = np.packbits(lanes, axis=2, bitorder="little")
+    return np.ascontiguousarray(packed).view(np.uint64)[:, :, 0]
 
 
 def near_pairs(codes: np.ndarray, first: np.ndarray, radius: int = RADIUS, at_once: int = 1 << 19):
