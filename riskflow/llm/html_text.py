@@ -249,8 +249,9 @@ def train(pages: DataFrame, html: str = "html", rows: int = TRAINING_PAGES) -> n
         weights = _fit(known)
         yield pa.RecordBatch.from_pydict({"weights": [weights.tolist()]})
 
-    one = chosen.repartition(1).sortWithinPartitions("_order").mapInArrow(learn, "weights array<double>")
-    return np.array(one.first()["weights"])
+    fitted = chosen.repartition(1).sortWithinPartitions("_order").mapInArrow(learn, "weights array<double>")
+    one = fitted.first()
+    return _fit([]) if one is None else np.array(one["weights"])
 
 
 def min_cut(costs: list[int], ties: list[tuple[int, int, int]]) -> list[bool]:

@@ -64,4 +64,6 @@ def fitted(
         .mapInArrow(train, "weights binary")
         .first()
     )
+    if one is None:  # nothing to learn from, and so no task
+        return fit([]).astype(np.float32)
     return np.frombuffer(bytes(one["weights"]), np.float32)
