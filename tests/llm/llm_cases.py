@@ -1,0 +1,63 @@
+"""Small tables with everything an operator must take."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, source string, lang string, n_chars long"
+DATA = "/root/testdata/sf0.01"
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def prose(seed, n, vocabulary=400):
+    choose = random.Random(seed)
+    return " ".join(f"w{choose.randrange(vocabulary)}{'.' if i % 9 == 8 else ''}" for i in range(n))
+
+
+def odd_documents():
+    """Nulls in every column, empty and long texts, copies, ties, repeated rows."""
+    shared, long = prose(1, 60), prose(2, 12_000, 50_000)
+    texts = {
+        0: shared,
+        1: shared,
+        2: prose(3, 40) + " " + shared + " " + prose(4, 40),
+        3: shared + " tail",
+        4: None,
+        5: "",
+        6: " \t\n ",
+        7: "one",
+        8: "Ünïcode wörter mit 中文 und 😀 " * 12,
+        9: long,
+        10: long[:40_000] + " changed " + long[40_000:],
+        11: "same " * 300,
+        12: prose(5, 120),
+        13: prose(5, 120).upper(),
+        14: "a" * 5000,
+        15: prose(6, 13),
+    }
+    rows = [(i, t, f"src{i % 3}", "en", len(t or "")) for i, t in texts.items()]
+    rows += [(16, shared, None, None, None), (None, prose(7, 80), "src0", "en", None)]
+    rows += [(20, prose(8, 50), "src1", "en", 1)] * 2
+    rows += [(21, prose(9, 50), "src1", "en", 1), (21, prose(9, 50) + " more", "src2", "en", 1)]
+    return rows
+
+
+def documents(spark, rows=None):
+    return spark.createDataFrame(odd_documents() if rows is None else rows, DOCS).repartition(3)
+
+
+def clashing(docs, *names):
+    """The documents with more columns, named like those that an operator makes."""
+    from pyspark.sql import functions as F
+
+    return docs.withColumns({name: F.lit("mine") for name in names})
+
+
+def remainder(doc_id, m):
+    return zlib.crc32(str(doc_id).encode()) % m

@@ -1,0 +1,108 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from riskflow.llm import html_text, queries
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
+<header><a href="/">Home of things</a></header>
+<nav><ul><li><a href="/a">One</a><li><a href="/b">Two</a></ul></nav>
+<div class="cookie-notice">We use cookies, accept them.</div>
+<article><header><h1>A title &amp; more</h1></header>
+<p>First  paragraph,<br>with <b>bold</b>ness &eacute;&#233;.
+<p>Short.</p><script>var x = "</p><p>not text";</script>
+<form><p>Your name</p><input><button>Send</button></form>
+<table><tr><td>cell one<td>cell two</table>
+<section id="comments"><p>A reader says this is a long comment, with commas.</p></section>
+</article><aside><p>Related things to read, all of them.</p></aside>
+<div hidden><p>Hidden words here.</p></div>
+<footer>&copy; 2024 All rights</footer></body></html>"""
+TEXT = ["A title & more", "First paragraph, with boldness éé.", "Short.", "cell one", "cell two"]
+WEIGHTS = [0.0] * 9
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_one_page():
+    assert html_text.main_text(PAGE, WEIGHTS).split("\n\n") == TEXT
+
+
+@pytest.mark.parametrize("html", [None, "", "<", "</", "<!--", "<p", "<nav><a>x</a></nav>", "<script>x"])
+def test_nothing_to_extract(html):
+    assert html_text.main_text(html, WEIGHTS) == ""
+
+
+def test_unfinished_pages():
+    assert html_text.main_text("<article><p>Some text &am", WEIGHTS) == "Some text &am"
+    assert html_text.main_text("<article><p>Some text</p><p cla", WEIGHTS) == "Some text"
+    assert html_text.main_text("<article><p>2 < 3 and more", WEIGHTS) == "2 < 3 and more"
+    deep = "<div>" * 3000 + "<article><p>deep</p>"
+    assert html_text.main_text(deep, WEIGHTS) == "deep"
+
+
+def test_cut_is_minimal():
+    choose = random.Random(2)
+    for _ in range(300):
+        n = choose.randint(0, 8)
+        costs = [choose.randint(-9, 9) for _ in range(n)]
+        ties = [
+            (i, j, choose.randint(0, 6)) for i in range(n) for j in range(i) if choose.random() < 0.4
+        ]
+
+        def price(sides, costs=costs, ties=ties):
+            own = sum(max(c, 0) if not s else max(-c, 0) for c, s in zip(costs, sides, strict=True))
+            return own + sum(c for i, j, c in ties if sides[i] != sides[j])
+
+        best = min(price(s) for s in itertools.product([False, True], repeat=n))
+        assert price(html_text.min_cut(costs, ties)) == best
+
+
+def test_long_page():
+    page = "<nav>" + "<li><a href=x>menu</a>" * 2000 + "</nav><article>" + "<p>Words, and words." * 4000
+    assert html_text.main_text(page, WEIGHTS).count("Words") == 4000
+
+
+def test_a_paragraph_without_markup_follows_its_neighbours():
+    """Blocks of which the markup says nothing are drawn to what stands next to them."""
+    weights = [-1.0] + [0.0] * 8
+    page = "<div><p>one</p></div>" + "<main><p>a</p><p>b</p></main>"
+    assert html_text.main_text(page, weights) == "a\n\nb"
+
+
+def test_training_separates_menus_from_prose(spark):
+    menu = "<nav>" + "".join(f"<li><a>item {i}</a>" for i in range(9)) + "</nav>"
+    rows = [
+        (i, "u", f"{menu}<article>" + "<p>A sentence of some words, and more of them.</p>" * 6)
+        for i in range(40)
+    ]
+    weights = html_text.train(pages(spark, rows))
+    bare = "<div><a>item</a></div>" * 6 + "<div>A sentence of some words, and one more of them.</div>" * 6
+    assert html_text.main_text(bare, weights.tolist()).count("sentence") == 6
+    assert "item" not in html_text.main_text(bare, weights.tolist())
+    again = html_text.train(pages(spark, rows).repartition(5))
+    assert np.array_equal(weights, again)
+
+
+def test_columns_nulls_repeats_and_empty_tables(spark):
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")]
+    found = html_text.extracted(pages(spark, rows).selectExpr("*", "'x' AS text", "1 AS _more"), WEIGHTS)
+    assert found.columns == ["page_id", "url", "html", "_more", "text"]
+    texts = sorted((str(r["page_id"]), r["text"]) for r in found.collect())
+    whole = "\n\n".join(TEXT)
+    assert texts == [("1", whole), ("1", whole), ("2", ""), ("None", "")]
+    nothing = pages(spark, [])
+    assert html_text.extracted(nothing, html_text.train(nothing)).collect() == []
+
+
+def test_query_on_the_table(spark):
+    rows = queries.QUERIES["op4_html_text"](spark, "/root/testdata/sf0.01").collect()
+    source = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    assert len(rows) == len(source)
+    for r in rows:
+        inside = source[r["page_id"]].split("<article>")[-1].split("</article>")[0]
+        article = html_text.main_text(f"<article>{inside}", WEIGHTS)
+        assert r["text"] == article and r["n_chars"] == len(article)

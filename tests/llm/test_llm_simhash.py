@@ -1,0 +1,121 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from llm_cases import DATA, clashing, documents, odd_documents, words
+from pyspark.sql import functions as F
+
+from riskflow.llm import components, simhash
+
+
+def fingerprint(text):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def expected(rows):
+    codes = [fingerprint(r[1]) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (codes[i] ^ codes[j]).bit_count() <= 3 and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for x, row in zip(label, rows, strict=True):
+        if row[0] is not None:
+            least[x] = min(least.get(x, row[0]), row[0])
+    return sorted(
+        ((r[0], f"{c:016x}", least.get(x)) for r, c, x in zip(rows, codes, label, strict=True)), key=str
+    )
+
+
+def test_components_equal_brute_force(spark):
+    got = simhash.components(clashing(documents(spark), "fingerprint", "code", "mark")).collect()
+    assert sorted(map(tuple, got), key=str) == expected(odd_documents())
+
+
+def test_components_of_a_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 300")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(map(tuple, simhash.components(docs).collect()), key=str) == expected(rows)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_bit_slices_find_all_near_pairs(radius):
+    choose = np.random.default_rng(radius)
+    codes = []
+    for base in choose.integers(0, 2**63, 40):
+        for _ in range(8):
+            code = int(base)
+            for bit in choose.integers(0, 64, choose.integers(0, 6)):
+                code ^= 1 << int(bit)
+            codes.append(code)
+    codes = np.array(codes, np.uint64)
+    first = np.repeat([0, 130, 131, 300], [130, 1, 169, 20])
+    got = set()
+    for i, j in simhash.near_pairs(codes, first, radius, at_once=40):
+        pairs = set(zip(i.tolist(), j.tolist(), strict=True))
+        assert not pairs & got
+        got |= pairs
+    assert got == {
+        (i, j)
+        for i in range(len(codes))
+        for j in range(first[i], i)
+        if (int(codes[i]) ^ int(codes[j])).bit_count() <= radius
+    }
+
+
+def test_every_near_link_lies_in_some_bucket(spark):
+    choose = random.Random(4)
+    codes = set()
+    for _ in range(60):
+        code = choose.getrandbits(64)
+        codes.add(code)
+        for _ in range(3):
+            codes.add(code ^ sum(1 << b for b in choose.sample(range(64), choose.randrange(4))))
+    codes = sorted(codes)
+    rows = [(c - 2**64 if c >= 2**63 else c,) for c in codes]
+    links = simhash.links(spark.createDataFrame(rows, "code long")).collect()
+
+    def classes(pairs):
+        label = {c: c for c in codes}
+        for a, b in pairs:
+            x, y = label[a], label[b]
+            if x != y:
+                label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+        return label
+
+    near = [(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 3]
+    assert classes([(r["u"] % 2**64, r["v"] % 2**64) for r in links]) == classes(near)
+
+
+def test_roots_follow_long_paths(spark):
+    order = list(range(60))
+    random.Random(1).shuffle(order)
+    path = [(order[i], order[i + 1]) for i in range(59)] + [(100, 101), (102, 101), (7, 7), (101, 100)]
+    got = components.roots(spark.createDataFrame(path, "u long, v long")).collect()
+    assert {r["u"]: r["v"] for r in got} == {i: 0 for i in range(1, 60)} | {101: 100, 102: 100}
+
+
+def test_drop_near_keeps_one_of_each_component(spark):
+    docs = clashing(documents(spark), "fingerprint", "component_id", "mark", "_i", "_row")
+    kept = simhash.drop_near(docs)
+    assert kept.columns == docs.columns
+    known = expected(odd_documents())
+    assert kept.count() == len({(c if c is not None else f) for _, f, c in known})
+    assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in known}
+
+
+def test_empty_table(spark):
+    assert simhash.components(documents(spark, [])).collect() == []
+    assert simhash.drop_near(documents(spark, [])).collect() == []
+
+
+def test_native_hash_is_the_contract_hash(spark):
+    row = spark.range(1).select(F.xxhash64(F.lit("a b c")).alias("h")).first()
+    assert row["h"] % 2**64 == xxhash.xxh64_intdigest(b"a b c", 42)
