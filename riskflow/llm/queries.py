@@ -99,4 +99,9 @@ QUERIES = {
     )
 }
 
-SQL = {"op6_source_mix": source_mix.QUERY_SQL, "op8_exact_dedup": exact_dedup.QUERY_SQL}
+#: The others are tested against plain Python, a public library or held-out labels.
+SQL = {
+    "op3_window_dedup": window_dedup.QUERY_SQL,
+    "op6_source_mix": source_mix.QUERY_SQL,
+    "op8_exact_dedup": exact_dedup.QUERY_SQL,
+}

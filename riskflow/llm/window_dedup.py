@@ -105,3 +105,28 @@ def digests(docs: DataFrame) -> DataFrame:
     return cleaned(docs).select(
         "doc_id", "n_words", length.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+QUERY_SQL = """
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(words) - 11),
+      lambda i: md5_number(array_to_string(words[i:i + 12], ' ')))) AS content,
+    unnest(range(1, len(words) - 11)) AS place
+  FROM split WHERE len(words) >= 13
+), gone AS (
+  SELECT DISTINCT doc_id, place + step AS place
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY content) AS first_doc FROM windows), range(13) AS steps(step)
+  WHERE first_doc < doc_id
+), single AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split
+), kept AS (
+  SELECT w.doc_id, count(g.place) AS n_removed,
+    string_agg(word, ' ' ORDER BY w.place) FILTER (g.place IS NULL) AS text
+  FROM single w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.place = g.place GROUP BY w.doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
