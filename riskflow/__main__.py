@@ -80,7 +80,12 @@ def _daily(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _publish(spark: SparkSession, args: argparse.Namespace) -> None:
-    sinks.copy_scored(spark, args.sink, args.scored, by_day=args.by_day)
+    if args.checkpoint is None:
+        sinks.copy_scored(spark, args.sink, args.scored, by_day=args.by_day)
+    else:
+        streaming.publish_scored(
+            spark, args.sink, args.scored, args.checkpoint, args.by_day
+        ).awaitTermination()
 
 
 def _setup(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -148,6 +153,7 @@ def build_parser() -> argparse.ArgumentParser:
     publish = jobs.add_parser("publish", help="copy a scored sink to a table folder")
     publish.add_argument("--sink", required=True)
     publish.add_argument("--scored", required=True)
+    publish.add_argument("--checkpoint", help="add only what is new since the last run with it")
     publish.add_argument("--by-day", action="store_true", help="a folder per day below the tier")
     publish.set_defaults(run=_publish)
 

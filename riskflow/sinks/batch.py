@@ -33,6 +33,7 @@ def write_scored(
     mode: str = "overwrite",
     max_records_per_file: int = 0,
     by_day: bool = False,
+    compact: bool = False,
 ) -> None:
     """Scored transactions, one folder per tier.
 
@@ -40,12 +41,14 @@ def write_scored(
     on the tier, because one tier holds most of the rows. With ``by_day`` there is a
     folder per UTC day below the tier, and rows are gathered by both before, so
     that a day does not get a file from every task; adaptive execution splits large
-    days.
+    days. ``compact`` gathers rows by tier alone, too, into few files.
     """
     rows, folders = scored.select(*scored_columns()), ["Risk_Action"]
     if by_day:
         folders.append(S.DAY)
-        rows = rows.withColumn(S.DAY, F.to_date("event_ts")).hint("rebalance", *folders)
+        rows = rows.withColumn(S.DAY, F.to_date("event_ts"))
+    if by_day or compact:
+        rows = rows.hint("rebalance", *folders)
     (
         rows.write.mode(mode)
         .option("maxRecordsPerFile", max_records_per_file)

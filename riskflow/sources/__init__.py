@@ -16,7 +16,13 @@ from riskflow.sources.envelopes import (
     read_kafka,
 )
 from riskflow.sources.history import read_history_csv
-from riskflow.sources.scored import read_daily, read_scored, read_stored_stream, read_table
+from riskflow.sources.scored import (
+    read_daily,
+    read_scored,
+    read_sink_stream,
+    read_stored_stream,
+    read_table,
+)
 
 __all__ = [
     "create_overview",
@@ -30,6 +36,7 @@ __all__ = [
     "read_history_csv",
     "read_kafka",
     "read_scored",
+    "read_sink_stream",
     "read_stored_stream",
     "read_table",
     "register_partitioned",

@@ -48,6 +48,14 @@ def read_stored_stream(
     return reader.parquet(path)
 
 
+def read_sink_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The scored rows of a scored sink as a stream, with or without rejected messages beside."""
+    if any(name.startswith(f"{S.OUTCOME}=") for name in child_names(spark, path)):
+        stored = read_stored_stream(spark, path).filter(F.col(S.OUTCOME) == S.IS_SCORED)
+        return stored.select(*S.SCORED.names)
+    return spark.readStream.schema(S.SCORED).option("maxFileAge", ANY_AGE).parquet(path)
+
+
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.DAILY).parquet(path)
 

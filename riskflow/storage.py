@@ -67,3 +67,27 @@ def make_older(spark: SparkSession, path: str, by_ms: int) -> None:
     fs, hadoop_path = _file_system(spark, path)
     now = fs.getFileStatus(hadoop_path).getModificationTime()
     fs.setTimes(hadoop_path, now - by_ms, -1)
+
+
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """Paths of visible files, relative to ``path``, folders included."""
+    found = []
+    for name in child_names(spark, path):
+        if name[0] in "_.":
+            continue
+        fs, hadoop_path = _file_system(spark, f"{path}/{name}")
+        if fs.getFileStatus(hadoop_path).isDirectory():
+            found += [f"{name}/{file}" for file in files_below(spark, f"{path}/{name}")]
+        else:
+            found.append(name)
+    return found
+
+
+def move_file(spark: SparkSession, source: str, target: str) -> None:
+    """Move a file, replacing one that is there; its folder is made if need be."""
+    fs, source_path = _file_system(spark, source)
+    _, target_path = _file_system(spark, target)
+    fs.mkdirs(target_path.getParent())
+    fs.delete(target_path, False)
+    if not fs.rename(source_path, target_path):
+        raise OSError(f"{source} could not be moved to {target}")

@@ -12,6 +12,7 @@ from riskflow.streaming.guards import StaleCheckpointError, guard_sink
 from riskflow.streaming.sinks import (
     EVERY_INTERVAL,
     RUN_TO_COMPLETION,
+    publish_scored,
     store_alerts,
     write_alerts_stream,
     write_parquet_stream,
@@ -28,6 +29,7 @@ __all__ = [
     "await_any",
     "await_each",
     "guard_sink",
+    "publish_scored",
     "start_all",
     "start_followers",
     "start_scoring",

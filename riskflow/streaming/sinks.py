@@ -14,6 +14,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from riskflow import schema as S
 from riskflow.operators.scored import alert_cells, scored_columns
+from riskflow.sinks.batch import write_scored
+from riskflow.sources.scored import read_sink_stream
+from riskflow.storage import files_below, move_file, remove_folder
 from riskflow.streaming.guards import BATCH_FOLDERS, FILE_SINK_LOG, claim_sink, guard_sink
 
 EVERY_INTERVAL = {"processingTime": S.TRIGGER_INTERVAL}
@@ -115,3 +118,34 @@ def store_alerts(
         .trigger(**(trigger or EVERY_INTERVAL))
         .start()
     )
+
+
+def publish_scored(
+    spark: SparkSession, sink: str, table: str, checkpoint: str, by_day: bool = False
+) -> StreamingQuery:
+    """Add to a table folder what the scored sink has committed since the last time.
+
+    The sink's commit log is followed as a stream, so no row is moved twice. A run
+    gathers the new rows into few files per folder, beside the checkpoint, and moves
+    them under names made of the batch and the file's number: a run that failed on the
+    way and is repeated replaces what it had moved. Only the new files are touched.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        staging = f"{checkpoint}-staging"
+        write_scored(batch, staging, by_day=by_day, compact=True)
+        numbers: dict[str, int] = {}
+        for file in sorted(files_below(spark, staging)):
+            folder = file.rpartition("/")[0]
+            numbers[folder] = numbers.get(folder, -1) + 1
+            name = f"batch-{batch_id:06d}-{numbers[folder]:05d}.parquet"
+            move_file(spark, f"{staging}/{file}", f"{table}/{folder}/{name}")
+        remove_folder(spark, staging)
+
+    stored = read_sink_stream(spark, sink)
+    return (
+        stored.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**RUN_TO_COMPLETION)
+        .start()
+    )

@@ -22,6 +22,7 @@ from riskflow.sources import (
     register_sink,
     repair_partitions,
 )
+from riskflow.storage import files_below
 from riskflow.streaming.fanout import decode_messages
 
 
@@ -117,6 +118,35 @@ def test_a_streaming_sink_is_copied_before_it_becomes_a_table(spark, name, folde
     assert spark.table(name).count() == 30
 
 
+@pytest.mark.parametrize("by_day", [False, True])
+def test_publishing_again_moves_only_what_is_new(spark, name, folder, by_day):
+    def publish():
+        st.publish_scored(
+            spark, folder("sink"), folder("table"), folder("published"), by_day
+        ).awaitTermination()
+        return set(files_below(spark, folder("table")))
+
+    _stream_more(spark, folder)
+    first = publish()
+    assert publish() == first
+    _stream_more(spark, folder, 12)
+    times = {f: Path(folder("table"), f).stat().st_mtime_ns for f in first}
+    second = publish()
+    assert first < second and all(f.rpartition("/")[2].startswith("batch-000001") for f in second - first)
+    assert times == {f: Path(folder("table"), f).stat().st_mtime_ns for f in first}
+    assert read_scored(spark, folder("table")).count() == 42
+
+    # A run that moved its files and then failed to say so is repeated.
+    for file in ("1", ".1.crc"):
+        Path(folder("published"), "commits", file).unlink()
+    assert publish() == second
+    assert read_scored(spark, folder("table")).count() == 42
+    if not by_day:
+        register_partitioned(spark, name, S.SCORED, "Risk_Action", folder("table"))
+        repair_partitions(spark, name)
+        assert spark.table(name).count() == 42
+
+
 def test_a_view_over_a_streaming_sink_is_always_current(spark, name, folder):
     _stream_more(spark, folder)
     register_sink(spark, name, S.SCORED, folder("sink"))
