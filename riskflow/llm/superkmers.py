@@ -12,8 +12,9 @@ dealt, and compared by their bytes. In both rounds a map task settles what it ca
 itself: of a minimiser that repeats inside the task it sends one occurrence, and of equal
 strings only those that no earlier one in the task settles, so what reaches a bucket
 of a hot passage is bounded by the number of tasks. Minimisers that a sample of the
-documents shows to be very frequent are split: their windows are dealt one by one, by a
-hash of the whole window. The sample decides only how windows travel, never a result.
+documents shows in very many different strings are split: their windows are dealt one
+by one, by a hash of the whole window. The sample decides only how windows travel,
+never a result.
 
 What is sent is packed into one compressed blob per task and bucket. A bucket is
 small whatever the data: their number follows the bytes of text.
@@ -38,7 +39,8 @@ from riskflow.llm.common import NULL_ID, tasks, text_of, workers_can_import
 GATHERED = 16 << 20
 #: Bytes of text per bucket.
 PER_BUCKET = 2 << 20
-#: Documents looked at for frequent minimisers, and the share of them that makes one.
+#: Documents looked at for frequent minimisers, and the different strings per document
+#: that make one.
 SAMPLED = 2048
 FREQUENT = 0.02
 
@@ -192,6 +194,20 @@ def _longs(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names.split())
 
 
+def _merged(doc_id, tag, first, length) -> list[np.ndarray]:
+    """Spans of the same document that touch or overlap, as one."""
+    order = np.lexsort((first, tag, doc_id))
+    doc_id, tag, first, length = (np.asarray(c)[order].astype(np.int64) for c in (doc_id, tag, first, length))
+    other = np.concatenate(([True], (doc_id[1:] != doc_id[:-1]) | (tag[1:] != tag[:-1])))
+    # Ends so far; a new document begins above all ends of the one before.
+    shift = np.cumsum(other) << 40
+    end = np.maximum.accumulate(first + length + shift)
+    new = other.copy()
+    new[1:] |= first[1:] + shift[1:] > end[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
+    return [doc_id[new], tag[new], first[new], (end - shift)[last] - first[new]]
+
+
 class _Outbox:
     """Rows of (bucket, kind, blob), some at a time."""
 
@@ -288,7 +304,7 @@ def _place_sender(read: Callable, window: int, gram: int, buckets: int, hot: np.
         if several.any():
             columns = zip((doc_id, tag, place), _PLACES, strict=True)
             blob = _blob(*(c[several].astype(t) for c, t in columns))
-            box.put(key[several][0] % _U(buckets), 1, blob)
+            box.put(np.bitwise_xor.reduce(key) % _U(buckets), 1, blob)
         rest = _rest(key, buckets)
         for b, mine in _by_bucket(key, np.flatnonzero(one), buckets):
             columns = zip((doc_id, tag, place, rest), _SEEN, strict=True)
@@ -366,9 +382,9 @@ def _sender(read: Callable, window: int, settled: Settled, buckets: int):
         done[some] = settled(cls, doc_id[some], tag[some], start[some])
         box = _Outbox()
         if done.any():
-            span = (doc_id, tag, start, windows + window - 1)
-            blob = _blob(*(c[done].astype(t) for c, t in zip(span, _SPAN, strict=True)))
-            box.put(content[done][0] % _U(buckets), 1, blob)
+            span = _merged(*(c[done] for c in (doc_id, tag, start, windows + window - 1)))
+            blob = _blob(*(c.astype(t) for c, t in zip(span, _SPAN, strict=True)))
+            box.put(np.bitwise_xor.reduce(content) % _U(buckets), 1, blob)
         flat, rest = np.frombuffer(whole, np.uint8), _rest(key, buckets)
         for b, mine in _by_bucket(key, np.flatnonzero(~done), buckets):
             n = size[mine]
@@ -404,7 +420,8 @@ def _receiver(compare: Callable, window: int, settled: Settled):
         cls = classes(text, begin, size)
         done = settled(cls, doc_id, tag, start)
         if done.any():
-            yield spans([doc_id[done], tag[done], start[done], windows[done] + window - 1])
+            span = (doc_id, tag, start, windows + window - 1)
+            yield spans(_merged(*(c[done] for c in span)))
         # What is left: minimisers whose strings differ.
         rest = np.flatnonzero(~done)
         rest = rest[np.argsort(key[rest], kind="stable")]
@@ -422,15 +439,10 @@ def _receiver(compare: Callable, window: int, settled: Settled):
         # (run, window in it, class of the window): equal classes are equal windows.
         run, at, window_class = compare(runs, window)
         hit = settled(window_class, runs.doc_id[run], runs.tag[run], runs.start[run] + at)
-        place = np.unique(run[hit] * 256 + at[hit])
-        if not len(place):
-            return
-        # Neighbouring windows of one run are one span.
-        new = np.concatenate(([True], np.diff(place) != 1))
-        first, run = place[new] % 256, place[new] // 256
-        last = place[np.append(np.flatnonzero(new)[1:], len(place)) - 1] % 256
-        start = runs.start[run] + first
-        yield spans([runs.doc_id[run], runs.tag[run], start, last - first + window])
+        if hit.any():
+            run, at = run[hit], at[hit]
+            span = (runs.doc_id[run], runs.tag[run], runs.start[run] + at, np.full(len(run), window))
+            yield spans(_merged(*span))
 
     def run(batches):
         yield from _buckets(batches, {0: _RUN, 1: _SPAN}, spans, settle)
@@ -439,11 +451,11 @@ def _receiver(compare: Callable, window: int, settled: Settled):
 
 
 def _frequent(rows: DataFrame, read: Callable, window: int, gram: int, count: int) -> np.ndarray:
-    """Hashes of the minimisers that at least ``FREQUENT`` of a sample's documents have.
+    """Hashes of the minimisers that stand in many different strings of a sample.
 
-    A document has no more minimisers than units, and each frequent one uses up
-    FREQUENT * SAMPLED documents, so the result is bounded by the mean number in a
-    document divided by FREQUENT.
+    Each takes at least ``FREQUENT`` strings per sampled document, so there are no more
+    of them than a document has super-k-mers on average, divided by FREQUENT. Copies
+    of a string count once: the map tasks join them anyway.
     """
     chosen = rows
     if count > SAMPLED:
@@ -452,13 +464,16 @@ def _frequent(rows: DataFrame, read: Callable, window: int, gram: int, count: in
     def keys(batches):
         for piece, raw, offsets in A.pieces(batches, "text"):
             units = read(raw, offsets)
-            first, _, offset = find(units, window, gram)
+            first, windows, offset = find(units, window, gram)
             key = units.grams[first + offset]
-            pairs = np.unique(np.stack((units.doc[first].astype(_U), key)), axis=1)
-            yield pa.RecordBatch.from_pydict({"key": pairs[1].view(np.int64)})
+            left, right = units.left[first], units.right[first + windows + window - 2]
+            content = A.Hasher(units.flat).spans(left, right)
+            pairs = np.unique(np.stack((key, content)), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"key": pairs[0], "content": pairs[1]})
 
     least = max(8, int(FREQUENT * min(count, SAMPLED)))
-    found = chosen.mapInArrow(keys, "key long").groupBy("key").count().filter(F.col("count") >= least)
+    strings = chosen.mapInArrow(keys, "key long, content long").distinct()
+    found = strings.groupBy("key").count().filter(F.col("count") >= least)
     return np.array([r["key"] for r in found.select("key").collect()], np.int64).view(_U)
 
 
