@@ -37,6 +37,9 @@ from riskflow.llm.common import text_of, workers_can_import
 #: Words a worker remembers, and the longest one worth it, in characters.
 REMEMBERED = 400_000
 LONGEST = 48
+#: Bits of a token's rank in a pair; what stands for a token that was merged away.
+_SHIFT = 24
+_GONE = -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,94 +48,117 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in lines}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]:
+def merge_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The rank that two tokens merge to, by their ranks: left shifted, or'ed with right."""
+    return {
+        ranks[token[:cut]] << _SHIFT | ranks[token[cut:]]: rank
+        for token, rank in ranks.items()
+        for cut in range(1, len(token))
+        if token[:cut] in ranks and token[cut:] in ranks
+    }
+
+
+def replay(
+    words: list[bytes], ranks: dict[bytes, int], merges: dict[int, int]
+) -> list[tuple[int, ...]]:
     """The tokens of every word."""
-    tokens: list[bytes | None] = []
+    single = [ranks.get(bytes([b])) for b in range(256)]
+    tokens: list[int] = []
     after: list[int] = []
     before: list[int] = []
     first = []
     places: dict[int, list[int]] = {}
+    get = merges.get
     for word in words:
-        begin, n = len(tokens), len(word)
+        begin = len(tokens)
         first.append(begin)
-        if word in ranks:
-            tokens.append(word)
-            after.append(-1)
-            before.append(-1)
-            continue
-        for i in range(n):
-            tokens.append(word[i : i + 1])
-            after.append(begin + i + 1 if i + 1 < n else -1)
-            before.append(begin + i - 1 if i else -1)
-            rank = ranks.get(word[i : i + 2]) if i + 1 < n else None
+        own = ranks.get(word)
+        letters = [single[b] for b in word] if own is None else [own]
+        end = begin + len(letters)
+        tokens += letters
+        after += range(begin + 1, end)
+        after.append(-1)
+        before.append(-1)
+        before += range(begin, end - 1)
+        at = begin
+        left = letters[0]
+        for right in letters[1:]:
+            rank = get(left << _SHIFT | right)
             if rank is not None:
-                places.setdefault(rank, []).append(begin + i)
+                if rank in places:
+                    places[rank].append(at)
+                else:
+                    places[rank] = [at]
+            left = right
+            at += 1
 
     queue = list(places)
     heapq.heapify(queue)
-    get = ranks.get
+    push, pop = heapq.heappush, heapq.heappop
     while queue:
-        rank = heapq.heappop(queue)
+        rank = pop(queue)
         found = places.pop(rank, None)
         if found is None:
             continue
         found.sort()
         for done, at in enumerate(found):
             right = after[at]
-            if tokens[at] is None or right < 0:
-                continue
-            merged = tokens[at] + tokens[right]
-            if get(merged) != rank:
+            # Gone, or changed since it was noted.
+            if right < 0 or get(tokens[at] << _SHIFT | tokens[right]) != rank:
                 continue
-            tokens[at], tokens[right] = merged, None
             following, previous = after[right], before[at]
+            tokens[at] = rank
+            tokens[right] = after[right] = _GONE
             after[at] = following
             lowest = rank
             if following >= 0:
                 before[following] = at
-                new = get(merged + tokens[following])
+                new = get(rank << _SHIFT | tokens[following])
                 if new is not None:
-                    if new not in places:
-                        places[new] = []
-                        heapq.heappush(queue, new)
-                    places[new].append(at)
-                    lowest = min(lowest, new)
+                    if new in places:
+                        places[new].append(at)
+                    else:
+                        places[new] = [at]
+                        push(queue, new)
+                    if new < lowest:
+                        lowest = new
             if previous >= 0:
-                new = get(tokens[previous] + merged)
+                new = get(tokens[previous] << _SHIFT | rank)
                 if new is not None:
-                    if new not in places:
-                        places[new] = []
-                        heapq.heappush(queue, new)
-                    places[new].append(previous)
-                    lowest = min(lowest, new)
+                    if new in places:
+                        places[new].append(previous)
+                    else:
+                        places[new] = [previous]
+                        push(queue, new)
+                    if new < lowest:
+                        lowest = new
             if lowest < rank:
                 # An earlier merge became possible: it goes before the rest of this one.
                 places.setdefault(rank, []).extend(found[done + 1 :])
-                heapq.heappush(queue, rank)
+                push(queue, rank)
                 break
 
-    result = []
-    for begin in first:
-        at, ids = begin, []
-        while at >= 0:
-            ids.append(ranks[tokens[at]])
-            at = after[at]
-        result.append(tuple(ids))
-    return result
+    # What is left of a word is between its first place and the next word's.
+    left = list(chain(first, [len(tokens)]))
+    return [
+        tuple([t for t in tokens[a:b] if t >= 0]) for a, b in zip(left[:-1], left[1:], strict=True)
+    ]
 
 
-#: Per worker process: the tokens of words, by vocabulary.
-_known: dict[str, dict[str, tuple[int, ...]]] = {}
+#: Per worker process, by vocabulary: the merges, and the tokens of words.
+_known: dict[str, tuple[dict[int, int], dict[str, tuple[int, ...]]]] = {}
 
 
 def _lists(texts: list[str], pattern, ranks: dict[bytes, int], key: str) -> pa.Array:
     """The token ids of every text."""
-    known = _known.setdefault(key, {})
+    if key not in _known:
+        _known[key] = merge_table(ranks), {}
+    merges, known = _known[key]
     if len(known) > REMEMBERED:
         known.clear()
     split = [pattern.findall(text) for text in texts]
     new = [word for word in set(chain.from_iterable(split)) if word not in known]
-    known.update(zip(new, replay([word.encode() for word in new], ranks), strict=True))
+    known.update(zip(new, replay([word.encode() for word in new], ranks, merges), strict=True))
     flat, ends = [], [0]
     for parts in split:
         flat.append(np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), np.int32))
