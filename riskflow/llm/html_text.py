@@ -1,12 +1,13 @@
 """HTML extraction by minimum-cut labelling: the article's blocks against the rest.
 
-A page is read into blocks of text. A logistic classifier of what a block looks like,
-fitted on blocks whose markup names what they are (at most ``TRAINING_PAGES`` pages),
-and what the markup around the block says, give its log odds of being content; they
-become its capacity from the source or to the sink. Blocks next to each other, and
-neighbours under one parent, are tied by edges that are stronger the nearer they stand
-in the document tree. The minimum cut separates content from boilerplate, so a short
-line inside the article stays with it, and one odd paragraph in a menu does not.
+A page is read into blocks of text. A logistic classifier gives each its log odds of
+being content; they become its capacity from the source or to the sink. It sees what a
+block looks like and how many elements around it are named as content or as other. It is
+fitted on blocks whose markup names what they are (at most ``TRAINING_PAGES`` pages), each
+once with its markup and once without, so it learns what the looks say alone. Blocks next
+to each other, and neighbours under one parent, are tied by edges that are stronger the
+nearer they stand in the document tree. The minimum cut separates content from boilerplate,
+so a short line inside the article stays with it, and one odd paragraph in a menu does not.
 
 Scripts, styles, forms, hidden elements and the head are never blocks. Character
 references are decoded, white space inside a block becomes one space, a line break
@@ -35,8 +36,11 @@ from riskflow.llm.common import workers_can_import
 TRAINING_PAGES = 1000
 #: Strength of the ties between neighbours in text, and under one parent.
 NEXT, SIBLING = 1.0, 1.0
-#: Log odds that the markup around a block adds, per element, and their limits.
-FOR, AGAINST, MOST, LEAST = 3.0, -5.0, 4.0, -10.0
+#: Log odds per element of the markup around a block: they label the blocks to learn from,
+#: and stand for learnt ones where weights are those of the looks alone.
+FOR, AGAINST = 3.0, -5.0
+#: Elements around a block that count, of either kind.
+COUNTED = 2
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 DROPPED = frozenset(
@@ -77,7 +81,7 @@ _HEAD = frozenset("base link meta noscript script style template title".split())
 
 
 class _Element:
-    __slots__ = ("tag", "depth", "parent", "odds", "dropped", "content")
+    __slots__ = ("tag", "depth", "parent", "named", "other", "dropped", "content")
 
     def __init__(self, tag, parent, attrs=()):
         self.tag, self.parent = tag, parent
@@ -87,6 +91,7 @@ class _Element:
         sign = (tag in CONTENT_TAGS) - (tag in OTHER_TAGS)
         if tag == "header" and not (parent and parent.content):
             sign = -1
+        names = set()
         for name, value in attrs:
             value = (value or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -95,14 +100,17 @@ class _Element:
                 self.dropped = True
             elif name == "role":
                 sign = sign or (value in CONTENT_ROLES) - (value in OTHER_ROLES)
-            elif name in ("class", "id") and sign >= 0 and tag not in ("html", "body"):
-                names = set(_NAME.findall(value))
-                if names & OTHER_NAMES:
-                    sign = -1
-                elif names & CONTENT_NAMES:
-                    sign = 1
-        own = FOR if sign > 0 else AGAINST if sign < 0 else 0.0
-        self.odds = (parent.odds if parent else 0.0) + own
+            elif name in ("class", "id") and tag not in ("html", "body"):
+                names.update(_NAME.findall(value))
+        if sign >= 0:
+            # Names of both kinds, as in "content has-sidebar", say nothing.
+            said = bool(names & CONTENT_NAMES) - bool(names & OTHER_NAMES)
+            sign = said or sign
+        self.named = (parent.named if parent else 0) + (sign > 0)
+        self.other = (parent.other if parent else 0) + (sign < 0)
+
+    def odds(self) -> float:
+        return FOR * self.named + AGAINST * self.other
 
 
 class _Blocks(HTMLParser):
@@ -193,7 +201,7 @@ def blocks(html: str) -> list[tuple[str, int, _Element]]:
 
 
 def _looks(text: str, linked: int, element: _Element) -> list[float]:
-    """What the classifier sees of a block: its text, not what the markup calls it."""
+    """What a block looks like: its text, not what the markup around it is called."""
     words = text.count(" ") + 1
     stops = sum(map(text.count, ".!?"))
     return [
@@ -209,9 +217,15 @@ def _looks(text: str, linked: int, element: _Element) -> list[float]:
     ]
 
 
+def _markup(element: _Element) -> list[float]:
+    """How many elements around a block are named as content, and as other."""
+    return [float(min(COUNTED, element.named)), float(min(COUNTED, element.other))]
+
+
 def _fit(rows: list[tuple[list[float], int]]) -> np.ndarray:
     """Logistic weights by Newton steps with a ridge; zeros without both kinds of blocks."""
-    size = len(_looks("a", 0, _Element("", None)))
+    nothing = _Element("", None)
+    size = len(_looks("a", 0, nothing) + _markup(nothing))
     if len({label for _, label in rows}) < 2:
         return np.zeros(size)
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
@@ -245,7 +259,11 @@ def train(pages: DataFrame, html: str = "html", rows: int = TRAINING_PAGES) -> n
         known = []
         for batch in batches:
             for page in batch.column("html").to_pylist():
-                known += [(_looks(*b), int(b[2].odds > 0)) for b in blocks(page) if b[2].odds]
+                for block in blocks(page):
+                    if odds := block[2].odds():
+                        looks = _looks(*block)
+                        known.append((looks + _markup(block[2]), int(odds > 0)))
+                        known.append((looks + [0.0, 0.0], int(odds > 0)))
         weights = _fit(known)
         yield pa.RecordBatch.from_pydict({"weights": [weights.tolist()]})
 
@@ -340,10 +358,11 @@ def _steps(a: _Element, b: _Element) -> int:
 def main_text(html: str | None, weights: list[float]) -> str:
     found = blocks(html or "")
     costs, ties, last = [], [], {}
+    if len(weights) == len(_looks("a", 0, _Element("", None))):
+        weights = [*weights, FOR, AGAINST]
     for i, (text, linked, element) in enumerate(found):
-        looks = sum(w * x for w, x in zip(weights, _looks(text, linked, element), strict=True))
-        markup = max(LEAST, min(MOST, element.odds))
-        costs.append(round(1000 * (max(-3.0, min(3.0, looks)) + markup)))
+        seen = _looks(text, linked, element) + _markup(element)
+        costs.append(round(1000 * sum(w * x for w, x in zip(weights, seen, strict=True))))
         if i:
             steps = _steps(found[i - 1][2], element)
             ties.append((i - 1, i, round(1000 * NEXT / (1 + steps))))

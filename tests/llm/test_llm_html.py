@@ -87,6 +87,29 @@ def test_training_separates_menus_from_prose(spark):
     assert np.array_equal(weights, again)
 
 
+def test_weights_of_the_markup_are_learnt_and_the_looks_can_outweigh_them(spark):
+    menu = "<nav>" + "".join(f"<li><a>item {i}</a>" for i in range(9)) + "</nav>"
+    rows = [
+        (i, "u", f"{menu}<article>" + "<p>A sentence of some words, and more of them.</p>" * 6)
+        for i in range(40)
+    ]
+    *_, named, other = html_text.train(pages(spark, rows)).tolist()
+    assert named > 0 > other
+    # Neither kind of markup settles a block whatever it looks like.
+    assert html_text.main_text("<nav><p>words</p></nav>", [9.0] + [0.0] * 8) == "words"
+    sure = [0.0, 0.0, -9.0] + [0.0] * 6
+    linked = "<article><p>words</p><div><ul><li><a>link</a></li></ul></div></article>"
+    assert html_text.main_text(linked, sure) == "words"
+
+
+def test_names_of_both_kinds_say_nothing():
+    weights = [1.0] + [0.0] * 8
+    for start in ('<div class="content has-sidebar">', '<div class="has-sidebar" id="content">'):
+        assert html_text.main_text(f"{start}<p>words</p></div>", weights) == "words"
+    assert html_text.main_text('<article class="post has-sidebar"><p>words', WEIGHTS) == "words"
+    assert html_text.main_text('<div class="sidebar"><p>words', weights) == ""
+
+
 def test_columns_nulls_repeats_and_empty_tables(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")]
     found = html_text.extracted(pages(spark, rows).selectExpr("*", "'x' AS text", "1 AS _more"), WEIGHTS)
