@@ -13,7 +13,8 @@ Scripts, styles, forms, hidden elements and the head are never blocks. Character
 references are decoded, white space inside a block becomes one space, a line break
 too; blocks are joined in page order by two line breaks.
 
-Defined cases: null or empty html, or a page without content blocks, gives an empty
+Defined cases: where the pages do not have blocks of both kinds to learn from, fixed
+weights take the place of fitted ones, so prose without markup stays; null or empty html, or a page without content blocks, gives an empty
 text; an unfinished tag at the end is no text; unclosed and crossing elements are
 closed as their parents are; rows that repeat give the same text; an empty table gives
 an empty result; all columns pass through but ``text``, which is replaced.
@@ -41,11 +42,13 @@ NEXT, SIBLING = 1.0, 1.0
 FOR, AGAINST = 3.0, -5.0
 #: Elements around a block that count, of either kind.
 COUNTED = 2
+#: Weights of the looks (see ``_looks``) where the pages do not have both kinds of blocks.
+UNFITTED = (-1.0, 1.0, -4.0, 1.0, 0.5, 1.5, -1.5, -3.0, 0.5)
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 DROPPED = frozenset(
-    """button canvas datalist form head iframe math noscript object optgroup option script
-    select style svg template textarea title""".split()
+    """button datalist form head iframe noscript optgroup option script select style svg
+    template textarea title""".split()
 )
 BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt
@@ -223,14 +226,13 @@ def _markup(element: _Element) -> list[float]:
 
 
 def _fit(rows: list[tuple[list[float], int]]) -> np.ndarray:
-    """Logistic weights by Newton steps with a ridge; zeros without both kinds of blocks."""
-    nothing = _Element("", None)
-    size = len(_looks("a", 0, nothing) + _markup(nothing))
+    """Logistic weights by Newton steps with a ridge; fixed ones without both kinds of blocks."""
     if len({label for _, label in rows}) < 2:
-        return np.zeros(size)
+        return np.array([*UNFITTED, FOR, AGAINST])
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     # Both kinds weigh the same in all.
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    size = x.shape[1]
     w = np.zeros(size)
     for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -358,7 +360,7 @@ def _steps(a: _Element, b: _Element) -> int:
 def main_text(html: str | None, weights: list[float]) -> str:
     found = blocks(html or "")
     costs, ties, last = [], [], {}
-    if len(weights) == len(_looks("a", 0, _Element("", None))):
+    if len(weights) == len(UNFITTED):
         weights = [*weights, FOR, AGAINST]
     for i, (text, linked, element) in enumerate(found):
         seen = _looks(text, linked, element) + _markup(element)

@@ -110,6 +110,22 @@ def test_names_of_both_kinds_say_nothing():
     assert html_text.main_text('<div class="sidebar"><p>words', weights) == ""
 
 
+def test_prose_without_markup_stays_where_no_article_is_marked(spark):
+    menu = "<nav>" + "".join(f"<li><a>item {i}</a>" for i in range(9)) + "</nav>"
+    prose = [f"Sentence {i} has some words, and it has more of them." for i in range(4)]
+    body = "<h2>What it says</h2>" + "".join(f"<div><p>{p}</p></div>" for p in prose)
+    foot = "<div><a>Home</a> | <a>About</a></div><footer>&copy; 2024 All rights</footer>"
+    table = pages(spark, [(i, f"u{i}", f"{menu}{body}{foot}<!--{i}-->") for i in range(5)])
+    found = html_text.extracted(table, html_text.train(table)).collect()
+    assert {r["text"] for r in found} == {"\n\n".join(["What it says", *prose])}
+
+
+def test_text_of_formulas_and_embedded_objects_stays():
+    page = """<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>
+    <object data="a.pdf"><p>The paper.</p></object><canvas>A chart of it.</canvas></article>"""
+    assert html_text.main_text(page, WEIGHTS) == "Let x=2 be.\n\nThe paper.\n\nA chart of it."
+
+
 def test_columns_nulls_repeats_and_empty_tables(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")]
     found = html_text.extracted(pages(spark, rows).selectExpr("*", "'x' AS text", "1 AS _more"), WEIGHTS)
