@@ -95,8 +95,15 @@ def find(units: Units, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     n = len(units.doc)
     if n < window:
         return none, none, none
-    places = np.arange(n - gram + 1, dtype=_U)
-    place = (_least((units.grams & ~_PLACE) | (places & _PLACE), window - gram + 1) & _PLACE).astype(np.int64)
+    # Places are counted within stretches that their bits can number; each stretch begins
+    # with the first window that the one before has no room for.
+    wide = window - gram + 1
+    step = int(_PLACE) + 2 - wide
+    place = np.empty(n - window + 1, np.int64)
+    for begin in range(0, len(place), step):
+        hashes = units.grams[begin : min(begin + step, len(place)) + wide - 1]
+        least = _least((hashes & ~_PLACE) | np.arange(len(hashes), dtype=_U), wide)
+        place[begin : begin + step] = (least & _PLACE).astype(np.int64) + begin
     whole = units.doc[: n - window + 1] == units.doc[window - 1 :]
     opens = whole.copy()
     opens[1:] &= ~whole[:-1] | (place[1:] != place[:-1])

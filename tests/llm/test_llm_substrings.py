@@ -146,6 +146,19 @@ def test_super_k_mers_cover_every_window_once():
     assert (offset >= 0).all() and (offset <= 84).all() and (windows <= 85).all()
 
 
+@pytest.mark.parametrize("bits", [7, 8, 9])
+def test_places_beyond_their_bits_are_found_in_stretches(monkeypatch, bits):
+    """As a document of more than 2**28 bytes, with places of fewer bits."""
+    text = (prose(1, 400) + "z" * 300 + prose(1, 400)).encode()
+    raw, offsets = np.frombuffer(text, np.uint8), np.array([0, 500, len(text)])
+    units = suffix_dedup._read(raw, offsets)
+    expected = superkmers.find(units, 100, 16)
+    monkeypatch.setattr(superkmers, "_PLACE", np.uint64((1 << bits) - 1))
+    assert len(raw) > 4 << bits
+    for got, want in zip(superkmers.find(units, 100, 16), expected, strict=True):
+        assert np.array_equal(got, want)
+
+
 def test_kept_and_removed_parts_make_the_text(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 200")
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
