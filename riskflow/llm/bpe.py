@@ -1,6 +1,6 @@
-"""Byte-level BPE by corpus-level merge replay, and back.
+"""Byte-level BPE by merge replay over pieces of the corpus, and back.
 
-A text is split by the pre-tokenizer's pattern. All new words of a batch are laid
+A text is split by the pre-tokenizer's pattern. All new words of a piece are laid
 out as one row of tokens with links to their neighbours, and an inverted index
 says for each rank where a pair of neighbours would merge to it. The merges are
 replayed over the whole row in rank order; a merge looks only at the places in its
