@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.llm import bpe, exact_dedup, html_text, quality, simhash, source_mix
-from riskflow.llm import suffix_dedup, toxicity, vector_search, window_dedup
+from riskflow.llm import suffix_dedup, token_alignment, toxicity, vector_search, window_dedup
 from riskflow.llm.common import stored, workers_can_import
 
 
@@ -83,6 +83,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*_verdict(found, _remainder(5) == 0, quality.THRESHOLD))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    left = token_alignment.byte_level(public_tokenizers.path("byte_bpe_50k.json"))
+    right = token_alignment.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.digests(_table(spark, sf_dir, "documents"), left, right)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -96,6 +104,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_simhash,
         op10_quality,
+        op11_token_alignment,
     )
 }
 
