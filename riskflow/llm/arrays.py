@@ -61,11 +61,15 @@ def owner(offsets: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end and document of every word, in text order."""
+    return runs(~_SPACE[raw], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and document of every longest stretch of marked bytes, in text order."""
     none = np.zeros(0, np.int64)
-    if not len(raw):
+    if not len(inside):
         return none, none, none
-    inside = ~_SPACE[raw]
-    edge = np.zeros(len(raw) + 1, bool)
+    edge = np.zeros(len(inside) + 1, bool)
     edge[offsets] = True
     first = inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:-1]

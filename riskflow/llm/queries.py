@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, exact_dedup, html_text, quality, simhash, source_mix
+from riskflow.llm import bpe, centroid_clusters, exact_dedup, html_text, quality, secret_scan, simhash, source_mix
 from riskflow.llm import suffix_dedup, token_alignment, toxicity, vector_search, window_dedup
 from riskflow.llm.common import stored, workers_can_import
 
@@ -91,6 +91,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.digests(_table(spark, sf_dir, "documents"), left, right)
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.clustered(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -105,6 +113,8 @@ QUERIES = {
         op9_simhash,
         op10_quality,
         op11_token_alignment,
+        op12_secret_scan,
+        op13_centroid_clusters,
     )
 }
 
@@ -113,4 +123,5 @@ SQL = {
     "op3_window_dedup": window_dedup.QUERY_SQL,
     "op6_source_mix": source_mix.QUERY_SQL,
     "op8_exact_dedup": exact_dedup.QUERY_SQL,
+    "op13_centroid_clusters": centroid_clusters.QUERY_SQL,
 }
