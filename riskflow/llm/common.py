@@ -22,6 +22,14 @@ def text_of(docs: DataFrame, text: str) -> Column:
     return F.coalesce(docs[text].cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it that the columns do not have."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def workers_can_import(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])

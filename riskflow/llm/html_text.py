@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import workers_can_import
+from riskflow.llm.common import free_name, workers_can_import
 
 TRAINING_PAGES = 1000
 #: Strength of the ties between neighbours in text, and under one parent.
@@ -381,19 +381,19 @@ def extracted(pages: DataFrame, weights: np.ndarray, html: str = "html") -> Data
     """All columns of the pages and ``text``, which replaces one of that name."""
     workers_can_import(pages.sparkSession)
     model = [float(w) for w in weights]
-    rest = pages.drop("text")
+    rest, own = pages.drop("text"), free_name(pages, "_html")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
 
     def extract(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 piece = batch.slice(first, 256)
-                texts = [main_text(page, model) for page in piece.column("_html").to_pylist()]
+                texts = [main_text(page, model) for page in piece.column(own).to_pylist()]
                 columns = [piece.column(c) for c in range(piece.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(texts, pa.string())], names=[*piece.schema.names[:-1], "text"]
                 )
 
-    return rest.withColumn("_html", pages[html].cast("string")).mapInArrow(
+    return rest.withColumn(own, pages[html].cast("string")).mapInArrow(
         extract, f"{schema}, text string"
     )

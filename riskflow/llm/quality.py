@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from riskflow.llm import arrays as A
 from riskflow.llm import linear
-from riskflow.llm.common import text_of, workers_can_import
+from riskflow.llm.common import free_name, text_of, workers_can_import
 
 #: A document is accepted from this score on.
 THRESHOLD = 0.3
@@ -150,14 +150,16 @@ def train(
     return linear.fitted(known, _features, "places binary, shares binary", _follow_leader)
 
 
-def scored(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
-    """All columns of the documents and ``score``, which replaces one of that name."""
+def scored(
+    docs: DataFrame, model: np.ndarray, text: str = "text", name: str = "score"
+) -> DataFrame:
+    """All columns of the documents and the score, which replaces one of its name."""
     spark = workers_can_import(docs.sparkSession).sparkContext
     shared = spark.broadcast(model)
 
     def score(batches):
         weights = shared.value.astype(np.float64)
-        for piece, raw, offsets in A.pieces(batches, "_text"):
+        for piece, raw, offsets in A.pieces(batches, own):
             n = len(offsets) - 1
             total = np.full(n, weights[0])
             for place, doc in _grams(raw, offsets):
@@ -165,8 +167,8 @@ def scored(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
                 total += A.group_sums(weights[place], doc, n) / count
             kept = [piece.column(c) for c in range(piece.num_columns - 1)]
             kept.append(pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35)))))
-            yield pa.RecordBatch.from_arrays(kept, names=[*piece.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays(kept, names=[*piece.schema.names[:-1], name])
 
-    rest = docs.drop("score")
+    rest, own = docs.drop(name), free_name(docs, "_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.withColumn("_text", text_of(docs, text)).mapInArrow(score, f"{schema}, score double")
+    return rest.withColumn(own, text_of(docs, text)).mapInArrow(score, f"{schema}, `{name}` double")

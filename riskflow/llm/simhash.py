@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.llm import arrays as A
-from riskflow.llm.common import stored, tasks, text_of, workers_can_import
+from riskflow.llm.common import free_name, stored, tasks, text_of, workers_can_import
 from riskflow.llm.components import roots
 
 SHINGLE = 3
@@ -80,18 +80,18 @@ def _fingerprints(raw, offsets, shingle=SHINGLE):
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """All columns of the documents and ``fingerprint`` as a long, instead of one of its name."""
     workers_can_import(docs.sparkSession)
-    rest = docs.drop("fingerprint")
+    rest, own = docs.drop("fingerprint"), free_name(docs, "_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
 
     def run(batches):
-        for piece, raw, offsets in A.pieces(batches, "_text"):
+        for piece, raw, offsets in A.pieces(batches, own):
             columns = [piece.column(c) for c in range(piece.num_columns - 1)]
             columns.append(pa.array(_fingerprints(raw, offsets, shingle).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 columns, names=[*piece.schema.names[:-1], "fingerprint"]
             )
 
-    return rest.withColumn("_text", text_of(docs, text)).mapInArrow(run, f"{schema}, fingerprint long")
+    return rest.withColumn(own, text_of(docs, text)).mapInArrow(run, f"{schema}, fingerprint long")
 
 
 def _planes(codes: np.ndarray) -> np.ndarray:

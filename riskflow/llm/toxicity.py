@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from riskflow.llm import arrays as A
 from riskflow.llm import linear
-from riskflow.llm.common import text_of, workers_can_import
+from riskflow.llm.common import free_name, text_of, workers_can_import
 
 #: A document is toxic from this probability on, and so is a sentence.
 THRESHOLD = 0.3
@@ -169,7 +169,7 @@ def located(
     def score(batches):
         weights = shared.value.astype(np.float64)
         bias = weights[linear.DIMENSIONS]
-        for piece, raw, offsets in A.pieces(batches, "_text"):
+        for piece, raw, offsets in A.pieces(batches, own):
             n = len(offsets) - 1
             (features, of), doc, first, end = _sentences(raw, offsets)
             odds = bias + A.group_sums(weights[features], of, len(doc))
@@ -194,8 +194,8 @@ def located(
                 kept, names=[*piece.schema.names[:-1], "score", "offending"]
             )
 
-    rest = docs.drop("score", "offending")
+    rest, own = docs.drop("score", "offending"), free_name(docs, "_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.withColumn("_text", text_of(docs, text)).mapInArrow(
+    return rest.withColumn(own, text_of(docs, text)).mapInArrow(
         score, f"{schema}, score double, offending {SPANS}"
     )
