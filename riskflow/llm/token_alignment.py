@@ -11,10 +11,11 @@ Pairs of ids are counted over the whole corpus. Of two tokens that end together
 the end of the other, so there are at most as many different pairs as the vocabularies
 have ends of tokens, whatever the corpus: ``pair_bound``. Only that table is broadcast.
 
-A long text is cut where both tokenizers cut it anyway, before a single space between
-two visible characters, so that no more than about ``CHUNK`` characters of tokens are
-held at once; a text without such places is handled whole. A tokenizer for which that
-is not certain (see ``cuts``) gets whole texts.
+Both tokenizers cut a text before a single space between two visible characters. So a
+long text is cut there, and no more than about ``CHUNK`` characters are held at once (a
+text without such places is handled whole), and the words between such cuts are each
+encoded once for all texts that are handled together. A tokenizer for which that is not
+certain (see ``cuts``) gets whole texts.
 
 Defined cases: a null or empty text has no tokens, and so has a text that the joined
 tokens of either side do not give back (such as one with U+2581, which one vocabulary
@@ -30,6 +31,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from hashlib import sha256
 from itertools import chain
 from pathlib import Path
@@ -43,9 +45,11 @@ from riskflow.llm import arrays as A
 from riskflow.llm.common import stored, text_of, workers_can_import
 
 #: Characters of one text that are encoded and aligned at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 19
 #: A space that both tokenizers put at the start of a token.
 _SAFE = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
+#: A text that can stand between two such spaces.
+_WHOLE = re.compile(r"[\w!-~](.*[\w!-~])?", re.DOTALL)
 
 BYTE_LEVEL = "byte level"
 PIECES = "pieces"
@@ -69,13 +73,22 @@ def pieces(path: str) -> Vocabulary:
     return Vocabulary(PIECES, Path(path).read_bytes())
 
 
-@dataclass(frozen=True)
+@dataclass
 class _Tokenizer:
-    """``encode`` takes texts without the space before them; ``tokens`` has each id's bytes."""
+    """``encode`` takes texts without the space before them; ``tokens`` has each id's bytes.
+
+    ``joins`` says that a call costs more than a short text, and that texts which begin
+    and end visibly may be encoded as one, with the space before each between them.
+    """
 
     encode: Callable[[list[str]], list[list[int]]]
     tokens: list[bytes]
     cuts: bool
+    joins: bool
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        return np.array([len(token) for token in self.tokens], np.int64)
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -104,7 +117,7 @@ def _read_byte_level(data: bytes) -> _Tokenizer:
 
     before = spec.get("pre_tokenizer") or {}
     cuts = before.get("type") == "ByteLevel" and before.get("use_regex") and not spec["normalizer"]
-    return _Tokenizer(encode, tokens, bool(cuts))
+    return _Tokenizer(encode, tokens, bool(cuts), bool(cuts))
 
 
 def _read_pieces(data: bytes) -> _Tokenizer:
@@ -119,7 +132,7 @@ def _read_pieces(data: bytes) -> _Tokenizer:
     # No token goes on across a space, and nothing is rewritten.
     cuts = not any("▁" in name.lstrip("▁") for name in names)
     cuts = cuts and model.normalize("a  ﬁ ") == "▁a▁▁ﬁ▁"
-    return _Tokenizer(lambda texts: model.encode(texts, num_threads=1), tokens, cuts)
+    return _Tokenizer(lambda texts: model.encode(texts, num_threads=1), tokens, cuts, False)
 
 
 #: Per worker process, by digest of the file.
@@ -234,33 +247,78 @@ def _chunks(text: str, cuts: bool) -> list[str]:
     return [*found, text[begin:]]
 
 
-def _bytes_of(ids: list[list[int]], tokens: list[bytes]) -> list[bytes]:
-    get = tokens.__getitem__
-    return [b"".join(map(get, one)) for one in ids]
-
-
-def _flat(lists: list[list[int]]) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(lists), np.int64)
+@dataclass(frozen=True)
+class _Words:
+    """The tokens of different words one after the other, and the words they do not give back."""
+
+    tokens: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    broken: np.ndarray
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[words]
+        at = np.repeat(self.starts[words] - (np.cumsum(sizes) - sizes), sizes)
+        return self.tokens[at + np.arange(len(at))]
+
+
+def _in_bytes(words: list[str]) -> list[bytes]:
+    """Each word encoded, by one call for all if a zero byte can stand between them."""
+    found = "\0".join(words).encode().split(b"\0")
+    return found if len(found) == len(words) else [word.encode() for word in words]
+
+
+def _encoded(words: list[str], raw: list[bytes], odd: int, side: _Tokenizer) -> _Words:
+    """The tokens of different words, of which the last ``odd`` ones may end invisibly."""
+    plain = len(words) - odd
+    get = side.tokens.__getitem__
+    if side.joins and plain:
+        joined = side.encode([" ".join(words[:plain])])[0]
+        tokens = np.fromiter(joined, np.int64, len(joined))
+        stops = np.cumsum(np.fromiter(map(len, raw[:plain]), np.int64, plain) + 1)
+        cuts = np.searchsorted(np.cumsum(side.lengths[tokens]), stops) + 1
+        sizes = np.diff(cuts, prepend=0)
+        lists = side.encode(words[plain:])
+    else:
+        tokens = sizes = np.zeros(0, np.int64)
+        lists = side.encode(words)
+    tokens = np.concatenate([tokens, np.fromiter(chain.from_iterable(lists), np.int64)])
+    sizes = np.concatenate([sizes, np.fromiter(map(len, lists), np.int64, len(lists))])
+    found = _Words(tokens, np.cumsum(sizes) - sizes, sizes, np.zeros(len(words), bool))
+    every = tokens.tolist()
+    if b"".join(map(get, every)) != b" " + b" ".join(raw):
+        spans = zip(found.starts.tolist(), sizes.tolist(), raw, strict=True)
+        for n, (start, size, word) in enumerate(spans):
+            found.broken[n] = b"".join(map(get, every[start : start + size])) != b" " + word
+    return found
 
 
 def _part(rows: list[int], texts: list[str], left: _Tokenizer, right: _Tokenizer) -> _Part:
-    both = [left.encode(texts), right.encode(texts)]
-    wanted = [b" " + text.encode() for text in texts]
-    given = [_bytes_of(ids, side.tokens) for ids, side in zip(both, (left, right), strict=True)]
-    broken = set()
-    if wanted != given[0] or wanted != given[1]:
-        for n, text in enumerate(wanted):
-            if text != given[0][n] or text != given[1][n]:
-                broken.add(rows[n])
-                both[0][n] = both[1][n] = []
+    # Where both tokenizers cut, a word has the same tokens wherever it stands. Only the
+    # first and the last word of a text can have an invisible end.
+    cuts = left.cuts and right.cuts
+    words = [_SAFE.split(text) if cuts else [text] for text in texts]
+    ends = {word for one in words for word in (one[0], one[-1])}
+    odd = {word for word in ends if not (cuts and _WHOLE.fullmatch(word))}
+    unique = [word for word in dict.fromkeys(chain.from_iterable(words)) if word not in odd]
+    unique += sorted(odd)
+    place = dict(zip(unique, range(len(unique)), strict=True))
+    raw = _in_bytes(unique)
+    sides = [_encoded(unique, raw, len(odd), side) for side in (left, right)]
+    codes = np.fromiter(map(place.__getitem__, chain.from_iterable(words)), np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(one) for one in words])
+    broken = np.unique(owner[(sides[0].broken | sides[1].broken)[codes]])
+    if len(broken):
+        whole = ~np.isin(owner, broken)
+        codes, owner = codes[whole], owner[whole]
     flat, ends, stops = [], [], []
-    for ids, side in zip(both, (left, right), strict=True):
-        flat.append(_flat(ids))
-        sizes = np.array([len(token) for token in side.tokens], np.int64)
-        stops.append(np.cumsum(sizes[flat[-1]]))
-        ends.append(np.cumsum([len(one) for one in ids]))
-    last = common_ends(*stops) if len(flat[0]) else (np.zeros(0, np.int64),) * 2
-    return _Part(rows, *flat, *ends, *last, broken)
+    for side, found in zip((left, right), sides, strict=True):
+        flat.append(found.of(codes))
+        stops.append(np.cumsum(side.lengths[flat[-1]]))
+        counts = np.bincount(owner, found.sizes[codes], minlength=len(texts))
+        ends.append(np.cumsum(counts.astype(np.int64)))
+    last = common_ends(*stops) if len(codes) else (np.zeros(0, np.int64),) * 2
+    return _Part(rows, *flat, *ends, *last, {rows[n] for n in broken.tolist()})
 
 
 def _parts(
