@@ -20,22 +20,22 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from hashlib import sha256
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.llm import arrays as A
-from riskflow.llm.common import text_of, workers_can_import
+from riskflow.llm.common import free_name, text_of, workers_can_import
 
 #: Words a worker remembers, and the longest one worth it, in characters.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 LONGEST = 48
 #: Bits of a token's rank in a pair; what stands for a token that was merged away.
 _SHIFT = 24
@@ -145,8 +145,8 @@ def replay(
     ]
 
 
-#: Per worker process, by vocabulary: the merges, and the tokens of words.
-_known: dict[str, tuple[dict[int, int], dict[str, tuple[int, ...]]]] = {}
+#: Per worker process, by vocabulary: the merges, and the tokens of words as 32-bit numbers.
+_known: dict[str, tuple[dict[int, int], dict[str, bytes]]] = {}
 
 
 def _lists(texts: list[str], pattern, ranks: dict[bytes, int], key: str) -> pa.Array:
@@ -158,43 +158,74 @@ def _lists(texts: list[str], pattern, ranks: dict[bytes, int], key: str) -> pa.A
         known.clear()
     split = [pattern.findall(text) for text in texts]
     new = [word for word in set(chain.from_iterable(split)) if word not in known]
-    known.update(zip(new, replay([word.encode() for word in new], ranks, merges), strict=True))
-    flat, ends = [], [0]
-    for parts in split:
-        flat.append(np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), np.int32))
-        ends.append(ends[-1] + len(flat[-1]))
+    tokens = replay([word.encode() for word in new], ranks, merges)
+    known.update(zip(new, (array("i", one).tobytes() for one in tokens), strict=True))
+    rows = [b"".join(map(known.__getitem__, parts)) for parts in split]
     for word in new:
         if len(word) > LONGEST:
             del known[word]
-    values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+    ends = np.cumsum([0, *map(len, rows)]) // 4
+    values = np.frombuffer(b"".join(rows), np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
+def _texts(column: pa.Array, vocabulary: list[bytes]) -> pa.Array:
+    """The bytes that every list of ids stands for."""
+    get = vocabulary.__getitem__
+    return pa.array(
+        [b"".join(map(get, ids)) if ids else b"" for ids in column.to_pylist()], pa.binary()
+    )
+
+
+def _vocabulary(ranks: dict[bytes, int]) -> list[bytes]:
+    found = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        found[rank] = token
+    return found
+
+
 def _schema(df: DataFrame, *new: str) -> str:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
     return ", ".join([*fields, *new])
 
 
 def encoded(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids"
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    data: str | None = None,
+    keep_text: bool = True,
 ) -> DataFrame:
-    """All columns of the documents and ``ids``, the tokens of the whole text."""
+    """All columns of the documents and ``ids``, the tokens of the whole text.
+
+    With ``data`` the ids are decoded too, into a column of that name, by the same worker.
+    Without ``keep_text`` the text is left out, and so not sent back.
+    """
     spark = workers_can_import(docs.sparkSession).sparkContext
     shared = spark.broadcast((ranks, pattern))
     key = sha256(b"\n".join([pattern.encode(), *sorted(ranks, key=ranks.get)])).hexdigest()
+    new = [ids] if data is None else [ids, data]
+    own = free_name(docs, "_text")
+    rest = docs.drop(*new) if keep_text else docs.drop(*new, text)
+    kept = [docs[f"`{name}`"] for name in rest.columns]
 
     def encode(batches):
         ranks, pattern = shared.value
         split = regex.compile(pattern)
-        for piece, _, _ in A.pieces(batches, "_text"):
+        vocabulary = _vocabulary(ranks)
+        for piece, _, _ in A.pieces(batches, own):
             columns = [piece.column(c) for c in range(piece.num_columns - 1)]
-            texts = [t or "" for t in piece.column("_text").to_pylist()]
+            texts = [t or "" for t in piece.column(own).to_pylist()]
             columns.append(_lists(texts, split, ranks, key))
-            yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names[:-1], ids])
+            if data is not None:
+                columns.append(_texts(columns[-1], vocabulary))
+            yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names[:-1], *new])
 
-    rest = docs.drop(ids)
-    return rest.withColumn("_text", text_of(docs, text)).mapInArrow(
-        encode, _schema(rest, f"`{ids}` array<int>")
+    kinds = [f"`{ids}` array<int>", f"`{data}` binary"]
+    return docs.select(*kept, text_of(docs, text).alias(own)).mapInArrow(
+        encode, _schema(rest, *kinds[: len(new)])
     )
 
 
@@ -203,41 +234,25 @@ def decoded(
 ) -> DataFrame:
     """All columns of the documents and ``data``, the bytes that the ids stand for."""
     spark = workers_can_import(docs.sparkSession).sparkContext
-    vocabulary = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        vocabulary[rank] = token
-    shared = spark.broadcast(vocabulary)
+    shared = spark.broadcast(_vocabulary(ranks))
     rest = docs.drop(data)
     at = rest.columns.index(ids)
 
     def decode(batches):
-        lengths = np.array([len(token) for token in shared.value], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(shared.value), np.uint8)
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 piece = batch.slice(first, 64)
-                column = piece.column(at)
-                values = column.flatten().to_numpy(zero_copy_only=False)
-                counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
-                size = lengths[values]
-                ends = np.cumsum(size)
-                take = np.repeat(starts[values] - (ends - size), size)
-                take += np.arange(len(take))
-                joined = flat[take].tobytes()
-                cut = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-                texts = [joined[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 columns = [piece.column(c) for c in range(piece.num_columns)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(texts, pa.binary())], names=[*piece.schema.names, data]
-                )
+                columns.append(_texts(piece.column(at), shared.value))
+                yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names, data])
 
     return rest.mapInArrow(decode, _schema(rest, f"`{data}` binary"))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids and of the decoded bytes."""
-    both = decoded(encoded(docs.select("doc_id", "text"), ranks, pattern).drop("text"), ranks)
+    rows = docs.select("doc_id", "text")
+    both = encoded(rows, ranks, pattern, data="decoded", keep_text=False)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
