@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.llm import bpe, exact_dedup, quality, simhash, source_mix
-from riskflow.llm.common import stored, workers_can_import
+from riskflow.llm.common import free_name, stored, workers_can_import
 
 
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,9 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = workers_can_import(spark).read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(whole, labels, learn=F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    scored = quality.scored(docs, model)
-    return scored.filter(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "_score")
+    scored = quality.scored(docs, model, name=score)
+    return scored.filter(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +43,16 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    both = bpe.decoded(bpe.encoded(docs, ranks, public_tokenizers.PATTERN), ranks)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = docs.select("doc_id", "source", "text", F.sha2(text, 256).alias("text_sha256"))
+    # Encoded and decoded by the same worker, to which the text goes once.
+    both = bpe.encoded(rows, ranks, public_tokenizers.PATTERN, data="decoded", keep_text=False)
     return both.select(
         "doc_id",
         "source",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == text).alias("round_trip"),
+        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"),
     )
 
 
