@@ -18,7 +18,12 @@ from riskflow.session import build_session, use_rocksdb_state
 
 def _train(spark: SparkSession, args: argparse.Namespace) -> None:
     report = plans.run_training(
-        spark, args.history, args.model, key=args.key, partitions=args.partitions
+        spark,
+        args.history,
+        args.model,
+        key=args.key,
+        partitions=args.partitions,
+        rows_per_class=args.rows_per_class,
     )
     for name, value in asdict(report).items():
         print(f"{name}: {value}")
@@ -61,6 +66,7 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
         alert_store=sinks.hbase_store(args.hbase_host, args.hbase_table)
         if args.hbase_host
         else None,
+        **({"max_bytes": args.max_bytes} if args.follow else {}),
     )
     if args.once:
         streaming.await_each(running.values())
@@ -69,6 +75,11 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _daily(spark: SparkSession, args: argparse.Namespace) -> None:
+    if args.checkpoint is not None:
+        plans.run_daily_incremental(
+            spark, args.scored, args.daily, args.checkpoint, args.table
+        ).awaitTermination()
+        return
     plans.run_daily(
         spark,
         args.scored,
@@ -79,6 +90,13 @@ def _daily(spark: SparkSession, args: argparse.Namespace) -> None:
     )
 
 
+def _late(spark: SparkSession, args: argparse.Namespace) -> None:
+    paths = streaming.StreamPaths(args.output)
+    read = streaming.stored_files(spark, paths.scored)
+    batch = streaming.collect_late(spark, paths.checkpoint("windows"), read, paths.late)
+    print(f"collected up to batch {batch}")
+
+
 def _publish(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.checkpoint is None:
         sinks.copy_scored(spark, args.sink, args.scored, by_day=args.by_day)
@@ -106,9 +124,8 @@ def build_parser() -> argparse.ArgumentParser:
     train.add_argument("--history", required=True, help="labelled CSV with a header")
     train.add_argument("--model", required=True)
     train.add_argument("--key", help="integer column that identifies a row; default the whole row")
-    train.add_argument(
-        "--partitions", type=int, default=plans.TRAINING_TASKS, help="tasks that hold the training rows"
-    )
+    train.add_argument("--partitions", type=int, help="tasks that hold the training rows")
+    train.add_argument("--rows-per-class", type=int, help="rows of each class to learn from at most")
     train.set_defaults(run=_train)
 
     replay = jobs.add_parser("replay", help="turn labelled history into messages")
@@ -129,6 +146,7 @@ def build_parser() -> argparse.ArgumentParser:
     source.add_argument("--topic")
     stream.add_argument("--servers")
     stream.add_argument("--max-offsets", type=int, help="bound on messages per micro-batch")
+    stream.add_argument("--max-bytes", type=int, help="bound on a follower's micro-batch")
     stream.add_argument("--trigger", default=S.TRIGGER_INTERVAL)
     stream.add_argument("--once", action="store_true", help="process what is there, then stop")
     stream.add_argument(
@@ -146,10 +164,17 @@ def build_parser() -> argparse.ArgumentParser:
     daily.add_argument("--scored", required=True)
     daily.add_argument("--daily", required=True)
     daily.add_argument("--table", default=S.DAILY_TABLE)
+    daily.add_argument(
+        "--checkpoint", help="count only what is new since the last run with it, and merge"
+    )
     daily.add_argument("--since", type=dt.date.fromisoformat, help="first UTC day to recompute")
     daily.add_argument("--repair", nargs="*", default=[], help="further tables to repair")
     daily.set_defaults(run=_daily)
 
+    late = jobs.add_parser("late", help="collect rows that came too late for their windows")
+    late.add_argument("--output", required=True, help="root of the stream job")
+    late.set_defaults(run=_late)
+
     publish = jobs.add_parser("publish", help="copy a scored sink to a table folder")
     publish.add_argument("--sink", required=True)
     publish.add_argument("--scored", required=True)

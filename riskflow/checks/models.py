@@ -15,12 +15,16 @@ from riskflow import schema as S
 from riskflow import streaming as st
 from riskflow.checks import sql
 from riskflow.session import scratch_dir
+from riskflow.storage import remove_folder
 
 AUC_FLOOR = 0.9
 
 # A smaller forest where only the agreement of two scorings is checked.
 SMALL_FOREST = {"trees": 20, "depth": 5}
 
+# Of each class; at the smaller scales there are fewer frauds.
+SAMPLE_ROWS = 500
+
 
 def _small_model(spark: SparkSession, sf_dir: str):
     train, _ = ops.hash_split(fixtures.tx(spark, sf_dir), "event_id")
@@ -84,10 +88,63 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def training_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a bounded forest would grow from."""
+    train, _ = ops.hash_split(fixtures.tx(spark, sf_dir), "event_id")
+    sample = ops.stratified_sample(train, SAMPLE_ROWS, "event_id")
+    return sample.select("event_id", S.LABEL)
+
+
+def auc_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of the area from histograms, beside the area by sorting."""
+    scored = fixtures.tx(spark, sf_dir).select("Fraud_Probability", S.LABEL)
+    coarse = ml.auc_bounds(scored, within=1.0)
+    fine = ml.auc_bounds(scored, within=1e-9)
+    exact = ml.auc(scored, score="Fraud_Probability")
+    found = (
+        F.lit(coarse.lower - 1e-12 <= exact <= coarse.upper + 1e-12).alias("coarse_holds"),
+        F.lit(fine.lower - 1e-12 <= exact <= fine.upper + 1e-12).alias("fine_holds"),
+        F.round(F.lit(fine.lower), 6).alias("lower"),
+        F.round(F.lit(fine.upper), 6).alias("upper"),
+    )
+    return scored.groupBy().agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", *found)
+
+
+def ml_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the current model after a save that broke off, and of the one before."""
+    path, rows = scratch_dir(spark, "model"), _unscored(fixtures.tx(spark, sf_dir))
+    train, _ = ops.hash_split(fixtures.tx(spark, sf_dir), "event_id")
+    weighted = ops.with_class_weight(train)
+    models = [ml.train_model(weighted, trees=n, depth=4) for n in (5, 10)]
+    first, second = [ml.save_model(model, path) for model in models]
+    # What a save leaves that did not get as far as its stages.
+    models[0].write().save(f"{path}/versions/v999999-0")
+    remove_folder(spark, f"{path}/versions/v999999-0/stages")
+    found = rows
+    for name, model in (
+        ("fitted_1", models[0]),
+        ("stored_1", ml.load_model(path, first)),
+        ("fitted_2", models[1]),
+        ("stored_2", ml.load_model(path)),
+    ):
+        scored = ml.score(model, found)
+        found = scored.select(*found.columns, F.col("Fraud_Probability").alias(name))
+    whole = ml.model_versions(spark, path) == [first, second]
+    return found.select(
+        "event_id",
+        (F.col("fitted_1") == F.col("stored_1")).alias("same_former"),
+        (F.col("fitted_2") == F.col("stored_2")).alias("same_current"),
+        F.lit(whole and ml.current_version(spark, path) == second).alias("names_right"),
+    )
+
+
 QUERIES = {
     "ml_train_score": ml_train_score,
     "ml_save_load": ml_save_load,
     "stream_scoring": stream_scoring,
+    "training_sample": training_sample,
+    "auc_bounds": auc_bounds,
+    "ml_versions": ml_versions,
 }
 
 SQL = {
@@ -101,5 +158,24 @@ SELECT event_id, true AS in_range, true AS auc_above_floor, total_rows, fraud_ro
 FROM tx, counted
 WHERE ((event_id % 2147483648) * 2654435761) % 4294967296 >= 0.8 * 4294967296""",
     "ml_save_load": "SELECT event_id, true AS same_score FROM events",
+    "training_sample": sql.tx()
+    + f""", keyed AS (
+  SELECT event_id, "Class", ((event_id % 2147483648) * 2654435761) % 4294967296 AS hash FROM tx)
+SELECT event_id, "Class" FROM keyed WHERE hash < 0.8 * 4294967296
+QUALIFY row_number() OVER (PARTITION BY "Class" = 1 ORDER BY hash, event_id) <= {SAMPLE_ROWS}""",
+    # Every pair of a fraud and another row, counted below each fraud's score.
+    "auc_bounds": sql.tx()
+    + """, ranked AS (
+  SELECT "Class", rank() OVER (ORDER BY "Fraud_Probability") AS low,
+    count(*) OVER (PARTITION BY "Fraud_Probability") AS same FROM tx),
+area AS (
+  SELECT (sum(low + (same - 1) / 2) FILTER ("Class" = 1)
+      - count(*) FILTER ("Class" = 1) * (count(*) FILTER ("Class" = 1) + 1) / 2)
+    / (count(*) FILTER ("Class" = 1) * count(*) FILTER ("Class" <> 1)) AS value,
+    count(*) AS n_rows FROM ranked)
+SELECT CAST(n_rows AS BIGINT) AS n_rows, true AS coarse_holds, true AS fine_holds,
+  round(value, 6) AS lower, round(value, 6) AS upper FROM area""",
+    "ml_versions": """SELECT event_id, true AS same_former, true AS same_current,
+  true AS names_right FROM events""",
     "stream_scoring": "SELECT event_id, true AS same_score, true AS same_tier FROM events",
 }

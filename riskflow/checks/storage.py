@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ from riskflow.session import scratch_dir
 # The later run of the overwrite checks starts at this day.
 LATER = dt.date(2024, 1, 16)
 
+# Days with at least this share of frauds; about half of the days have.
+BAD_SHARE = 0.027
+
 
 def _name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
@@ -81,8 +86,12 @@ def sink_daily_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_daily(sources.read_daily(spark, path))
 
 
+def _is_later():
+    return F.col("event_ts") >= F.lit(LATER).cast("timestamp")
+
+
 def _later(tx: DataFrame) -> DataFrame:
-    return tx.filter(F.col("event_ts") >= F.lit(LATER).cast("timestamp"))
+    return tx.filter(_is_later())
 
 
 def daily_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +134,73 @@ def daily_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_daily(sources.read_daily(spark, daily))
 
 
+def daily_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three runs over a folder that grows, each run reading the new files."""
+    scored, daily, check = (scratch_dir(spark, name) for name in ("scored", "daily", "check"))
+    tx = fixtures.tx_dirty(spark, sf_dir)
+    for part in range(3):
+        sinks.write_scored(tx.filter(F.col("event_id") % 3 == part), scored, mode="append")
+        plans.run_daily_incremental(spark, scored, daily, check).awaitTermination()
+    return rounded_daily(sources.read_daily(spark, daily))
+
+
+def catalog_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partitions of a table that is told of changed folders only, and their totals."""
+    name, tx = _name("daily"), fixtures.tx(spark, sf_dir)
+    scored, daily, check = (scratch_dir(spark, name) for name in ("scored", "daily", "check"))
+    for part in (tx.filter(~_is_later()), tx.filter(_is_later())):
+        sinks.write_scored(part, scored, mode="append")
+        plans.run_daily_incremental(spark, scored, daily, check, table=name).awaitTermination()
+    sources.change_partitions(spark, name, "transaction_date", daily, gone=[LATER])
+    return rounded_daily(sources.read_table(spark, name))
+
+
+def sink_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of a sink whose log has forgotten the older ones, which are in a table."""
+    source, table, check = (scratch_dir(spark, name) for name in ("in", "table", "published"))
+    paths = st.StreamPaths(scratch_dir(spark, "stream"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    scored, retention = paths.checkpoint("scored"), None
+    with _compacting_every(spark, 3):
+        for part in range(4):
+            events.filter(F.col("event_id") % 4 == part).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(events.schema).parquet(source)
+            tx = fixtures.tx_from_events(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+            st.write_scored_stream(
+                tx, paths.scored, scored, st.RUN_TO_COMPLETION, retention=retention
+            ).awaitTermination()
+            written = time.monotonic()
+            if part == 1:
+                st.publish_scored(spark, paths.scored, table, check).awaitTermination()
+                time.sleep(3)
+            # The third batch rewrites the log; what the first two wrote is too old by then.
+            retention = f"{int((time.monotonic() - written) * 1000)}ms" if part == 1 else None
+    both = st.read_scored_of_both(spark, paths.scored, table, check)
+    forgotten = spark.read.parquet(table).count() - _rows_also_in(spark, paths.scored, table)
+    return both.withColumn("event_ts", plain_time("event_ts")).withColumn(
+        "n_forgotten", F.lit(forgotten).cast("long")
+    )
+
+
+def _rows_also_in(spark: SparkSession, sink: str, table: str) -> int:
+    """Rows of the table that the sink's log still names."""
+    keys = ["Time", "V1"]
+    named = sources.read_scored(spark, sink).select(*keys)
+    return spark.read.parquet(table).join(named, keys, "left_semi").count()
+
+
+@contextmanager
+def _compacting_every(spark: SparkSession, batches: int):
+    """Sink logs are rewritten, and forget, every so many batches."""
+    name = "spark.sql.streaming.fileSink.log.compactInterval"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batches)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def overview_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view over both tables."""
     scored_path, daily_path = _stored_scored(spark, sf_dir), scratch_dir(spark, "daily")
@@ -134,6 +210,17 @@ def overview_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_overview(sources.read_table(spark, view))
 
 
+def overview_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions of the days with many frauds only, from rows in a folder per day."""
+    scored, daily = scratch_dir(spark, "scored"), scratch_dir(spark, "daily")
+    tx = fixtures.tx(spark, sf_dir)
+    sinks.write_scored(tx, scored, by_day=True)
+    sinks.write_daily(ops.daily_aggregates(tx), daily)
+    share = F.col("total_fraud_transactions") / F.col("total_transactions")
+    bad_days = sources.read_daily(spark, daily).filter(share >= BAD_SHARE)
+    return _plain_overview(ops.overview_of_days(sources.read_scored_days(spark, scored), bad_days))
+
+
 def overview_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The join as an operator, on rows of which some have no event time."""
     tx = fixtures.tx_dirty(spark, sf_dir)
@@ -174,7 +261,11 @@ QUERIES = {
     "catalog_partitions": catalog_partitions,
     "catalog_sync": catalog_sync,
     "daily_since": daily_since,
+    "daily_incremental": daily_incremental,
+    "catalog_delta": catalog_delta,
+    "sink_handover": sink_handover,
     "overview_join": overview_join,
+    "overview_pruned": overview_pruned,
     "overview_operator": overview_operator,
     "overview_salted": overview_salted,
 }
@@ -212,7 +303,16 @@ FROM tx WHERE event_ts >= DATE '{LATER}'""",
     "daily_since": sql.tx(dirty=True)
     + f", later AS (SELECT * FROM tx WHERE event_ts >= DATE '{LATER}') "
     + sql.daily("later"),
+    "daily_incremental": sql.tx(dirty=True) + sql.daily(),
+    "catalog_delta": sql.tx()
+    + f", others AS (SELECT * FROM tx WHERE CAST(event_ts AS DATE) <> DATE '{LATER}') "
+    + sql.daily("others"),
+    "sink_handover": sql.tx()
+    + f""" SELECT {sql.SCORED_COLUMNS}, (SELECT CAST(count(*) AS BIGINT) FROM events
+  WHERE event_id % 4 < 2) AS n_forgotten FROM tx""",
     "overview_join": _overview(dirty=False),
+    "overview_pruned": _overview(dirty=False)
+    + f" WHERE d.total_fraud_transactions / d.total_transactions >= {BAD_SHARE}",
     "overview_operator": _overview(dirty=True),
     "overview_salted": _overview(dirty=True),
 }

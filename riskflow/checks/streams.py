@@ -105,28 +105,81 @@ def _in_two_steps(spark: SparkSession, rows: DataFrame, write, start) -> None:
         _finish(start())
 
 
-def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second step arrives behind the watermark of the first.
+def _late_windows(spark: SparkSession, sf_dir: str) -> tuple[str, st.StreamPaths, int]:
+    """A window query over events that come in two steps, the second one late.
 
-    Its rows count only in windows that were still open.
+    Returns the folder of the events, that of the outputs, and what Spark says it dropped.
     """
     source, paths = scratch_dir(spark, "events"), st.StreamPaths(scratch_dir(spark, "stream"))
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table, started = spark.read.parquet(f"{sf_dir}/events.parquet"), []
 
     def start():
         stream = spark.readStream.schema(table.schema).parquet(source)
         tx = fixtures.tx_from_events(stream.withColumn("ts", F.col("ts").cast("timestamp")))
-        return st.write_windows_stream(
-            ops.window_aggregates(tx),
-            paths.windows,
-            paths.checkpoint("windows"),
-            st.RUN_TO_COMPLETION,
+        started.append(
+            st.write_windows_stream(
+                ops.window_aggregates(tx),
+                paths.windows,
+                paths.checkpoint("windows"),
+                st.RUN_TO_COMPLETION,
+            )
         )
+        return started[-1]
 
     _in_two_steps(spark, table, lambda part: part.write.mode("append").parquet(source), start)
+    return source, paths, sum(map(st.windows_dropped, started))
+
+
+def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second step arrives behind the watermark of the first.
+
+    Its rows count only in windows that were still open.
+    """
+    _, paths, _ = _late_windows(spark, sf_dir)
     return plain_windows(spark.read.parquet(paths.windows))
 
 
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that ``stream_late_data`` leaves out, by window, beside Spark's own count."""
+    source, paths, dropped = _late_windows(spark, sf_dir)
+
+    def read(files: list[str]) -> DataFrame:
+        rows = spark.read.parquet(*files or [source])
+        return rows.select(
+            "event_id", F.col("ts").cast("timestamp").alias("event_ts"), "_metadata.file_path"
+        ).withColumnRenamed("file_path", "file")
+
+    st.collect_late(spark, paths.checkpoint("windows"), read, paths.late)
+    return st.read_late(spark, paths.late).select(
+        "event_id",
+        plain_time("window.start", "window_start"),
+        plain_time("window.end", "window_end"),
+        plain_time("late_before"),
+        F.lit(dropped).cast("long").alias("windows_dropped"),
+    )
+
+
+def stream_open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that a query over all events still holds at its end."""
+    paths = _all_windows(spark, sf_dir)
+    return plain_windows(st.open_windows(spark, paths.checkpoint("windows")))
+
+
+def stream_current_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed and open windows: together those of a batch over the same rows."""
+    paths = _all_windows(spark, sf_dir)
+    return plain_windows(st.current_windows(spark, paths.windows, paths.checkpoint("windows")))
+
+
+def _all_windows(spark: SparkSession, sf_dir: str) -> st.StreamPaths:
+    paths = st.StreamPaths(scratch_dir(spark, "stream"))
+    tx = fixtures.tx_from_events(fixtures.events_stream(spark, sf_dir), dirty=True)
+    windows = ops.window_aggregates(tx)
+    check = paths.checkpoint("windows")
+    _finish(st.write_windows_stream(windows, paths.windows, check, st.RUN_TO_COMPLETION))
+    return paths
+
+
 def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs on one checkpoint write every row exactly once."""
     source, paths = scratch_dir(spark, "messages"), st.StreamPaths(scratch_dir(spark, "stream"))
@@ -203,7 +256,30 @@ def stream_followers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows_per_output(spark, paths)
 
 
-def _rows_per_output(spark: SparkSession, paths: st.StreamPaths) -> DataFrame:
+def stream_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same once more, with followers that take a backlog in bounded batches.
+
+    The stored files are in no order of time, so windows wait for all of them.
+    """
+    paths = st.StreamPaths(scratch_dir(spark, "stream"))
+    messages = _dirty_messages(spark, sf_dir)
+    _finish(*st.start_scoring(messages, stand_in_scorer, paths, st.RUN_TO_COMPLETION).values())
+    followers = st.start_followers(
+        spark, paths, st.RUN_TO_COMPLETION, max_bytes=100_000, watermark="90 days"
+    )
+    _finish(*followers.values())
+    windows = st.current_windows(spark, paths.windows, paths.checkpoint("windows"))
+    batches = [p["batchId"] for p in followers["windows"].recentProgress if p["numInputRows"]]
+    return _rows_per_output(spark, paths, windows).withColumn(
+        "in_several_batches", F.lit(len(batches) > 1)
+    )
+
+
+def _rows_per_output(
+    spark: SparkSession, paths: st.StreamPaths, windows: DataFrame | None = None
+) -> DataFrame:
+    windows = spark.read.parquet(paths.windows) if windows is None else windows
+
     def rows(output: str, df: DataFrame, label) -> DataFrame:
         return df.groupBy(label.alias("label")).agg(
             F.lit(output).alias("output"), F.count(F.lit(1)).alias("n_rows")
@@ -212,9 +288,7 @@ def _rows_per_output(spark: SparkSession, paths: st.StreamPaths) -> DataFrame:
     return (
         rows("scored", sources.read_scored(spark, paths.scored), F.col("Risk_Action"))
         .unionByName(rows("alerts", spark.read.parquet(paths.alerts), F.col("Risk_Action")))
-        .unionByName(
-            rows("windows", spark.read.parquet(paths.windows), F.col("total_txn").cast("string"))
-        )
+        .unionByName(rows("windows", windows, F.col("total_txn").cast("string")))
         .unionByName(rows("rejects", spark.read.parquet(paths.rejects), F.col(REASON)))
     )
 
@@ -230,11 +304,15 @@ QUERIES = {
     "sink_alerts": sink_alerts,
     "stream_sliding_window": stream_sliding_window,
     "stream_late_data": stream_late_data,
+    "stream_late_rows": stream_late_rows,
+    "stream_open_windows": stream_open_windows,
+    "stream_current_windows": stream_current_windows,
     "stream_restart": stream_restart,
     "stream_old_files": stream_old_files,
     "alert_keys": alert_keys,
     "stream_fanout": stream_fanout,
     "stream_followers": stream_followers,
+    "stream_backlog": stream_backlog,
 }
 
 
@@ -259,18 +337,36 @@ def _closed(windows: str, source: str) -> str:
 WHERE window_end <= (SELECT max(event_ts) FROM {source}) - INTERVAL 10 MINUTE"""
 
 
-_OUTPUTS = (
-    _scored_on_v5(dirty=True)
-    + f"""
+def _outputs(windows: str) -> str:
+    return (
+        _scored_on_v5(dirty=True)
+        + f"""
 SELECT 'scored' AS output, "Risk_Action" AS label, CAST(count(*) AS BIGINT) AS n_rows
 FROM valid GROUP BY 2
 UNION ALL
 SELECT 'alerts', "Risk_Action", count(*) FROM valid WHERE "Risk_Action" <> 'ALLOW' GROUP BY 2
 UNION ALL
 SELECT 'windows', CAST(total_txn AS VARCHAR), count(*)
-FROM ({_closed(sql.sliding("valid"), "valid")}) GROUP BY 2
+FROM ({windows}) GROUP BY 2
 UNION ALL
 SELECT 'rejects', reject_reason, count(*) FROM rejected GROUP BY 2"""
+    )
+
+
+_ALL_WINDOWS = sql.sliding("valid")
+_OUTPUTS = _outputs(_closed(_ALL_WINDOWS, "valid"))
+
+#: The watermark after the first step, and every row in each of its windows.
+_LATE = (
+    sql.tx()
+    + f""", typed AS (SELECT tx.*, event_type = '{SECOND_STEP}' AS late
+  FROM tx JOIN events USING (event_id)),
+first_step AS (SELECT date_trunc('milliseconds', max(event_ts)) - INTERVAL 10 MINUTE AS mark
+  FROM typed WHERE NOT late),
+placed AS (
+  SELECT *, time_bucket(INTERVAL 5 MINUTE, event_ts) - k * INTERVAL 5 MINUTE AS window_start
+  FROM typed, (VALUES (0), (1)) AS shift(k))
+"""
 )
 
 SQL = {
@@ -287,14 +383,8 @@ FROM tx WHERE "Risk_Action" <> 'ALLOW'""",
     "stream_sliding_window": sql.tx()
     + f""" SELECT *, coalesce(total_txn > {MAX_TOTAL} OR avg_amount > {MAX_AVERAGE}, false)
   AS is_anomaly FROM ({_closed(sql.sliding(), "tx")})""",
-    "stream_late_data": sql.tx()
-    + f""", typed AS (SELECT tx.*, event_type = '{SECOND_STEP}' AS late
-  FROM tx JOIN events USING (event_id)),
-first_step AS (SELECT max(event_ts) - INTERVAL 10 MINUTE AS mark FROM typed WHERE NOT late),
-placed AS (
-  SELECT *, time_bucket(INTERVAL 5 MINUTE, event_ts) - k * INTERVAL 5 MINUTE AS window_start
-  FROM typed, (VALUES (0), (1)) AS shift(k))
-SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end,
+    "stream_late_data": _LATE
+    + """SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end,
   CAST(count(*) AS BIGINT) AS total_txn,
   round(avg("Amount"), 9) AS avg_amount,
   CAST(count(*) FILTER ("Class" = 1) AS BIGINT) AS fraud_count
@@ -302,6 +392,17 @@ FROM placed, first_step
 WHERE (NOT late OR window_start + INTERVAL 10 MINUTE > mark)
   AND window_start + INTERVAL 20 MINUTE <= (SELECT max(event_ts) FROM tx)
 GROUP BY window_start""",
+    "stream_late_rows": _LATE
+    + """SELECT event_id, window_start, window_start + INTERVAL 10 MINUTE AS window_end,
+  mark AS late_before, CAST(dense_rank() OVER (ORDER BY window_start DESC)
+    + dense_rank() OVER (ORDER BY window_start) - 1 AS BIGINT) AS windows_dropped
+FROM placed, first_step WHERE late AND window_start + INTERVAL 10 MINUTE <= mark""",
+    "stream_open_windows": sql.tx(dirty=True)
+    + f""" SELECT * FROM ({sql.sliding()})
+WHERE window_end > (SELECT max(event_ts) FROM tx) - INTERVAL 10 MINUTE""",
+    "stream_current_windows": sql.tx(dirty=True)
+    + f""" SELECT *, window_end > (SELECT max(event_ts) FROM tx) - INTERVAL 10 MINUTE AS is_open
+FROM ({sql.sliding()})""",
     "stream_restart": _scored_on_v5(dirty=False) + f" SELECT {sql.SCORED_COLUMNS} FROM valid",
     "stream_old_files": sql.tx() + f" SELECT {sql.WIRE_COLUMNS} FROM tx",
     # Amounts are compared as text: the shortest decimal, as both engines write it here.
@@ -311,4 +412,5 @@ GROUP BY window_start""",
 FROM valid WHERE "Risk_Action" <> 'ALLOW' GROUP BY 1, 2, 3""",
     "stream_fanout": _OUTPUTS,
     "stream_followers": _OUTPUTS,
+    "stream_backlog": f"SELECT *, true AS in_several_batches FROM ({_outputs(_ALL_WINDOWS)})",
 }

@@ -1,7 +1,7 @@
 """Column functions."""
 
 from riskflow.functions.event_time import iso_event_time, parse_event_time
-from riskflow.functions.keys import alert_key, has_position, message_id, split_position
+from riskflow.functions.keys import alert_key, has_position, message_id, split_hash, split_position
 from riskflow.functions.rules import (
     fraud_probability,
     is_anomaly,
@@ -19,5 +19,6 @@ __all__ = [
     "message_id",
     "parse_event_time",
     "risk_action",
+    "split_hash",
     "split_position",
 ]

@@ -40,8 +40,12 @@ def alert_key(id_columns: Sequence[str], event_time: Column | str = "eventTime")
     )
 
 
+def split_hash(key: Column | str) -> Column:
+    """32 bits that depend on the integer key alone; null for a null key."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.pmod(key, F.lit(2**31)) * F.lit(_MULTIPLIER) % F.lit(_WORD)
+
+
 def split_position(key: Column | str) -> Column:
     """Position in [0, 1) that depends on the integer key alone."""
-    key = F.col(key) if isinstance(key, str) else key
-    hashed = F.pmod(key, F.lit(2**31)) * F.lit(_MULTIPLIER) % F.lit(_WORD)
-    return hashed / F.lit(float(_WORD))
+    return split_hash(key) / F.lit(float(_WORD))

@@ -70,12 +70,3 @@ def auc(
         rawPredictionCol=score, labelCol=label, metricName="areaUnderROC", numBins=bins
     )
     return evaluator.evaluate(scored)
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    """Write the model, replacing one that is already there."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)

@@ -8,8 +8,10 @@ from riskflow.operators.aggregate import (
     with_anomaly_flag,
 )
 from riskflow.operators.balance import class_balance, class_weights, with_class_weight
-from riskflow.operators.overview import overview
+from riskflow.operators.overview import overview, overview_of_days
+from riskflow.operators.partials import daily_from_partials, daily_partials, merge_partials
 from riskflow.operators.replay import replay_envelopes, replay_selection, replay_sequence
+from riskflow.operators.sample import stratified_sample
 from riskflow.operators.scored import (
     alert_cells,
     alerts,
@@ -36,12 +38,16 @@ __all__ = [
     "class_balance",
     "class_weights",
     "daily_aggregates",
+    "daily_from_partials",
+    "daily_partials",
     "drop_missing_event_ts",
     "hash_split",
     "in_train",
     "is_rejected",
     "label_faults",
+    "merge_partials",
     "overview",
+    "overview_of_days",
     "parse_wire",
     "preview",
     "replay_envelopes",
@@ -50,6 +56,7 @@ __all__ = [
     "scored_columns",
     "split_valid",
     "stamp_event_time",
+    "stratified_sample",
     "to_envelope",
     "window_aggregates",
     "window_anomalies",

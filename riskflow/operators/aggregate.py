@@ -66,6 +66,10 @@ def _overlap_evenly(length: str, slide: str) -> bool:
     return whole > step and whole % step == pd.Timedelta(0)
 
 
+#: What a window query keeps of a window, in the order of the aggregates below.
+WINDOW_STATE = "struct<total_txn:long, sum_amount:double, n_amount:long, fraud_count:long>"
+
+
 def _windows(tx: DataFrame, length: str, slide: str) -> DataFrame:
     return tx.groupBy(F.window("event_ts", length, slide)).agg(
         F.count(F.lit(1)).alias("total_txn"),

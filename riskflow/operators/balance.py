@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def class_weights(df: DataFrame, label: str = S.LABEL) -> DataFrame:
 
 
 def with_class_weight(
-    df: DataFrame, label: str = S.LABEL, weights: Row | None = None
+    df: DataFrame, label: str = S.LABEL, weights: Row | Mapping[str, float] | None = None
 ) -> DataFrame:
     """Add ``weight`` by label.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskflow import schema as S
+
 BROADCAST_ROWS = 200_000
 
 # Output of the overview, from the transaction side and from the daily side.
@@ -38,6 +40,20 @@ def overview(
     return joined.select(*TX_COLUMNS, *DAILY_COLUMNS)
 
 
+def overview_of_days(tx: DataFrame, daily: DataFrame, day: str = S.DAY) -> DataFrame:
+    """The transactions of just the days that ``daily`` still has, beside their totals.
+
+    ``tx`` lies in a folder per day, named by ``day``, and ``daily`` is filtered on its
+    totals. Which days pass is known only when the query runs; Spark then hands them to
+    the scan of the transactions, so the folders of all other days are not opened.
+    ``daily`` is broadcast: it holds a row per day, and is counted first.
+    """
+    chosen = daily.select(F.col("transaction_date").alias(day), *DAILY_COLUMNS)
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    return tx.join(chosen, day).select(*TX_COLUMNS, *DAILY_COLUMNS)
+
+
 def _salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int) -> DataFrame:
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     copies = copies.hint("shuffle_hash")  # no sort of the transactions

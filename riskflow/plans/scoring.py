@@ -28,6 +28,7 @@ def run_stream(
     trigger: dict | None = None,
     follow: bool = True,
     alert_store: AlertStore | None = None,
+    max_bytes: int | None = None,
     **window_options,
 ) -> dict[str, StreamingQuery]:
     """Start every output of the scoring job and return the running queries.
@@ -35,7 +36,7 @@ def run_stream(
     One query reads, parses, scores and stores every message; rejects, alerts and
     windows follow what it stores. Without ``follow`` each output is an independent
     query over the messages, which each does that work again. Alerts go to Parquet
-    unless there is an ``alert_store``.
+    unless there is an ``alert_store``. ``max_bytes`` bounds a follower's micro-batch.
     """
     if alert_store is not None and not has_position(messages.columns):
         raise ValueError(
@@ -50,4 +51,6 @@ def run_stream(
     started = start_scoring(messages, scorer, paths, trigger)
     if trigger and trigger.get("availableNow"):
         await_each(started.values())
-    return started | start_followers(spark, paths, trigger, alert_store, **window_options)
+    return started | start_followers(
+        spark, paths, trigger, alert_store, max_bytes, **window_options
+    )

@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow import schema as S
-from riskflow.ml import auc, save_model, score, train_model
-from riskflow.operators.balance import class_weights, with_class_weight
+from riskflow.ml import auc, auc_bounds, save_model, score, train_model
+from riskflow.operators.balance import class_balance, class_weights, with_class_weight
+from riskflow.operators.sample import stratified_sample
 from riskflow.operators.split import hash_split
 from riskflow.session import scratch_dir
 from riskflow.sources.history import read_history_csv
 
 
-#: Tasks that hold the training rows unless told otherwise.
+#: Tasks that hold the training rows unless told otherwise: so many at least, and more
+#: where each would hold more rows than that.
 TRAINING_TASKS = 16
+ROWS_PER_TASK = 250_000
 
 
 @dataclass(frozen=True)
@@ -30,6 +33,8 @@ class TrainingReport:
     fit_seconds: float
     test_auc: float
     model_path: str
+    training_rows: int
+    training_tasks: int
 
 
 def run_training(
@@ -39,8 +44,10 @@ def run_training(
     key: str | None = None,
     train: float = 0.8,
     weights_from_train: bool = False,
-    partitions: int = TRAINING_TASKS,
-    auc_bins: int = 0,
+    partitions: int | None = None,
+    auc_bins: int | None = None,
+    auc_within: float = 1e-6,
+    rows_per_class: int | None = None,
     **forest_params,
 ) -> TrainingReport:
     """Fit the weighted forest, measure it on the held-out part and save it.
@@ -50,13 +57,18 @@ def run_training(
     evaluation each scan the data. Weights come from the whole history unless
     ``weights_from_train``.
 
+    ``rows_per_class`` bounds the rows that the forest grows from: of each class those
+    with the least hashes of their key. Each class still weighs as much in the sample as
+    it does in all rows, so a class of which fewer rows were taken weighs more per row.
+
     Bagging draws at random per task. So that the same rows give the same forest
-    whatever files, cores or executors they come from, they are dealt to a fixed
-    number of tasks by ``key``, or by their content without one, and sorted there.
-    Raise ``partitions`` for a long history; another number is another forest.
+    whatever files, cores or executors they come from, they are dealt to a number of
+    tasks that follows from their own number, by ``key``, or by their content without
+    one, and sorted there. ``partitions`` sets that number; another one is another forest.
 
-    ``auc_bins`` bounds the thresholds the area is computed from; 0 takes every
-    distinct score, which sorts them all.
+    The area is the middle of two bounds that are ``auc_within`` apart, from histograms
+    of the scores. ``auc_bins`` asks for Spark's own instead, from so many thresholds; 0
+    takes every distinct score, which sorts them all.
     """
     if isinstance(history, str):
         history = read_history_csv(spark, history)
@@ -65,17 +77,44 @@ def run_training(
     history = spark.read.schema(history.schema).parquet(staged)
     train_rows, test_rows = hash_split(history, key, train)
     weights = class_weights(train_rows if weights_from_train else history).first()
+    row_weights, training_rows = weights.asDict(), None
+    if rows_per_class is not None:
+        before = class_balance(train_rows).first()
+        sampled = stratified_sample(train_rows, rows_per_class, key)
+        # Read by every pass of the forest: a bounded number of rows.
+        path = scratch_dir(spark, "training-sample")
+        sampled.write.parquet(path)
+        train_rows = spark.read.schema(history.schema).parquet(path)
+        taken = class_balance(train_rows).first()
+        training_rows = taken["total_rows"]
+        for kind in ("fraud", "non_fraud"):
+            if taken[f"{kind}_rows"]:
+                share = before[f"{kind}_rows"] / taken[f"{kind}_rows"]
+                row_weights[f"weight_{kind}"] *= share
+    if training_rows is None:
+        training_rows = train_rows.count()
+    if partitions is None:
+        partitions = max(TRAINING_TASKS, -(-training_rows // ROWS_PER_TASK))
 
     started = time.monotonic()
-    weighted = with_class_weight(train_rows, weights=weights)
+    weighted = with_class_weight(train_rows, weights=row_weights)
     content = F.xxhash64(*[F.col(c) for c in train_rows.columns])
     place = [F.col(key), content] if key is not None else [content]
     weighted = weighted.repartition(partitions, place[0]).sortWithinPartitions(*place)
     model = train_model(weighted.select(*S.FEATURES, S.LABEL, "weight"), **forest_params)
     fit_seconds = time.monotonic() - started
 
-    test_auc = auc(score(model, test_rows), bins=auc_bins)
+    tested = score(model, test_rows)
+    if auc_bins is None:
+        test_auc = auc_bounds(tested, within=auc_within).middle
+    else:
+        test_auc = auc(tested, bins=auc_bins)
     save_model(model, model_path)
     return TrainingReport(
-        **weights.asDict(), fit_seconds=fit_seconds, test_auc=test_auc, model_path=model_path
+        **weights.asDict(),
+        fit_seconds=fit_seconds,
+        test_auc=test_auc,
+        model_path=model_path,
+        training_rows=training_rows,
+        training_tasks=partitions,
     )

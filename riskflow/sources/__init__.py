@@ -1,6 +1,7 @@
 """Sources: CSV history, message streams, stored transactions, catalog tables."""
 
 from riskflow.sources.catalog import (
+    change_partitions,
     create_overview,
     drop_table,
     is_streaming_sink,
@@ -19,12 +20,14 @@ from riskflow.sources.history import read_history_csv
 from riskflow.sources.scored import (
     read_daily,
     read_scored,
+    read_scored_days,
     read_sink_stream,
     read_stored_stream,
     read_table,
 )
 
 __all__ = [
+    "change_partitions",
     "create_overview",
     "drop_table",
     "is_streaming_sink",
@@ -36,6 +39,7 @@ __all__ = [
     "read_history_csv",
     "read_kafka",
     "read_scored",
+    "read_scored_days",
     "read_sink_stream",
     "read_stored_stream",
     "read_table",

@@ -7,6 +7,8 @@ only path reads honour the sink's commit log.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -80,6 +82,40 @@ def repair_partitions(spark: SparkSession, name: str) -> None:
         spark.sql(f"REFRESH TABLE {_quoted(name)}")
 
 
+#: Partitions in one statement: the catalog is asked once for all of them.
+_AT_ONCE = 500
+
+
+def change_partitions(
+    spark: SparkSession,
+    name: str,
+    partition: str,
+    path: str,
+    present: Iterable[object] = (),
+    gone: Iterable[object] = (),
+) -> None:
+    """Add and drop just the partitions that a write touched.
+
+    The folders are known to whoever wrote them, so nothing is listed, however many
+    partitions the table has. A view has no partitions; ``repair_partitions`` remains
+    for folders that somebody else changed.
+    """
+    if _is_view(spark, name):
+        return
+
+    def place(value: object) -> str:
+        return f"PARTITION ({_quoted(partition)} = '{value}')"
+
+    added = [f"{place(v)} LOCATION '{path}/{partition}={v}'" for v in sorted(set(present))]
+    dropped = [place(v) for v in sorted(set(gone))]
+    for change, places, between in (("ADD IF NOT EXISTS", added, " "), ("DROP IF EXISTS", dropped, ", ")):
+        for at in range(0, len(places), _AT_ONCE):
+            some = between.join(places[at : at + _AT_ONCE])
+            spark.sql(f"ALTER TABLE {_quoted(name)} {change} {some}")
+    # What Spark remembers of the files of a partition that was written again.
+    spark.sql(f"REFRESH TABLE {_quoted(name)}")
+
+
 def partition_counts(spark: SparkSession, name: str, partition: str) -> DataFrame:
     return spark.table(name).groupBy(partition).count().withColumnRenamed("count", "n_rows")
 

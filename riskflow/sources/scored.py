@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,26 @@ def read_scored(spark: SparkSession, path: str, since: dt.date | None = None) ->
     rejected messages are left out. ``since`` keeps that UTC day and later ones:
     where rows lie in a folder per day, only those folders are listed and opened.
     """
+    return scored_rows(spark, path, since)
+
+
+def scored_rows(
+    spark: SparkSession,
+    path: str,
+    since: dt.date | None = None,
+    files: Sequence[str] | None = None,
+) -> DataFrame:
+    """The same of only some of the files below ``path``."""
     folders = []
     if any(name.startswith(f"{S.OUTCOME}=") for name in child_names(spark, path)):
         folders.append(T.StructField(S.OUTCOME, T.StringType()))
     if since is not None:
         folders.append(T.StructField(S.DAY, T.DateType()))
-    stored = spark.read.schema(T.StructType([*S.SCORED.fields, *folders])).parquet(path)
+    reader = spark.read.schema(T.StructType([*S.SCORED.fields, *folders]))
+    if files is None:
+        stored = reader.parquet(path)
+    else:
+        stored = reader.option("basePath", path).parquet(*files)
     if S.OUTCOME in stored.columns:
         stored = stored.filter(F.col(S.OUTCOME) == S.IS_SCORED)
     if since is not None:
@@ -36,24 +51,48 @@ def read_scored(spark: SparkSession, path: str, since: dt.date | None = None) ->
     return stored.select(*S.SCORED.names)
 
 
+def _file_stream(
+    spark: SparkSession,
+    schema: T.StructType,
+    path: str,
+    max_file_age: str = ANY_AGE,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    reader = spark.readStream.schema(schema).option("maxFileAge", max_file_age)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.parquet(path)
+
+
+def read_scored_days(spark: SparkSession, path: str) -> DataFrame:
+    """Scored transactions from a folder per day, with the day as a column that prunes folders."""
+    folders = T.StructType([*S.SCORED.fields, T.StructField(S.DAY, T.DateType())])
+    return spark.read.schema(folders).parquet(path)
+
+
 def read_stored_stream(
-    spark: SparkSession, path: str, max_file_age: str = ANY_AGE
+    spark: SparkSession, path: str, max_file_age: str = ANY_AGE, **bounds
 ) -> DataFrame:
     """All that the scoring query stored, as a stream, for jobs that follow it.
 
     ``outcome`` tells scored rows from rejected messages; a filter on it, or on the
-    tier, opens only the folders it names.
+    tier, opens only the folders it names. ``max_files`` or ``max_bytes`` bound what
+    one micro-batch takes of a backlog.
     """
-    reader = spark.readStream.schema(S.STORED).option("maxFileAge", max_file_age)
-    return reader.parquet(path)
+    return _file_stream(spark, S.STORED, path, max_file_age, **bounds)
 
 
-def read_sink_stream(spark: SparkSession, path: str) -> DataFrame:
+def read_sink_stream(
+    spark: SparkSession, path: str, max_files: int | None = None
+) -> DataFrame:
     """The scored rows of a scored sink as a stream, with or without rejected messages beside."""
     if any(name.startswith(f"{S.OUTCOME}=") for name in child_names(spark, path)):
-        stored = read_stored_stream(spark, path).filter(F.col(S.OUTCOME) == S.IS_SCORED)
-        return stored.select(*S.SCORED.names)
-    return spark.readStream.schema(S.SCORED).option("maxFileAge", ANY_AGE).parquet(path)
+        stored = read_stored_stream(spark, path, max_files=max_files)
+        return stored.filter(F.col(S.OUTCOME) == S.IS_SCORED).select(*S.SCORED.names)
+    return _file_stream(spark, S.SCORED, path, max_files=max_files)
 
 
 def read_daily(spark: SparkSession, path: str) -> DataFrame:

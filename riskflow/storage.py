@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,10 +31,18 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
 
 
-def highest_number(spark: SparkSession, path: str, pattern: str) -> int | None:
-    """The largest number that ``pattern``'s first group finds in the child names."""
+def numbers(spark: SparkSession, path: str, pattern: str) -> list[int]:
+    """The numbers that ``pattern``'s first group finds in the child names, ascending."""
     found = (re.fullmatch(pattern, name) for name in child_names(spark, path))
-    return max((int(match.group(1)) for match in found if match), default=None)
+    return sorted(int(match.group(1)) for match in found if match)
+
+
+def highest_number(
+    spark: SparkSession, path: str, pattern: str, below: int | None = None
+) -> int | None:
+    """The largest of those numbers, or the largest one that is less than ``below``."""
+    found = [n for n in numbers(spark, path, pattern) if below is None or n < below]
+    return max(found, default=None)
 
 
 def read_small(spark: SparkSession, path: str) -> str | None:
@@ -57,6 +66,20 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def replace_small(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in the place of another in one rename, so that readers see one of them."""
+    draft = f"{path}.{uuid.uuid4().hex}"
+    write_small(spark, draft, text)
+    fs, target = _file_system(spark, path)
+    _, source = _file_system(spark, draft)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    # Only this interface replaces a file; FileSystem.rename may refuse to.
+    files = hadoop.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf)
+    files.rename(fs.makeQualified(source), fs.makeQualified(target), overwrite)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _file_system(spark, path)
     fs.delete(hadoop_path, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,10 @@ class StreamPaths:
     def windows(self) -> str:
         return f"{self.root}/aggregates"
 
+    @property
+    def late(self) -> str:
+        return f"{self.root}/late"
+
     @property
     def rejects(self) -> str:
         return f"{self.root}/rejects"
@@ -137,9 +142,9 @@ def start_scoring(
 ) -> dict[str, StreamingQuery]:
     """Start the one query that reads, parses and scores the messages and stores them all."""
     stored = score_labelled(label_messages(messages), scorer)
-    return {
-        "scored": write_stored_stream(stored, paths.scored, paths.checkpoint("scored"), trigger)
-    }
+    with pool(messages.sparkSession, "scored"):
+        query = write_stored_stream(stored, paths.scored, paths.checkpoint("scored"), trigger)
+    return {"scored": query}
 
 
 def start_followers(
@@ -147,6 +152,7 @@ def start_followers(
     paths: StreamPaths,
     trigger: dict | None = None,
     alert_store: AlertStore | None = None,
+    max_bytes: int | None = None,
     **window_options,
 ) -> dict[str, StreamingQuery]:
     """Start rejects, alerts and windows on top of what the scoring query stores.
@@ -155,20 +161,21 @@ def start_followers(
     once, rejects and alerts open only the folders of their outcome and tiers,
     and windows read three columns. The outputs are those of ``start_all``,
     one trigger later. With a run-to-completion trigger, wait for the scoring
-    query first.
+    query first. ``max_bytes`` bounds a micro-batch, so that a backlog
+    after an outage comes in several; a file is never split.
     """
     ensure_folder(spark, paths.scored)  # a stream cannot be read from a missing one
-    stored = read_stored_stream(spark, paths.scored)
+    stored = read_stored_stream(spark, paths.scored, max_bytes=max_bytes)
     scored = stored.filter(F.col(S.OUTCOME) == S.IS_SCORED)
     rejected = stored.filter(F.col(S.OUTCOME) == S.IS_REJECTED)
-    return {
-        "rejects": write_parquet_stream(
+    with pool(spark, "rejects"):
+        rejects = write_parquet_stream(
             rejected.select("message_id", "payload", REASON),
             paths.rejects,
             paths.checkpoint("rejects"),
             trigger,
         )
-    } | _start_alerts_and_windows(scored, scored, paths, trigger, alert_store, **window_options)
+    return {"rejects": rejects} | _start_alerts_and_windows(scored, scored, paths, trigger, alert_store, **window_options)
 
 
 def _start_alerts_and_windows(
@@ -181,17 +188,35 @@ def _start_alerts_and_windows(
 ) -> dict[str, StreamingQuery]:
     keyed = with_alert_key(alerts(scored, keep=["message_id"]), ["message_id"])
     checkpoint = paths.checkpoint("alerts")
-    return {
-        "alerts": write_alerts_stream(keyed, paths.alerts, checkpoint, trigger)
-        if alert_store is None
-        else store_alerts(keyed, alert_store, checkpoint, trigger),
-        "windows": write_windows_stream(
+    with pool(scored.sparkSession, "alerts"):
+        if alert_store is None:
+            found = write_alerts_stream(keyed, paths.alerts, checkpoint, trigger)
+        else:
+            found = store_alerts(keyed, alert_store, checkpoint, trigger)
+    with pool(scored.sparkSession, "windows"):
+        windows = write_windows_stream(
             window_anomalies(tx, **window_options),
             paths.windows,
             paths.checkpoint("windows"),
             trigger,
-        ),
-    }
+        )
+    return {"alerts": found, "windows": windows}
+
+
+@contextmanager
+def pool(spark: SparkSession, name: str):
+    """Queries started inside run their jobs in a scheduler pool of that name.
+
+    With ``spark.scheduler.mode=FAIR`` the pools share the executors evenly, so a long
+    batch of one output does not hold up the others; otherwise the name has no effect.
+    """
+    context, key = spark.sparkContext, "spark.scheduler.pool"
+    before = context.getLocalProperty(key)
+    context.setLocalProperty(key, f"riskflow-{name}")
+    try:
+        yield
+    finally:
+        context.setLocalProperty(key, before)
 
 
 def await_each(queries: Iterable[StreamingQuery]) -> None:

@@ -14,9 +14,6 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from riskflow import schema as S
 from riskflow.operators.scored import alert_cells, scored_columns
-from riskflow.sinks.batch import write_scored
-from riskflow.sources.scored import read_sink_stream
-from riskflow.storage import files_below, move_file, remove_folder
 from riskflow.streaming.guards import BATCH_FOLDERS, FILE_SINK_LOG, claim_sink, guard_sink
 
 EVERY_INTERVAL = {"processingTime": S.TRIGGER_INTERVAL}
@@ -24,9 +21,16 @@ RUN_TO_COMPLETION = {"availableNow": True}
 
 
 def _append_files(
-    df: DataFrame, writer: DataStreamWriter, path: str, checkpoint: str, trigger: dict | None
+    df: DataFrame,
+    writer: DataStreamWriter,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None,
+    retention: str | None,
 ) -> StreamingQuery:
     guard_sink(df.sparkSession, path, checkpoint, FILE_SINK_LOG)
+    if retention is not None:
+        writer = writer.option("retention", retention)
     query = (
         writer.format("parquet")
         .option("path", path)
@@ -39,10 +43,20 @@ def _append_files(
 
 
 def write_parquet_stream(
-    df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    retention: str | None = None,
 ) -> StreamingQuery:
-    """Rows as they are, each written once."""
-    return _append_files(df, df.writeStream, path, checkpoint, trigger)
+    """Rows as they are, each written once.
+
+    The sink's commit log names every file for ever and is rewritten now and then. With
+    a ``retention``, such as ``"14d"``, files that are older fall out of the log, and
+    whoever reads the sink no longer sees them: publish them before (see ``handover``),
+    and let every follower be quicker than that.
+    """
+    return _append_files(df, df.writeStream, path, checkpoint, trigger, retention)
 
 
 def write_scored_stream(
@@ -51,28 +65,37 @@ def write_scored_stream(
     checkpoint: str,
     trigger: dict | None = None,
     keep: Sequence[str] = (),
+    retention: str | None = None,
 ) -> StreamingQuery:
     """Scored transactions, one folder per tier; ``keep`` names further columns."""
     rows = scored.select(*scored_columns(), *keep)
     writer = rows.writeStream.partitionBy("Risk_Action")
-    return _append_files(rows, writer, path, checkpoint, trigger)
+    return _append_files(rows, writer, path, checkpoint, trigger, retention)
 
 
 def write_stored_stream(
-    stored: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    stored: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    retention: str | None = None,
 ) -> StreamingQuery:
     """Every message, scored or rejected, in a folder per outcome and tier."""
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in S.STORED.fields]
     rows = stored.select(*columns)
     writer = rows.writeStream.partitionBy(S.OUTCOME, "Risk_Action")
-    return _append_files(rows, writer, path, checkpoint, trigger)
+    return _append_files(rows, writer, path, checkpoint, trigger, retention)
 
 
 def write_windows_stream(
-    windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    windows: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    retention: str | None = None,
 ) -> StreamingQuery:
     """Closed windows, each written once, when the watermark has passed its end."""
-    return write_parquet_stream(windows, path, checkpoint, trigger)
+    return write_parquet_stream(windows, path, checkpoint, trigger, retention)
 
 
 def write_alerts_stream(
@@ -118,34 +141,3 @@ def store_alerts(
         .trigger(**(trigger or EVERY_INTERVAL))
         .start()
     )
-
-
-def publish_scored(
-    spark: SparkSession, sink: str, table: str, checkpoint: str, by_day: bool = False
-) -> StreamingQuery:
-    """Add to a table folder what the scored sink has committed since the last time.
-
-    The sink's commit log is followed as a stream, so no row is moved twice. A run
-    gathers the new rows into few files per folder, beside the checkpoint, and moves
-    them under names made of the batch and the file's number: a run that failed on the
-    way and is repeated replaces what it had moved. Only the new files are touched.
-    """
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        staging = f"{checkpoint}-staging"
-        write_scored(batch, staging, by_day=by_day, compact=True)
-        numbers: dict[str, int] = {}
-        for file in sorted(files_below(spark, staging)):
-            folder = file.rpartition("/")[0]
-            numbers[folder] = numbers.get(folder, -1) + 1
-            name = f"batch-{batch_id:06d}-{numbers[folder]:05d}.parquet"
-            move_file(spark, f"{staging}/{file}", f"{table}/{folder}/{name}")
-        remove_folder(spark, staging)
-
-    stored = read_sink_stream(spark, sink)
-    return (
-        stored.writeStream.foreachBatch(add)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**RUN_TO_COMPLETION)
-        .start()
-    )

@@ -1,0 +1,218 @@
+import json
+import time
+from contextlib import contextmanager
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import transactions, wire_rows
+from riskflow import streaming as st
+from riskflow.operators import window_aggregates, with_event_ts, with_risk_action
+from riskflow.functions import parse_event_time
+from riskflow.sinks import write_scored
+from riskflow.sources import read_scored
+from riskflow.storage import files_below
+
+
+@contextmanager
+def _setting(spark, name, value):
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _compacting(spark, batches):
+    return _setting(spark, "spark.sql.streaming.fileSink.log.compactInterval", batches)
+
+
+def _age_of(folder):
+    """A retention that all files below the folder have just passed, and later ones have not."""
+    time.sleep(3)
+    newest = max(path.stat().st_mtime for path in Path(folder).rglob("*.parquet"))
+    return f"{int((time.time() - newest) * 1000)}ms"
+
+
+class Scored:
+    """A scored sink that is fed one file at a time."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder, self.retention, self.n = spark, folder, None, 0
+
+    def forget(self):
+        """The next whole list of the log leaves out every file that is there now."""
+        self.retention = _age_of(self.folder("sink"))
+
+    def more(self, rows=10):
+        first = self.n
+        wire = wire_rows(self.spark, rows, Time=lambda i: float(first + i))
+        scored = with_event_ts(wire).withColumn("Fraud_Probability", F.col("V1") % 10 / 10)
+        write_scored(with_risk_action(scored), self.folder("in"), mode="append")
+        self.n += rows
+        stream = self.spark.readStream.schema(self.spark.read.parquet(self.folder("in")).schema)
+        st.write_scored_stream(
+            stream.parquet(self.folder("in")),
+            self.folder("sink"),
+            self.folder("check"),
+            st.RUN_TO_COMPLETION,
+            retention=self.retention,
+        ).awaitTermination()
+        self.retention = None
+
+    def publish(self, by_day=False):
+        st.publish_scored(
+            self.spark, self.folder("sink"), self.folder("table"), self.folder("published"), by_day
+        ).awaitTermination()
+
+    def both(self):
+        rows = st.read_scored_of_both(
+            self.spark, self.folder("sink"), self.folder("table"), self.folder("published")
+        )
+        return sorted(r["Time"] for r in rows.collect())
+
+    def whole(self):
+        return [float(i) for i in range(self.n)]
+
+    def log(self):
+        """Files that the sink's log names, by reading its newest whole list and what came after."""
+        return self.spark.read.parquet(self.folder("sink")).inputFiles()
+
+
+@pytest.fixture
+def scored(spark, folder):
+    return Scored(spark, folder)
+
+
+def test_both_are_read_as_one_before_between_and_after(spark, scored):
+    assert scored.both() == []
+    with _compacting(spark, 2):
+        for _ in range(2):
+            scored.more()
+            assert scored.both() == scored.whole()
+            scored.more()
+            scored.publish()
+            assert scored.both() == scored.whole()
+        scored.more()
+        assert scored.both() == scored.whole()
+        scored.publish()
+        scored.forget()
+        scored.more()
+        assert scored.both() == scored.whole()
+        scored.more()
+    named = read_scored(spark, scored.folder("sink"))
+    assert named.count() == 20 < scored.n
+    assert scored.both() == scored.whole()
+
+
+def test_the_log_stays_flat_over_thirty_batches(spark, scored):
+    """Its lists hold what came within the retention, not what ever came."""
+    largest = []
+    with _compacting(spark, 3):
+        for _ in range(30):
+            scored.retention = "4s"
+            scored.more(2)
+            scored.publish()
+            largest.append(len(scored.log()))
+        log = Path(scored.folder("sink"), "_spark_metadata")
+        lists = [p for p in log.iterdir() if p.name.endswith(".compact")]
+        newest = max(lists, key=lambda p: int(p.name.split(".")[0]))
+    assert max(largest[15:]) <= 2 * max(largest[:15])
+    assert len(newest.read_text().splitlines()) - 1 <= max(largest) < len(files_below(spark, scored.folder("sink"))) / 2
+    assert scored.both() == scored.whole()
+
+
+def test_without_retention_the_log_keeps_all(spark, folder):
+    scored = Scored(spark, folder)
+    with _compacting(spark, 2):
+        for _ in range(4):
+            scored.more(2)
+            time.sleep(0.4)
+    assert read_scored(spark, folder("sink")).count() == 8
+
+
+def test_rows_of_a_publishing_that_broke_off_count_once(spark, scored, folder):
+    scored.more()
+    scored.publish()
+    scored.more()
+    scored.publish()
+    for file in ("1", ".1.crc"):
+        Path(folder("published"), "commits", file).unlink()
+    assert scored.both() == scored.whole()
+    scored.publish()
+    assert scored.both() == scored.whole()
+
+
+def test_a_retry_that_makes_fewer_files_leaves_none_of_the_first_try(spark, scored, folder):
+    scored.more(20)
+    scored.publish()
+    table = Path(folder("table"))
+    there = [p for p in table.rglob("batch-000000-*.parquet")]
+    for path in there:
+        for n in (1, 2):
+            Path(path.parent, f"batch-000000-{n:05d}.parquet").write_bytes(path.read_bytes())
+    assert read_scored(spark, folder("table")).count() == 3 * 20
+    for file in ("0", ".0.crc"):
+        Path(folder("published"), "commits", file).unlink()
+    scored.publish()
+    assert read_scored(spark, folder("table")).count() == 20
+
+
+def test_forgotten_files_are_deleted_once_published(spark, scored, folder):
+    with _compacting(spark, 3):
+        scored.more()
+        scored.more()
+        scored.publish()
+        assert st.clean_sink(spark, folder("sink"), folder("published")) == 0
+        scored.forget()
+        scored.more()
+        scored.more()
+    before = len(files_below(spark, folder("sink")))
+    gone = st.clean_sink(spark, folder("sink"), folder("published"))
+    assert gone > 0 and len(files_below(spark, folder("sink"))) == before - gone
+    assert len(files_below(spark, folder("sink"))) == len(scored.log())
+    assert scored.both() == scored.whole()
+    assert st.clean_sink(spark, folder("sink"), folder("published")) == 0
+
+
+def test_windows_are_handed_over_too(spark, folder):
+    rows = "eventTime string, Amount double, Class int"
+
+    def more(hour, retention=None):
+        transactions(spark, [(f"2025-01-01T{hour:02d}:01:00Z", 1.0, 0)]).select(
+            "eventTime", "Amount", "Class"
+        ).coalesce(1).write.mode("append").parquet(folder("in"))
+        stream = spark.readStream.schema(rows).parquet(folder("in"))
+        windows = window_aggregates(stream.withColumn("event_ts", parse_event_time("eventTime")))
+        st.write_windows_stream(
+            windows, folder("sink"), folder("check"), st.RUN_TO_COMPLETION, retention=retention
+        ).awaitTermination()
+
+    def both():
+        read = st.read_windows_of_both(spark, folder("sink"), folder("table"), folder("published"))
+        return sorted(r["window"]["start"].hour for r in read.collect())
+
+    with _compacting(spark, 2):
+        for hour in (1, 2, 3):
+            more(hour)
+        expected = both()
+        assert expected == [0, 1, 1, 2]
+        st.publish_windows(spark, folder("sink"), folder("table"), folder("published")).awaitTermination()
+        assert both() == expected
+        retention = _age_of(folder("sink"))
+        for hour in (4, 5, 6):
+            more(hour, retention if hour == 4 else None)
+    assert both() == [0, 1, 1, 2, 2, 3, 3, 4, 4, 5]
+    named = spark.read.parquet(folder("sink")).count()
+    assert named < 10
+
+
+def test_published_names_come_from_whole_batches_only(spark, scored, folder):
+    scored.more()
+    scored.publish()
+    scored.more()
+    assert len(st.unpublished_files(spark, folder("sink"), folder("published"))) == len(scored.log()) // 2
+    offset = json.loads(Path(folder("published"), "offsets", "0").read_text().splitlines()[2])
+    assert offset == {"logOffset": 0}

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import re
+from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from helpers import formatted_plan, physical_plan, wire_rows
 from riskflow import fixtures, ml
+from riskflow import schema as S
 from riskflow.operators import (
     alerts,
     daily_aggregates,
+    overview_of_days,
     parse_wire,
     preview,
     replay_selection,
@@ -26,7 +29,8 @@ from riskflow.operators import (
 from riskflow.operators.wire import CORRUPT
 from riskflow.plans import setup_catalog
 from riskflow.sinks import write_daily, write_scored
-from riskflow.sources import read_scored
+from riskflow.sources import read_daily, read_scored, read_scored_days
+from riskflow.storage import files_below
 from riskflow.streaming.fanout import decode_messages
 
 SMALL = "/root/testdata/sf0.001"
@@ -142,3 +146,22 @@ def test_alert_followers_read_only_what_an_alert_holds(spark, scored_path):
 def test_sequence_offsets_are_the_only_broadcast(spark):
     plan = physical_plan(with_sequence(spark.range(1000), ["id"]))
     assert plan.count("BroadcastHashJoin") == 1 and "CartesianProduct" not in plan
+
+
+def test_days_chosen_by_their_totals_prune_the_transactions(spark, folder):
+    """The days that pass the filter reach the scan while the query runs."""
+    tx = with_event_ts(
+        wire_rows(spark, 40, eventTime=lambda i: f"2025-01-{1 + i % 8:02d}T00:00:00Z")
+    ).withColumn("Fraud_Probability", F.lit(0.1))
+    write_scored(with_risk_action(tx), folder("scored"), by_day=True)
+    write_daily(daily_aggregates(read_scored(spark, folder("scored"))), folder("daily"))
+    bad = read_daily(spark, folder("daily")).filter(F.col("max_amount") > 38)
+    joined = overview_of_days(read_scored_days(spark, folder("scored")), bad)
+    assert "dynamicpruning" in physical_plan(joined)
+    for file in files_below(spark, folder("scored")):
+        if f"{S.DAY}=2025-01-08" not in file:
+            path = Path(folder("scored"), file)
+            path.write_bytes(b"never opened")
+            path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+    rows = joined.collect()
+    assert len(rows) == 5 and {r["total_transactions"] for r in rows} == {5}
