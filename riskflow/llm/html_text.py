@@ -9,7 +9,8 @@ to each other, and neighbours under one parent, are tied by edges that are stron
 nearer they stand in the document tree. The minimum cut separates content from boilerplate,
 so a short line inside the article stays with it, and one odd paragraph in a menu does not.
 
-Scripts, styles, forms, hidden elements and the head are never blocks. Character
+Scripts, styles, forms, frames, templates and the head are never blocks; what a page marks as hidden,
+or shows without scripts only, is text like any other. Character
 references are decoded, white space inside a block becomes one space, a line break
 too; blocks are joined in page order by two line breaks.
 
@@ -47,8 +48,8 @@ UNFITTED = (-1.0, 1.0, -4.0, 1.0, 0.5, 1.5, -1.5, -3.0, 0.5)
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 DROPPED = frozenset(
-    """button datalist form head iframe noscript optgroup option script select style svg
-    template textarea title""".split()
+    """button datalist form head iframe optgroup option script select style template textarea
+    title""".split()
 )
 BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt
@@ -97,11 +98,7 @@ class _Element:
         names = set()
         for name, value in attrs:
             value = (value or "").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                self.dropped = True
-            elif name == "style" and "display:none" in value.replace(" ", ""):
-                self.dropped = True
-            elif name == "role":
+            if name == "role":
                 sign = sign or (value in CONTENT_ROLES) - (value in OTHER_ROLES)
             elif name in ("class", "id") and tag not in ("html", "body"):
                 names.update(_NAME.findall(value))
@@ -126,6 +123,9 @@ class _Blocks(HTMLParser):
         self.parts: list[str] = []
         self.linked = 0
         self.links = 0
+        # Open elements by tag, and the open blocks, each the innermost last.
+        self.open: dict[str, list[_Element]] = {}
+        self.open_blocks: list[_Element] = []
 
     def end_block(self):
         text = " ".join("".join(self.parts).split())
@@ -137,18 +137,26 @@ class _Blocks(HTMLParser):
         """Closes everything that is open up to and with ``element``."""
         while True:
             closed, self.top = self.top, self.top.parent
-            if closed.tag == "a":
+            self.open[closed.tag].pop()
+            if closed.tag in BLOCK:
+                self.open_blocks.pop()
+            elif closed.tag == "a":
                 self.links -= 1
             if closed is element:
                 return
 
+    def innermost(self, tags):
+        if tags is BLOCK:
+            return self.open_blocks[-1] if self.open_blocks else None
+        found = [self.open[tag][-1] for tag in tags if self.open.get(tag)]
+        return max(found, key=lambda element: element.depth, default=None)
+
     def find(self, tags, bounds):
-        element = self.top
-        while element.parent is not None and element.tag not in bounds:
-            if element.tag in tags:
-                return element
-            element = element.parent
-        return None
+        """The innermost open element of these tags that stands inside no bound further in."""
+        element, bound = self.innermost(tags), self.innermost(bounds)
+        if element is None or bound is not None and bound.depth > element.depth:
+            return None
+        return element
 
     def handle_starttag(self, tag, attrs):
         if self.top.tag == "head" and tag not in _HEAD:
@@ -172,6 +180,9 @@ class _Blocks(HTMLParser):
                 self.leave(open_)
         self.links += tag == "a"
         self.top = _Element(tag, self.top, attrs)
+        self.open.setdefault(tag, []).append(self.top)
+        if tag in BLOCK:
+            self.open_blocks.append(self.top)
 
     def handle_startendtag(self, tag, attrs):
         # Only void elements end themselves in HTML.

@@ -1,5 +1,8 @@
+import html
 import itertools
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -145,3 +148,36 @@ def test_query_on_the_table(spark):
         inside = source[r["page_id"]].split("<article>")[-1].split("</article>")[0]
         article = html_text.main_text(f"<article>{inside}", WEIGHTS)
         assert r["text"] == article and r["n_chars"] == len(article)
+
+
+def plain_article(page):
+    """The article of a page of the test tables, by plain replacement, without a tree."""
+    inside = page.split("<article>")[-1].split("</article>")[0]
+    inside = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inside, flags=re.S)
+    inside = re.sub(r"\s+", " ", inside.replace("<br>", " "))
+    inside = re.sub(r"</?(?:p|div|h[1-6]|ul|ol|li|table|tr|td|th|blockquote|pre|section)\b[^>]*>", "\0", inside)
+    lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", line)).split()) for line in inside.split("\0"))
+    return "\n\n".join(filter(None, lines))
+
+
+def test_the_table_by_other_means(spark):
+    rows = queries.QUERIES["op4_html_text"](spark, "/root/testdata/sf0.01").collect()
+    pages_ = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    expected = {r["page_id"]: plain_article(r["html"]) for r in pages_}
+    assert {r["page_id"]: r["text"] for r in rows} == expected
+
+
+def test_only_what_the_contract_lists_is_dropped():
+    page = """<article><p>One</p><p aria-hidden="true">Two is visible</p><p hidden>Three</p>
+    <p style="display: none">Four</p><noscript><p>Five</p></noscript>
+    <svg><text>Six</text></svg><p>Seven</p></article>"""
+    text = html_text.main_text(page, WEIGHTS)
+    assert text.split("\n\n") == ["One", "Two is visible", "Three", "Four", "Five", "Six", "Seven"]
+
+
+@pytest.mark.parametrize("inner", ["<div>", "<p><b>", "<a><span>", "<ul><li>", "<table><tr><td>"])
+def test_deep_pages_take_seconds(inner):
+    begin = time.monotonic()
+    page = "<article>" + inner * 50_000 + "deep words" + "</i></p>" * 50_000 + "</article>"
+    assert html_text.main_text(page, WEIGHTS) == "deep words"
+    assert time.monotonic() - begin < 20
