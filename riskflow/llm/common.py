@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.session import scratch_dir
+from riskflow.storage import remove_folder
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,5 +51,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(table: DataFrame) -> None:
+    """Deletes the folder of a ``stored`` table that nothing reads any more."""
+    folders = {name.rpartition("/")[0] for name in table.inputFiles()}
+    for folder in folders:
+        remove_folder(table.sparkSession, folder)
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import stored
+from riskflow.llm.common import remove, stored
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def roots(edges: DataFrame) -> DataFrame:
 
     Larger neighbours are linked to the smallest one, then smaller ones are, until
     nothing changes; the number of rounds grows with the logarithm of the longest
-    path. Every round starts from a written table.
+    path. Every round starts from a written table, and the one before it is removed.
     """
 
     def state(df):
@@ -32,9 +32,9 @@ def roots(edges: DataFrame) -> DataFrame:
     edges = edges.filter("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    edges, before = stored(edges.distinct(), "links"), None
-    while (now := state(edges)) != before:
-        before = now
+    edges = stored(edges.distinct(), "links")
+    now = state(edges)
+    while True:
         large = _nearest(_both_ways(edges)).filter("v > u").select(
             F.col("v").alias("u"), F.col("m").alias("v")
         )
@@ -42,5 +42,11 @@ def roots(edges: DataFrame) -> DataFrame:
         small = small.select("u", F.col("m").alias("v")).unionByName(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        edges = stored(small.filter("u <> v").distinct(), "links")
-    return edges
+        moved = stored(small.filter("u <> v").distinct(), "links")
+        before, now = now, state(moved)
+        # Different sets may agree in number and sum, so equal ones are compared in full.
+        done = now == before and edges.join(moved, ["u", "v"], "left_anti").isEmpty()
+        remove(edges)
+        edges = moved
+        if done:
+            return edges
