@@ -14,11 +14,11 @@ pair of block and group is one task, which passes on k candidates per query. All
 rows are indexed and every block is searched; the only approximation is the error
 bound, which a neighbour misses with a chance of about one in a thousand.
 
-Defined cases: null ids, null or zero vectors, vectors with null or non-finite
-components and those whose length is not the most frequent one take no part; rows
-that repeat an id count once, with the least of their vectors; ties go to the
-smaller id; with fewer than k candidates all are returned; empty tables give an
-empty result; other columns are ignored.
+Defined cases: null ids, null or zero vectors and vectors with null or non-finite
+components take no part; a query's candidates are the vectors with as many components
+as it has, as a cosine needs; rows that repeat an id count once, with the least of
+their vectors; ties go to the smaller id; with fewer than k candidates all are
+returned; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,9 +66,16 @@ def usable(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") ->
         .filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
         .filter(finite & F.exists("vector", lambda x: x != 0))
     )
-    common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size = common["n"] if common else 0
-    return rows.filter(F.size("vector") == size).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+
+
+def _of_one_length(batches):
+    """The rows of each batch in parts whose vectors have the same number of components."""
+    for batch in batches:
+        lengths = batch.column("vector").value_lengths().to_numpy()
+        for length in np.unique(lengths):
+            same = np.flatnonzero(lengths == length)
+            yield batch if len(same) == batch.num_rows else batch.take(pa.array(same))
 
 
 def index(rows: DataFrame) -> DataFrame:
@@ -76,9 +83,7 @@ def index(rows: DataFrame) -> DataFrame:
     workers_can_import(rows.sparkSession)
 
     def encode(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _of_one_length(batches):
             v = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
             v = v.reshape(batch.num_rows, -1)
             # Scaled first, so that neither tiny nor huge components leave the range.
@@ -176,9 +181,9 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
         )
 
     left = queries.select("vec_id", "vector", F.pmod(F.hash("vec_id"), F.lit(groups)).alias("_group"))
-    left = left.withColumn("_block", every(blocks))
+    left = left.withColumn("_block", every(blocks)).withColumn("_length", F.size("vector"))
     right = candidates.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    right = right.withColumn("_group", every(groups))
+    right = right.withColumn("_group", every(groups)).withColumn("_length", F.size("vector"))
 
     def search(asked: pa.Table, block: pa.Table) -> pa.Table:
         found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
@@ -194,7 +199,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
             {c: np.concatenate([np.zeros(0, t), *found[c]]) for c, t in types.items()}
         )
 
-    keys = ["_block", "_group"]
+    keys = ["_length", "_block", "_group"]
     near = (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))

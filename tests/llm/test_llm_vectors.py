@@ -84,3 +84,18 @@ def test_few_or_no_candidates(spark):
     assert [g[:3] for g in search(spark.createDataFrame(rows, ROWS))] == [(0, 1, 1)]
     assert search(spark.createDataFrame(rows[:1], ROWS)) == []
     assert search(spark.createDataFrame([], ROWS)) == []
+
+
+def test_vectors_of_different_lengths_are_all_searched(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "BLOCK", 40)
+    monkeypatch.setattr(vector_search, "GROUP", 2)
+    choose = np.random.default_rng(5)
+    sizes = {n: (24, 24, 3, 70)[n % 4] for n in range(300)}
+    rows = [(n, choose.standard_normal(size).astype(np.float32).tolist(), 1) for n, size in sizes.items()]
+    rows += [(350, [1.0, 2.0], 1)]
+    found = search(spark.createDataFrame(rows, ROWS).repartition(3))
+    expected = []
+    for size in (24, 3, 70):
+        same = {i: np.array(v, float) for i, v, _ in rows if len(v) == size}
+        expected += brute(same, [i for i in same if i % 50 == 0])
+    assert [g[:3] for g in found] == [e[:3] for e in sorted(expected)]
