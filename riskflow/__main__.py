@@ -66,7 +66,8 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
         alert_store=sinks.hbase_store(args.hbase_host, args.hbase_table)
         if args.hbase_host
         else None,
-        **({"max_bytes": args.max_bytes} if args.follow else {}),
+        max_bytes=args.max_bytes,
+        retention=args.retention,
     )
     if args.once:
         streaming.await_each(running.values())
@@ -147,6 +148,7 @@ def build_parser() -> argparse.ArgumentParser:
     stream.add_argument("--servers")
     stream.add_argument("--max-offsets", type=int, help="bound on messages per micro-batch")
     stream.add_argument("--max-bytes", type=int, help="bound on a follower's micro-batch")
+    stream.add_argument("--retention", help="age, such as 14d, at which the sink's log forgets files")
     stream.add_argument("--trigger", default=S.TRIGGER_INTERVAL)
     stream.add_argument("--once", action="store_true", help="process what is there, then stop")
     stream.add_argument(

@@ -29,6 +29,7 @@ def run_stream(
     follow: bool = True,
     alert_store: AlertStore | None = None,
     max_bytes: int | None = None,
+    retention: str | None = None,
     **window_options,
 ) -> dict[str, StreamingQuery]:
     """Start every output of the scoring job and return the running queries.
@@ -37,6 +38,8 @@ def run_stream(
     windows follow what it stores. Without ``follow`` each output is an independent
     query over the messages, which each does that work again. Alerts go to Parquet
     unless there is an ``alert_store``. ``max_bytes`` bounds a follower's micro-batch.
+    With a ``retention``, such as ``"14d"``, the commit log of the scored sink forgets
+    older files: publish them in time, and read both sides (see ``streaming.handover``).
     """
     if alert_store is not None and not has_position(messages.columns):
         raise ValueError(
@@ -48,7 +51,7 @@ def run_stream(
     scorer = partial(score, model)
     if not follow:
         return start_all(messages, scorer, paths, trigger, alert_store, **window_options)
-    started = start_scoring(messages, scorer, paths, trigger)
+    started = start_scoring(messages, scorer, paths, trigger, retention)
     if trigger and trigger.get("availableNow"):
         await_each(started.values())
     return started | start_followers(

@@ -15,6 +15,7 @@ from riskflow.operators.sample import stratified_sample
 from riskflow.operators.split import hash_split
 from riskflow.session import scratch_dir
 from riskflow.sources.history import read_history_csv
+from riskflow.storage import remove_folder
 
 
 #: Tasks that hold the training rows unless told otherwise: so many at least, and more
@@ -72,9 +73,9 @@ def run_training(
     """
     if isinstance(history, str):
         history = read_history_csv(spark, history)
-    staged = scratch_dir(spark, "history")
-    history.write.parquet(staged)
-    history = spark.read.schema(history.schema).parquet(staged)
+    scratch = [scratch_dir(spark, "history")]
+    history.write.parquet(scratch[0])
+    history = spark.read.schema(history.schema).parquet(scratch[0])
     train_rows, test_rows = hash_split(history, key, train)
     weights = class_weights(train_rows if weights_from_train else history).first()
     row_weights, training_rows = weights.asDict(), None
@@ -82,9 +83,9 @@ def run_training(
         before = class_balance(train_rows).first()
         sampled = stratified_sample(train_rows, rows_per_class, key)
         # Read by every pass of the forest: a bounded number of rows.
-        path = scratch_dir(spark, "training-sample")
-        sampled.write.parquet(path)
-        train_rows = spark.read.schema(history.schema).parquet(path)
+        scratch.append(scratch_dir(spark, "training-sample"))
+        sampled.write.parquet(scratch[-1])
+        train_rows = spark.read.schema(history.schema).parquet(scratch[-1])
         taken = class_balance(train_rows).first()
         training_rows = taken["total_rows"]
         for kind in ("fraud", "non_fraud"):
@@ -106,10 +107,15 @@ def run_training(
 
     tested = score(model, test_rows)
     if auc_bins is None:
-        test_auc = auc_bounds(tested, within=auc_within).middle
+        # Several passes over the scores, one over the forest.
+        scratch.append(scratch_dir(spark, "test-scores"))
+        tested.select("Fraud_Probability", S.LABEL).write.parquet(scratch[-1])
+        test_auc = auc_bounds(spark.read.parquet(scratch[-1]), within=auc_within).middle
     else:
         test_auc = auc(tested, bins=auc_bins)
     save_model(model, model_path)
+    for folder in scratch:
+        remove_folder(spark, folder)
     return TrainingReport(
         **weights.asDict(),
         fit_seconds=fit_seconds,

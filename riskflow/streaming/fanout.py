@@ -138,12 +138,17 @@ def start_all(
 
 
 def start_scoring(
-    messages: DataFrame, scorer: Scorer, paths: StreamPaths, trigger: dict | None = None
+    messages: DataFrame,
+    scorer: Scorer,
+    paths: StreamPaths,
+    trigger: dict | None = None,
+    retention: str | None = None,
 ) -> dict[str, StreamingQuery]:
     """Start the one query that reads, parses and scores the messages and stores them all."""
     stored = score_labelled(label_messages(messages), scorer)
+    checkpoint = paths.checkpoint("scored")
     with pool(messages.sparkSession, "scored"):
-        query = write_stored_stream(stored, paths.scored, paths.checkpoint("scored"), trigger)
+        query = write_stored_stream(stored, paths.scored, checkpoint, trigger, retention)
     return {"scored": query}
 
 

@@ -8,7 +8,9 @@ from riskflow import schema as S
 from riskflow.__main__ import build_parser, main
 from riskflow.ml import train_model
 from riskflow.operators import with_class_weight
+from riskflow.sinks import write_envelope_files
 from riskflow.sources import drop_table, read_scored
+from riskflow.streaming import read_late
 
 
 @pytest.fixture
@@ -74,3 +76,29 @@ def test_arguments_are_checked():
     with pytest.raises(SystemExit):
         parser.parse_args([])
     assert parser.parse_args(["repair"]).tables == [S.SCORED_TABLE, S.DAILY_TABLE]
+
+
+def test_jobs_that_go_on_where_they_stopped(spark, folder, clean_catalog, capsys):
+    """Totals and late rows of a stream that is fed twice; the second part comes late."""
+    tx = fixtures.tx(spark, "/root/testdata/sf0.001")
+    model = train_model(with_class_weight(tx), trees=5, depth=3)
+    model.write().overwrite().save(folder("model"))
+    early = F.col("Time") < 20 * 24 * 3600
+    for part in (tx.filter(~early), tx.filter(early)):
+        write_envelope_files(fixtures.envelopes(part), folder("messages"))
+        main(
+            ["stream", "--model", folder("model"), "--output", folder("job"), "--once"]
+            + ["--path", folder("messages"), "--max-bytes", "100000000"]
+        )
+        sink = folder("job") + "/transactions"
+        main(
+            ["daily", "--scored", sink, "--daily", folder("daily"), "--checkpoint", folder("check")]
+        )
+        main(["late", "--output", folder("job")])
+    assert "collected up to batch" in capsys.readouterr().out
+    daily = spark.table(S.DAILY_TABLE)
+    assert daily.agg(F.sum("total_transactions")).first()[0] == 1000
+    assert daily.count() == 30
+    late = read_late(spark, folder("job") + "/late")
+    assert late.count() == 2 * tx.filter(early).count() > 0
+    assert late.select("message_id", "window").distinct().count() == late.count()
