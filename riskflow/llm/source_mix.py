@@ -10,8 +10,9 @@ are taken until the total budget is reached.
 
 No running sum is taken over a whole source or over all copies. Hashes are cut
 into slices, and virtual time into intervals, of some ``SLICE`` documents each;
-the sums before a slice come from one row per slice. Slices and intervals follow
-the number of documents, so a source with a third of all rows has many.
+the sums before a slice come from one row per slice, added up in blocks of ``BLOCK``
+and then inside each. Slices and intervals follow the number of documents, so a
+source with a third of all rows has many.
 
 Defined cases: a null text has size 0, and a document of size 0 is never taken;
 null is a source of its own, the last; a null id sorts first; rows that repeat
@@ -21,7 +22,7 @@ inputs' other columns pass through ``write_order`` untouched, whatever their nam
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from riskflow.llm.common import WORD, stored, text_of
@@ -30,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Documents in a slice, over all sources, about. A source's slice is smaller.
 SLICE = 256
+#: Slices or intervals that one task adds up one after the other, at most.
+BLOCK = 4096
 
 
 def _rows(docs: DataFrame, text: str, source: str, id: str) -> DataFrame:
@@ -132,37 +135,52 @@ def _mark(finish: Column, passes: Column) -> Column:
     )
 
 
+def _edge(totals: DataFrame, place: str, paid: int, budget: int) -> Row | None:
+    """Where the budget ends in ``totals`` (place, _total), or the last place: that place,
+    what is paid before it, and the place before it with what is paid before that."""
+    order = Window.orderBy(place)
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = F.struct(
+        F.col(place).alias("place"),
+        (F.col("_to") - F.col("_total")).alias("paid"),
+        F.coalesce("_previous", place).alias("from"),
+        (F.col("_to") - F.col("_total") - F.coalesce("_less", F.lit(0))).alias("paid_from"),
+    )
+    return (
+        totals.withColumn("_to", F.sum("_total").over(running) + paid)
+        .withColumns({"_previous": F.lag(place).over(order), "_less": F.lag("_total").over(order)})
+        .agg(F.coalesce(F.min(F.when(F.col("_to") > budget, found)), F.max(found)).alias("edge"))
+        .first()["edge"]
+    )
+
+
 def _last(sent: DataFrame, budget: int, intervals: int, max_repeats: int) -> Column | None:
-    """The mark of the last copy that is taken, as a constant; none if no copy is."""
+    """The mark of the last copy that is taken, as a constant; none if no copy is.
+
+    The sums of intervals are added up in blocks of ``BLOCK``, and one by one only in the
+    block in which the budget ends and the one before it.
+    """
     copies = _copies(sent, max_repeats).withColumn(
         "_interval", F.floor(F.col("_finish") * intervals).cast("long")
     )
-    running = Window.orderBy("_interval").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = (
-        copies.groupBy("_interval")
-        .agg(F.sum("_size").alias("_total"))
-        .withColumn("_to", F.sum("_total").over(running))
-        .withColumn("_previous", F.lag("_interval").over(Window.orderBy("_interval")))
+    totals = stored(copies.groupBy("_interval").agg(F.sum("_size").alias("_total")), "intervals")
+    blocks = totals.groupBy(F.floor(F.col("_interval") / BLOCK).alias("_block")).agg(
+        F.sum("_total").alias("_total")
     )
-    # The interval in which the budget ends, or the last one; and the one before it.
-    found = F.struct(
-        "_interval",
-        (F.col("_to") - F.col("_total")).alias("_paid"),
-        F.coalesce("_previous", "_interval").alias("_from"),
-    )
-    edge = totals.agg(
-        F.coalesce(F.min(F.when(F.col("_to") > budget, found)), F.max(found)).alias("edge")
-    ).first()["edge"]
-    if edge is None:
+    block = _edge(blocks, "_block", 0, budget)
+    if block is None:
         return None
+    near = totals.filter(
+        (F.col("_interval") >= block["from"] * BLOCK)
+        & (F.col("_interval") < (block["place"] + 1) * BLOCK)
+    )
+    edge = _edge(near, "_interval", block["paid_from"], budget)
     order = Window.partitionBy("_interval").orderBy(_mark(F.col("_finish"), F.col("_pass")))
     inside = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mark = (
-        copies.filter(F.col("_interval").between(edge["_from"], edge["_interval"]))
+        copies.filter(F.col("_interval").between(edge["from"], edge["place"]))
         .withColumn("_in", F.sum("_size").over(inside))
-        .filter(
-            (F.col("_interval") < edge["_interval"]) | (edge["_paid"] + F.col("_in") <= budget)
-        )
+        .filter((F.col("_interval") < edge["place"]) | (edge["paid"] + F.col("_in") <= budget))
         .agg(F.max(_mark(F.col("_finish"), F.col("_pass"))).alias("mark"))
         .first()["mark"]
     )
@@ -172,6 +190,27 @@ def _last(sent: DataFrame, budget: int, intervals: int, max_repeats: int) -> Col
     return F.struct(*[F.lit(mark[c]).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
+def _summed_before(per_slice: DataFrame) -> DataFrame:
+    """(_lane, _slice, _before): the words of the lane in the slices before each.
+
+    In two levels, so that no task adds up more than ``BLOCK`` slices, or the lane's
+    blocks of so many.
+    """
+    slices = per_slice.withColumn("_block", F.floor(F.col("_slice") / BLOCK))
+
+    def before(place: str, *of: str) -> Column:
+        order = Window.partitionBy(*of).orderBy(place)
+        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+
+    blocks = slices.groupBy("_lane", "_block").agg(F.sum("_size").alias("_size"))
+    blocks = blocks.select("_lane", "_block", before("_block", "_lane").alias("_blocks"))
+    inside = slices.withColumn("_inside", before("_slice", "_lane", "_block"))
+    return inside.join(blocks, ["_lane", "_block"]).select(
+        "_lane", "_slice", (F.col("_inside") + F.col("_blocks")).alias("_before")
+    )
+
+
 def _mixed(rows, small, weights, max_repeats) -> DataFrame:
     """``rows`` with source_size, target, and _times: the passes in which each is taken."""
     facts = small.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
@@ -179,13 +218,8 @@ def _mixed(rows, small, weights, max_repeats) -> DataFrame:
     per_slice = small.groupBy("_lane", _slice(slices).alias("_slice")).agg(
         F.sum("_size").alias("_size")
     )
-    earlier = (
-        Window.partitionBy("_lane").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
     sizes = small.groupBy("_lane", "_source").agg(F.sum("_size").alias("source_size"))
-    before = per_slice.select(
-        "_lane", "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
-    ).join(targets(sizes, weights, max_repeats).drop("_source", "weight"), "_lane")
+    before = _summed_before(per_slice).join(targets(sizes, weights, max_repeats).drop("_source", "weight"), "_lane")
     last = _last(_sent(small, slices, before), facts[1], slices, max_repeats)
     finished = F.array(*[_mark(_finish(F.lit(i)), F.lit(i)) for i in range(max_repeats)])
     served = F.lit(False) if last is None else F.col("_size") > 0

@@ -56,6 +56,28 @@ def test_shares_equal_a_served_queue(spark, monkeypatch, slice_size):
     assert got == expected(odd_documents())
 
 
+@pytest.mark.parametrize("block", [1, 2, 5])
+def test_sums_in_blocks_equal_a_served_queue(spark, monkeypatch, block):
+    monkeypatch.setattr(source_mix, "SLICE", 1)
+    monkeypatch.setattr(source_mix, "BLOCK", block)
+    got = source_mix.shares(documents(spark)).collect()
+    got = sorted(map(tuple, got), key=lambda t: (str(t[0]), t[1], t[4]))
+    assert got == expected(odd_documents())
+
+
+def test_no_task_adds_up_all_slices(spark):
+    """The sums before the slices are taken per block of them."""
+    sums = spark.range(10_000).selectExpr("'' AS _lane", "id AS _slice", "id % 7 AS _size")
+    found = source_mix._summed_before(sums)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_block" in plan
+    expected, total = {}, 0
+    for n in range(10_000):
+        expected[n] = total
+        total += n % 7
+    assert {r["_slice"]: r["_before"] for r in found.collect()} == expected
+
+
 def test_taken_words_come_near_the_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = source_mix.shares(docs).collect()
