@@ -31,6 +31,11 @@ HEADLINE = [
     "wire_roundtrip",
     "src_parquet_partitioned",
     "daily_job",
+    "daily_incremental",
+    "overview_pruned",
+    "training_sample",
+    "auc_bounds",
+    "stream_open_windows",
     "sink_stream_partitioned",
     "sink_alerts",
     "stream_sliding_window",

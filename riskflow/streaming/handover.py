@@ -167,7 +167,8 @@ def read_windows_of_both(
 def clean_sink(spark: SparkSession, sink: str, checkpoint: str) -> int:
     """Delete files that are published and that the sink's log has forgotten; their number.
 
-    No reader sees them any more. Files of rejected messages are nobody else's and stay.
+    No reader sees them any more, so collect late rows before. Files of rejected messages
+    are nobody else's and stay.
     """
     rejected = f"{S.OUTCOME}={S.IS_REJECTED}/"
     there = [file for file in files_below(spark, sink) if not file.startswith(rejected)]
