@@ -27,6 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,10 @@ from riskflow.llm import arrays as A
 from riskflow.llm.common import free_name, text_of, workers_can_import
 
 #: Words a worker remembers, and the longest one worth it, in characters.
-REMEMBERED = 200_000
+REMEMBERED = 800_000
 LONGEST = 48
+#: Tokens that are decoded at once.
+AT_ONCE = 1 << 16
 #: Bits of a token's rank in a pair; what stands for a token that was merged away.
 _SHIFT = 24
 _GONE = -1
@@ -69,6 +72,11 @@ def replay(
     first = []
     places: dict[int, list[int]] = {}
     get = merges.get
+    pairs = [
+        get(left << _SHIFT | right) if None not in (left, right) else None
+        for left in single
+        for right in single
+    ]
     for word in words:
         begin = len(tokens)
         first.append(begin)
@@ -80,10 +88,12 @@ def replay(
         after.append(-1)
         before.append(-1)
         before += range(begin, end - 1)
+        if own is not None:
+            continue
         at = begin
-        left = letters[0]
-        for right in letters[1:]:
-            rank = get(left << _SHIFT | right)
+        left = word[0]
+        for right in word[1:]:
+            rank = pairs[left << 8 | right]
             if rank is not None:
                 if rank in places:
                     places[rank].append(at)
@@ -169,19 +179,34 @@ def _lists(texts: list[str], pattern, ranks: dict[bytes, int], key: str) -> pa.A
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
-def _texts(column: pa.Array, vocabulary: list[bytes]) -> pa.Array:
-    """The bytes that every list of ids stands for."""
-    get = vocabulary.__getitem__
-    return pa.array(
-        [b"".join(map(get, ids)) if ids else b"" for ids in column.to_pylist()], pa.binary()
-    )
-
-
-def _vocabulary(ranks: dict[bytes, int]) -> list[bytes]:
-    found = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        found[rank] = token
-    return found
+class _Decoder:
+    """The bytes that lists of ids stand for, gathered from all tokens' bytes in one row."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        vocabulary = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            vocabulary[rank] = token
+        self.lengths = np.array([len(token) for token in vocabulary], np.int32)
+        self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
+        self.row = np.frombuffer(b"".join(vocabulary), np.uint8)
+
+    def gather(self, ids: np.ndarray) -> bytes:
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        take = np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        take += np.arange(len(take), dtype=np.int32)
+        return self.row[take].tobytes()
+
+    def texts(self, column: pa.Array) -> pa.Array:
+        ids = column.flatten().to_numpy(zero_copy_only=False)
+        joined = b"".join(
+            self.gather(ids[first : first + AT_ONCE]) for first in range(0, len(ids), AT_ONCE)
+        )
+        counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+        ends = np.concatenate(([0], np.cumsum(self.lengths[ids], dtype=np.int64)))
+        cuts = ends[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        parts = [joined[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.array(parts, pa.binary())
 
 
 def _schema(df: DataFrame, *new: str) -> str:
@@ -214,13 +239,13 @@ def encoded(
     def encode(batches):
         ranks, pattern = shared.value
         split = regex.compile(pattern)
-        vocabulary = _vocabulary(ranks)
+        decoder = _Decoder(ranks)
         for piece, _, _ in A.pieces(batches, own):
             columns = [piece.column(c) for c in range(piece.num_columns - 1)]
             texts = [t or "" for t in piece.column(own).to_pylist()]
             columns.append(_lists(texts, split, ranks, key))
             if data is not None:
-                columns.append(_texts(columns[-1], vocabulary))
+                columns.append(decoder.texts(columns[-1]))
             yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names[:-1], *new])
 
     kinds = [f"`{ids}` array<int>", f"`{data}` binary"]
@@ -234,16 +259,17 @@ def decoded(
 ) -> DataFrame:
     """All columns of the documents and ``data``, the bytes that the ids stand for."""
     spark = workers_can_import(docs.sparkSession).sparkContext
-    shared = spark.broadcast(_vocabulary(ranks))
+    shared = spark.broadcast(ranks)
     rest = docs.drop(data)
     at = rest.columns.index(ids)
 
     def decode(batches):
+        decoder = _Decoder(shared.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 piece = batch.slice(first, 64)
                 columns = [piece.column(c) for c in range(piece.num_columns)]
-                columns.append(_texts(piece.column(at), shared.value))
+                columns.append(decoder.texts(piece.column(at)))
                 yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names, data])
 
     return rest.mapInArrow(decode, _schema(rest, f"`{data}` binary"))
