@@ -13,9 +13,9 @@ have ends of tokens, whatever the corpus: ``pair_bound``. Only that table is bro
 
 Both tokenizers cut a text before a single space between two visible characters. So a
 long text is cut there, and no more than about ``CHUNK`` characters are held at once (a
-text without such places is handled whole), and the words between such cuts are each
-encoded once for all texts that are handled together. A tokenizer for which that is not
-certain (see ``cuts``) gets whole texts.
+text without such places is handled whole), and the words between such cuts are encoded
+once and then remembered by their worker, whose memory is bounded. A tokenizer for which
+that is not certain (see ``cuts``) gets whole texts.
 
 Defined cases: a null or empty text has no tokens, and so has a text that the joined
 tokens of either side do not give back (such as one with U+2581, which one vocabulary
@@ -46,6 +46,9 @@ from riskflow.llm.common import stored, text_of, workers_can_import
 
 #: Characters of one text that are encoded and aligned at once.
 CHUNK = 1 << 19
+#: Words a worker remembers, and the longest one worth it, in characters.
+REMEMBERED = 400_000
+LONGEST = 48
 #: A space that both tokenizers put at the start of a token.
 _SAFE = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
 #: A text that can stand between two such spaces.
@@ -147,6 +150,18 @@ def _tokenizer(vocabulary: Vocabulary) -> _Tokenizer:
     return _built[key]
 
 
+#: Per worker process, by the two tokenizers, which stay.
+_lexicons: dict[tuple[int, int], _Lexicon] = {}
+
+
+def _lexicon(left: Vocabulary, right: Vocabulary) -> _Lexicon:
+    sides = _tokenizer(left), _tokenizer(right)
+    key = id(sides[0]), id(sides[1])
+    if key not in _lexicons:
+        _lexicons[key] = _Lexicon(*sides)
+    return _lexicons[key]
+
+
 def pair_bound(left: Vocabulary, right: Vocabulary) -> int:
     """How many different pairs of ids can end together, in any corpus."""
     counts: list[dict[bytes, int]] = []
@@ -247,96 +262,124 @@ def _chunks(text: str, cuts: bool) -> list[str]:
     return [*found, text[begin:]]
 
 
-@dataclass(frozen=True)
-class _Words:
-    """The tokens of different words one after the other, and the words they do not give back."""
-
-    tokens: np.ndarray
-    starts: np.ndarray
-    sizes: np.ndarray
-    broken: np.ndarray
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        sizes = self.sizes[words]
-        at = np.repeat(self.starts[words] - (np.cumsum(sizes) - sizes), sizes)
-        return self.tokens[at + np.arange(len(at))]
-
-
 def _in_bytes(words: list[str]) -> list[bytes]:
     """Each word encoded, by one call for all if a zero byte can stand between them."""
     found = "\0".join(words).encode().split(b"\0")
     return found if len(found) == len(words) else [word.encode() for word in words]
 
 
-def _encoded(words: list[str], raw: list[bytes], odd: int, side: _Tokenizer) -> _Words:
-    """The tokens of different words, of which the last ``odd`` ones may end invisibly."""
+def _encoded(
+    words: list[str], raw: list[bytes], odd: int, side: _Tokenizer
+) -> tuple[list[bytes], set[int]]:
+    """Each word's ids as 32-bit numbers, and the places of words they do not give back.
+
+    The last ``odd`` words may end invisibly.
+    """
     plain = len(words) - odd
     get = side.tokens.__getitem__
+    tokens = sizes = np.zeros(0, np.int64)
+    lists = side.encode(words[plain:] if side.joins and plain else words)
     if side.joins and plain:
         joined = side.encode([" ".join(words[:plain])])[0]
         tokens = np.fromiter(joined, np.int64, len(joined))
         stops = np.cumsum(np.fromiter(map(len, raw[:plain]), np.int64, plain) + 1)
         cuts = np.searchsorted(np.cumsum(side.lengths[tokens]), stops) + 1
         sizes = np.diff(cuts, prepend=0)
-        lists = side.encode(words[plain:])
-    else:
-        tokens = sizes = np.zeros(0, np.int64)
-        lists = side.encode(words)
     tokens = np.concatenate([tokens, np.fromiter(chain.from_iterable(lists), np.int64)])
     sizes = np.concatenate([sizes, np.fromiter(map(len, lists), np.int64, len(lists))])
-    found = _Words(tokens, np.cumsum(sizes) - sizes, sizes, np.zeros(len(words), bool))
-    every = tokens.tolist()
+    every, spans = tokens.tolist(), _spans(np.cumsum(sizes))
+    broken = set()
     if b"".join(map(get, every)) != b" " + b" ".join(raw):
-        spans = zip(found.starts.tolist(), sizes.tolist(), raw, strict=True)
-        for n, (start, size, word) in enumerate(spans):
-            found.broken[n] = b"".join(map(get, every[start : start + size])) != b" " + word
-    return found
-
-
-def _part(rows: list[int], texts: list[str], left: _Tokenizer, right: _Tokenizer) -> _Part:
-    # Where both tokenizers cut, a word has the same tokens wherever it stands. Only the
-    # first and the last word of a text can have an invisible end.
-    cuts = left.cuts and right.cuts
-    words = [_SAFE.split(text) if cuts else [text] for text in texts]
-    ends = {word for one in words for word in (one[0], one[-1])}
-    odd = {word for word in ends if not (cuts and _WHOLE.fullmatch(word))}
-    unique = [word for word in dict.fromkeys(chain.from_iterable(words)) if word not in odd]
-    unique += sorted(odd)
-    place = dict(zip(unique, range(len(unique)), strict=True))
-    raw = _in_bytes(unique)
-    sides = [_encoded(unique, raw, len(odd), side) for side in (left, right)]
-    codes = np.fromiter(map(place.__getitem__, chain.from_iterable(words)), np.int64)
+        for n, ((begin, end), word) in enumerate(zip(spans, raw, strict=True)):
+            if b"".join(map(get, every[begin:end])) != b" " + word:
+                broken.add(n)
+    packed = tokens.astype(np.int32).tobytes()
+    return [packed[4 * begin : 4 * end] for begin, end in spans], broken
+
+
+class _Lexicon:
+    """The ids of words met before, of both sides; emptied when it is full."""
+
+    def __init__(self, left: _Tokenizer, right: _Tokenizer):
+        self.tokenizers = left, right
+        self.cuts = left.cuts and right.cuts
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ids: tuple[list[bytes], list[bytes]] = [], []
+        self.broken: set[int] = set()
+
+    def split(self, text: str) -> list[str]:
+        # Where both tokenizers cut, a word has the same tokens wherever it stands.
+        return _SAFE.split(text) if self.cuts else [text]
+
+    def learn(self, words: list[list[str]]) -> list[str]:
+        """Encodes the words that are new, and returns them."""
+        if len(self.places) > REMEMBERED:
+            self.clear()
+        # Only the first and the last word of a text can have an invisible end.
+        ends = {word for one in words for word in (one[0], one[-1])}
+        odd = {word for word in ends if not (self.cuts and _WHOLE.fullmatch(word))}
+        different = dict.fromkeys(chain.from_iterable(words))
+        new = [w for w in different if w not in self.places and w not in odd]
+        odd -= self.places.keys()
+        new += sorted(odd)
+        if new:
+            raw, first = _in_bytes(new), len(self.ids[0])
+            for known, side in zip(self.ids, self.tokenizers, strict=True):
+                packed, broken = _encoded(new, raw, len(odd), side)
+                known += packed
+                self.broken |= {first + n for n in broken}
+            self.places.update(zip(new, range(first, first + len(new)), strict=True))
+        return new
+
+    def forget(self, words: list[str]) -> None:
+        """Long words are not worth their place."""
+        for word in words:
+            if len(word) > LONGEST:
+                place = self.places.pop(word)
+                self.broken.discard(place)
+                for known in self.ids:
+                    known[place] = b""
+
+
+def _part(rows: list[int], texts: list[str], lexicon: _Lexicon) -> _Part:
+    words = [lexicon.split(text) for text in texts]
+    new = lexicon.learn(words)
+    codes = list(map(lexicon.places.__getitem__, chain.from_iterable(words)))
     owner = np.repeat(np.arange(len(texts)), [len(one) for one in words])
-    broken = np.unique(owner[(sides[0].broken | sides[1].broken)[codes]])
-    if len(broken):
-        whole = ~np.isin(owner, broken)
-        codes, owner = codes[whole], owner[whole]
+    broken: set[int] = set()
+    if lexicon.broken:
+        bad = np.isin(codes, list(lexicon.broken))
+        broken = set(owner[bad].tolist())
+        whole = ~np.isin(owner, list(broken))
+        codes, owner = np.array(codes)[whole].tolist(), owner[whole]
     flat, ends, stops = [], [], []
-    for side, found in zip((left, right), sides, strict=True):
-        flat.append(found.of(codes))
+    for known, side in zip(lexicon.ids, lexicon.tokenizers, strict=True):
+        found = list(map(known.__getitem__, codes))
+        flat.append(np.frombuffer(b"".join(found), np.int32).astype(np.int64))
         stops.append(np.cumsum(side.lengths[flat[-1]]))
-        counts = np.bincount(owner, found.sizes[codes], minlength=len(texts))
-        ends.append(np.cumsum(counts.astype(np.int64)))
-    last = common_ends(*stops) if len(codes) else (np.zeros(0, np.int64),) * 2
-    return _Part(rows, *flat, *ends, *last, {rows[n] for n in broken.tolist()})
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ends.append(np.cumsum(np.bincount(owner, sizes, minlength=len(texts)).astype(np.int64)))
+    last = common_ends(*stops) if codes else (np.zeros(0, np.int64),) * 2
+    lexicon.forget(new)
+    return _Part(rows, *flat, *ends, *last, {rows[n] for n in broken})
 
 
-def _parts(
-    texts: list[str | None], left: _Tokenizer, right: _Tokenizer
-) -> Iterator[_Part]:
+def _parts(texts: list[str | None], lexicon: _Lexicon) -> Iterator[_Part]:
     """The texts in order, many short ones or a piece of a long one at a time."""
-    cuts = left.cuts and right.cuts
     rows, waiting, held = [], [], 0
     for row, text in enumerate(texts):
-        for chunk in _chunks(text, cuts) if text else ():
+        for chunk in _chunks(text, lexicon.cuts) if text else ():
             rows.append(row)
             waiting.append(chunk)
             held += len(chunk)
             if held >= CHUNK:
-                yield _part(rows, waiting, left, right)
+                yield _part(rows, waiting, lexicon)
                 rows, waiting, held = [], [], 0
     if rows:
-        yield _part(rows, waiting, left, right)
+        yield _part(rows, waiting, lexicon)
 
 
 def _spans(ends: np.ndarray) -> list[tuple[int, int]]:
@@ -375,12 +418,12 @@ def aligned(
     rows = _readable(docs, text, new)
 
     def align(batches):
-        a, b = map(_tokenizer, shared.value)
+        lexicon = _lexicon(*shared.value)
         for piece, texts in _batches(batches, "text"):
             found = [[[np.zeros(0, np.int64)] for _ in texts] for _ in new]
             sizes = np.zeros((2, len(texts)), np.int64)
             broken = set()
-            for part in _parts(texts, a, b):
+            for part in _parts(texts, lexicon):
                 broken |= part.broken
                 groups = np.searchsorted(part.last_a, part.ends_a).tolist()
                 begin = 0
@@ -433,7 +476,8 @@ def measured(
     shared = spark.broadcast((left, right))
 
     def measure(batches):
-        a, b = map(_tokenizer, shared.value)
+        lexicon = _lexicon(*shared.value)
+        a, b = lexicon.tokenizers
         width, offset = len(b.tokens), 2 * len(a.tokens)
         names = [str(i).encode() + end for i in range(len(a.tokens)) for end in (b",", b"|")]
         names += [str(i).encode() + end for i in range(width) for end in (b",", b";")]
@@ -443,7 +487,7 @@ def measured(
             digests = [None] * len(texts)
             links: list[list] = [[] for _ in texts]
             broken = set()
-            for part in _parts(texts, a, b):
+            for part in _parts(texts, lexicon):
                 broken |= part.broken
                 codes = part.ids_a[part.last_a] * width + part.ids_b[part.last_b]
                 groups = np.searchsorted(part.last_a, part.ends_a).tolist()

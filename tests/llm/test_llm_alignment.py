@@ -122,14 +122,14 @@ def test_digests_equal_brute_force(spark, sides, libraries, monkeypatch, chunk):
 
 def test_pieces_of_a_long_text_give_its_tokens(sides, libraries):
     """Cutting changes neither tokens nor groups, in scripts with and without spaces."""
-    left, right = map(token_alignment._tokenizer, sides)
+    lexicon = token_alignment._lexicon(*sides)
     choose = random.Random(4)
     words = ["wörter", "中文字", "it's", "'s", "(x)", "_a_", "\n", " ", "\t", "12", "é́", "-", "​", "\x1c", "　", "😀"]
     for size in (1, 7, 50):
         text = "".join(choose.choice(words) + choose.choice(["", " ", "  "]) for _ in range(400))
         old, token_alignment.CHUNK = token_alignment.CHUNK, size
         try:
-            parts = list(token_alignment._parts([text], left, right))
+            parts = list(token_alignment._parts([text], lexicon))
         finally:
             token_alignment.CHUNK = old
         assert len(parts) > 1
@@ -139,6 +139,19 @@ def test_pieces_of_a_long_text_give_its_tokens(sides, libraries):
         assert sum(len(p.last_a) for p in parts) == len(groups)
 
 
+def test_a_full_memory_changes_nothing(monkeypatch, sides, libraries):
+    monkeypatch.setattr(token_alignment, "REMEMBERED", 3)
+    monkeypatch.setattr(token_alignment, "LONGEST", 4)
+    lexicon = token_alignment._Lexicon(*map(token_alignment._tokenizer, sides))
+    for n in range(4):
+        texts = [f"some words {n} unforgettable", "x▁y", "words some", *ODD]
+        found = list(token_alignment._parts(texts, lexicon))
+        expected = [plain(text, *libraries) for text in texts]
+        assert [i for p in found for i in p.ids_a.tolist()] == [i for a, *_ in expected for i in a]
+        assert [i for p in found for i in p.ids_b.tolist()] == [i for _, b, _ in expected for i in b]
+        assert sum(len(p.last_a) for p in found) == sum(len(groups) for *_, groups in expected)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(1, 60)), st.sets(st.integers(1, 60)), st.integers(61, 70))
 def test_common_ends_equal_a_set(left, right, last):
