@@ -13,7 +13,7 @@ from riskflow.operators.partials import daily_from_partials, daily_partials, mer
 from riskflow.sinks.batch import write_daily
 from riskflow.sources.catalog import change_partitions, register_partitioned
 from riskflow.sources.scored import read_sink_stream
-from riskflow.storage import highest_number, numbers, remove_folder
+from riskflow.storage import finished, remove_folder
 from riskflow.streaming.sinks import RUN_TO_COMPLETION
 
 #: Beside the checkpoint: a state per batch, of one row per day.
@@ -57,22 +57,22 @@ def run_daily_incremental(
 
 
 def daily_state(spark: SparkSession, checkpoint: str) -> DataFrame | None:
-    """The latest state; None before the first batch."""
+    """The latest whole state; None before the first batch."""
     folder = _state_path(checkpoint)
-    latest = highest_number(spark, folder, _STATE)
-    return None if latest is None else spark.read.parquet(f"{folder}/batch={latest}")
+    latest = finished(spark, folder, _STATE)
+    return spark.read.parquet(f"{folder}/batch={latest[-1]}") if latest else None
 
 
 def _update(daily_path: str, states: str, table: str | None, rows: DataFrame, batch: int) -> None:
     spark = rows.sparkSession
     fresh = daily_partials(rows).withColumn("changed_in", F.lit(batch).cast("long"))
-    before = highest_number(spark, states, _STATE, below=batch)
-    if before is not None:
-        old = spark.read.parquet(f"{states}/batch={before}")
+    whole = [number for number in finished(spark, states, _STATE) if number < batch]
+    if whole:
+        old = spark.read.parquet(f"{states}/batch={whole[-1]}")
         fresh = merge_partials(old.unionByName(fresh), latest=["changed_in"])
     path = f"{states}/batch={batch}"
-    # A few days: one file.
-    fresh.coalesce(1).write.mode("overwrite").parquet(path)
+    # One file of a few rows; the totals before it are still made by many tasks.
+    fresh.repartition(1).write.mode("overwrite").parquet(path)
 
     changed = spark.read.parquet(path).filter(F.col("changed_in") == batch)
     write_daily(daily_from_partials(changed), daily_path, dynamic=True)
@@ -80,6 +80,5 @@ def _update(daily_path: str, states: str, table: str | None, rows: DataFrame, ba
         days = [row[0] for row in changed.select("transaction_date").collect()]
         register_partitioned(spark, table, S.DAILY, "transaction_date", daily_path)
         change_partitions(spark, table, "transaction_date", daily_path, present=days)
-    for number in numbers(spark, states, _STATE):
-        if before is not None and number < before:
-            remove_folder(spark, f"{states}/batch={number}")
+    for number in whole[:-1]:
+        remove_folder(spark, f"{states}/batch={number}")

@@ -37,12 +37,16 @@ def numbers(spark: SparkSession, path: str, pattern: str) -> list[int]:
     return sorted(int(match.group(1)) for match in found if match)
 
 
-def highest_number(
-    spark: SparkSession, path: str, pattern: str, below: int | None = None
-) -> int | None:
-    """The largest of those numbers, or the largest one that is less than ``below``."""
-    found = [n for n in numbers(spark, path, pattern) if below is None or n < below]
-    return max(found, default=None)
+def highest_number(spark: SparkSession, path: str, pattern: str) -> int | None:
+    """The largest of those numbers."""
+    return max(numbers(spark, path, pattern), default=None)
+
+
+def finished(spark: SparkSession, path: str, pattern: str) -> list[int]:
+    """The numbers of those child folders that a write has filled to its end, ascending."""
+    names = {n: name for name in child_names(spark, path) if (n := re.fullmatch(pattern, name))}
+    whole = [n for n, name in names.items() if path_exists(spark, f"{path}/{name}/_SUCCESS")]
+    return sorted(int(n.group(1)) for n in whole)
 
 
 def read_small(spark: SparkSession, path: str) -> str | None:

@@ -91,7 +91,7 @@ def publish_windows(
     rows = spark.readStream.schema(spark.read.parquet(sink).schema).parquet(sink)
 
     def write(batch: DataFrame, path: str) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+        batch.hint("rebalance").write.mode("overwrite").parquet(path)
 
     return _publish(rows, write, table, checkpoint)
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from riskflow import schema as S
-from riskflow.storage import highest_number, numbers
+from riskflow.storage import finished, highest_number
 from riskflow.streaming.logs import logged_files, place, planned
 
 _BATCH = r"(\d+)"
@@ -83,7 +83,7 @@ def collect_late(
     broken off is made again.
     """
     upto = highest_number(spark, f"{checkpoint}/commits", _BATCH)
-    after = highest_number(spark, path, _COLLECTED)
+    after = max(finished(spark, path, _COLLECTED), default=None)
     if upto is None or (after is not None and after >= upto):
         return after
     bounds = late_bounds(spark, checkpoint, -1 if after is None else after, upto)
@@ -110,7 +110,7 @@ def collect_late(
 
 def read_late(spark: SparkSession, path: str) -> DataFrame:
     """All that has been collected, with the batch and the bound that dropped it."""
-    folders = [f"{path}/upto={n}" for n in numbers(spark, path, _COLLECTED)]
+    folders = [f"{path}/upto={n}" for n in finished(spark, path, _COLLECTED)]
     return spark.read.option("basePath", path).parquet(*folders).drop("upto")
 
 
