@@ -159,17 +159,18 @@ def test_training_on_a_bounded_sample(spark, history, folder):
 
 
 def test_each_class_keeps_its_weight_in_the_sample(spark, history, folder, monkeypatch):
-    seen = []
-    fit = training.train_model
-    monkeypatch.setattr(training, "train_model", lambda rows, **o: seen.append(rows) or fit(rows, **o))
+    sums, fit = [], training.train_model
+
+    def weigh(rows, **options):
+        totals = rows.groupBy("Class").agg(F.sum("weight").alias("w")).collect()
+        sums.append({r["Class"]: round(r["w"], 6) for r in totals})
+        return fit(rows, **options)
+
+    monkeypatch.setattr(training, "train_model", weigh)
     for rows in (None, 10):
         run_training(
             spark, history, folder(f"m{rows}"), key="event_id", rows_per_class=rows, trees=1, depth=1
         )
-    sums = [
-        {r["Class"]: round(r["w"], 6) for r in df.groupBy("Class").agg(F.sum("weight").alias("w")).collect()}
-        for df in seen
-    ]
     assert sums[0] == sums[1]
 
 
