@@ -13,7 +13,7 @@ from riskflow.checks import sql
 from riskflow.checks.batch import MAX_AVERAGE, MAX_TOTAL, plain_time, plain_windows
 from riskflow.operators.wire import REASON
 from riskflow.session import scratch_dir
-from riskflow.storage import child_names, make_older
+from riskflow.storage import child_names, folder_bytes, make_older
 from riskflow.streaming.fanout import decode_messages
 
 # Rows of this type reach the two-step streams in the second step.
@@ -264,8 +264,9 @@ def stream_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = st.StreamPaths(scratch_dir(spark, "stream"))
     messages = _dirty_messages(spark, sf_dir)
     _finish(*st.start_scoring(messages, stand_in_scorer, paths, st.RUN_TO_COMPLETION).values())
+    a_quarter = folder_bytes(spark, paths.scored) // 4
     followers = st.start_followers(
-        spark, paths, st.RUN_TO_COMPLETION, max_bytes=100_000, watermark="90 days"
+        spark, paths, st.RUN_TO_COMPLETION, max_bytes=a_quarter, watermark="90 days"
     )
     _finish(*followers.values())
     windows = st.current_windows(spark, paths.windows, paths.checkpoint("windows"))

@@ -96,6 +96,11 @@ def make_older(spark: SparkSession, path: str, by_ms: int) -> None:
     fs.setTimes(hadoop_path, now - by_ms, -1)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    fs, hadoop_path = _file_system(spark, path)
+    return fs.getContentSummary(hadoop_path).getLength()
+
+
 def files_below(spark: SparkSession, path: str) -> list[str]:
     """Paths of visible files, relative to ``path``, folders included."""
     found = []
