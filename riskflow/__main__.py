@@ -47,7 +47,7 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
         use_rocksdb_state(spark)
     if args.path is not None:
         messages = sources.read_envelope_files(
-            spark, args.path, numbered=args.hbase_host is not None
+            spark, args.path, numbered=args.hbase_host is not None, suffix=args.suffix
         )
     else:
         messages = sources.read_kafka(
@@ -160,6 +160,9 @@ def build_parser() -> argparse.ArgumentParser:
     stream.add_argument("--rocksdb", action="store_true", help="keep window state in RocksDB")
     stream.add_argument("--hbase-host", help="put alerts into HBase instead of Parquet")
     stream.add_argument("--hbase-table", default=S.ALERT_TABLE)
+    stream.add_argument(
+        "--suffix", default=".txt", help="how message files end that HBase alerts come from"
+    )
     stream.set_defaults(run=_stream)
 
     daily = jobs.add_parser("daily", help="write daily totals and repair their table")

@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from helpers import physical_plan, transactions, utc, wire_rows
@@ -317,6 +318,54 @@ def test_numbered_files_have_the_lines_of_plain_ones(spark, folder):
     assert places["f0", 2] == "c" and places["f3", 2] == "e"
 
 
+def _numbered(spark, folder, out, **options):
+    stream = read_envelope_files(spark, folder("in"), numbered=True, **options)
+    query = st.write_parquet_stream(
+        stream, folder(out), folder(f"check-{out}"), st.RUN_TO_COMPLETION
+    )
+    query.awaitTermination()
+    return query, spark.read.parquet(folder(out))
+
+
+def test_numbered_files_are_read_line_by_line_and_not_split(spark, folder):
+    Path(folder("in")).mkdir()
+    # Over more than one Arrow batch a file, and in one task with others.
+    for name, n in (("a.txt", 25_000), ("b.txt", 3), ("c.txt", 40_000), ("d.txt", 1)):
+        Path(folder("in"), name).write_text("".join(f"{i % 7}:{i}\n" for i in range(n)))
+    keys = {
+        "spark.sql.files.maxPartitionBytes": "20000",
+        "spark.sql.files.openCostInBytes": "1",
+    }
+    for out, conf in (("pieces", keys), ("together", {})):
+        before = {key: spark.conf.get(key) for key in conf}
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        try:
+            query, rows = _numbered(spark, folder, out)
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)
+        # No row is a whole file: the source's rows are the lines.
+        assert sum(p["numInputRows"] for p in query.recentProgress) == 65_004
+        assert rows.count() == 65_004
+        assert rows.filter("value <> concat(line % 7, ':', line)").count() == 0
+
+
+def test_files_that_spark_splits_are_not_numbered_unless_their_suffix_is_given(spark, folder):
+    Path(folder("in")).mkdir()
+    Path(folder("in"), "a.json").write_text("".join(f"{i}\n" for i in range(20_000)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        with pytest.raises(StreamingQueryException, match="cannot number the lines"):
+            _numbered(spark, folder, "split")
+        _, rows = _numbered(spark, folder, "whole", suffix=".json")
+    finally:
+        spark.conf.set(key, before)
+    assert rows.filter("value = line").count() == rows.count() == 20_000
+
+
 def test_a_keyed_store_needs_positions(spark, folder):
     Path(folder("in")).mkdir()
     messages = read_envelope_files(spark, folder("in"))
