@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -17,6 +18,10 @@ DEPTH = 10
 SEED = 42
 FEATURE_SUBSET = "auto"
 
+#: How a pass finds the node of each row in each tree: it is kept, not looked for from the
+#: root again. The forest is the same.
+PASSES = {"cacheNodeIds": True, "checkpointInterval": -1}
+
 
 def feature_stage() -> VectorAssembler:
     """The features in their contract order; null or NaN is an error here.
@@ -40,6 +45,9 @@ def train_model(
 
     On large data raise ``maxMemoryInMB``: it decides how many tree nodes one
     pass over the data can split.
+
+    The rows are computed and assembled once and kept on disk: the forest scans them
+    several times before it keeps its own form of them, in the memory that is left to it.
     """
     forest = RandomForestClassifier(
         labelCol=label,
@@ -49,12 +57,18 @@ def train_model(
         maxDepth=depth,
         seed=seed,
         featureSubsetStrategy=FEATURE_SUBSET,
-        **forest_params,
+        **{**PASSES, **forest_params},
     )
     # Naming the number of classes saves the forest a pass to find it out.
     binary = {"ml_attr": {"type": "nominal", "num_vals": 2, "name": label}}
     train = train.withMetadata(label, binary)
-    return Pipeline(stages=[feature_stage(), forest]).fit(train)
+    assembler = feature_stage()
+    assembled = assembler.transform(train).select("features", label, weight)
+    assembled.persist(StorageLevel.DISK_ONLY)
+    try:
+        return PipelineModel([assembler, forest.fit(assembled)])
+    finally:
+        assembled.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -3,12 +3,15 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as some
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.util import JavaMLWriter
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from helpers import physical_plan
 from riskflow import fixtures, ml
+from riskflow import schema as S
 from riskflow.functions import split_hash
 from riskflow.ml import area
 from riskflow.operators import stratified_sample
@@ -186,6 +189,29 @@ def test_tasks_follow_the_rows(spark, history, folder, monkeypatch):
     assert TRAINING_TASKS < tasks(rows_per_class=150) < 20
 
 
+def test_rows_are_assembled_once_and_the_forest_is_the_same(spark, history, monkeypatch):
+    rows = history.withColumn("weight", F.lit(1.0)).repartition(4, "event_id")
+    rows = rows.sortWithinPartitions("event_id").select(*S.FEATURES, "Class", "weight")
+    plain = RandomForestClassifier(
+        labelCol="Class", weightCol="weight", numTrees=7, maxDepth=6, seed=ml.forest.SEED
+    )
+    expected = Pipeline(stages=[ml.feature_stage(), plain]).fit(rows).stages[-1]
+    seen, fit = [], RandomForestClassifier.fit
+
+    def watch(forest, dataset):
+        seen.append((forest.getCacheNodeIds(), dataset.storageLevel, dataset))
+        return fit(forest, dataset)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", watch)
+    model = ml.train_model(rows, trees=7, depth=6)
+    trees = lambda forest: forest.toDebugString.split("\n", 1)[1]
+    assert trees(model.stages[-1]) == trees(expected)
+    (kept, level, dataset), = seen
+    assert kept and level.useDisk and not level.useMemory
+    # Nothing is left behind.
+    assert not dataset.storageLevel.useDisk
+
+
 # Area
 
 
